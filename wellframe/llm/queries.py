@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, sharding, urlrules, warc
+from wellframe.llm import bpe, notices, sharding, urlrules, warc, wumanber
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,13 +46,31 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return notices.scan(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("matches")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows."""
+    patterns = wumanber.load(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    out = wumanber.scan(_table(spark, sf_dir, "documents"), "doc_id", "text", patterns)
+    ids = F.array_join(F.array_sort("items"), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_url_rules": op5_url_rules,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_notice_scan": op7_notice_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 
+#: A text's words in DuckDB.
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RE}')"
+
 _HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "')"
 _PATH = r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -60,7 +78,22 @@ _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 #: SHA-1 in base32: every five hexadecimal digits are four characters.
 _B32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '')"
 
+_OP10 = f"""
+        WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS s
+               FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        dw AS (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS s
+               FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+        f AS (SELECT doc_id, k, dw.m, item_id FROM dw JOIN bw USING (m, s)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM f) GROUP BY 1),
+        i AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM f GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
 ORACLES = {
+    "op10_decontaminate": _OP10,
     "op1_warc_normalise": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
