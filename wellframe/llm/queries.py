@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, notices, sharding, urlrules, warc, wumanber
+from wellframe.llm import bpe, notices, sharding, toxicity, urlrules, warc, wumanber
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +52,27 @@ def op7_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.scan(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("matches")
 
 
+#: Rows whose labels may be learned: those of the other remainder are held out.
+HELD_OUT = 2
+
+
+def held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == HELD_OUT
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Broadcast:
+    """Learned from ``docs`` and the labels, without the rows held out."""
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~held_out("_key"))
+    return spark.sparkContext.broadcast(model)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, "doc_id", "text", toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows."""
     patterns = wumanber.load(_table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -65,6 +87,7 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_notice_scan": op7_notice_scan,
+    "op8_toxicity": op8_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
