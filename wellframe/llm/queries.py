@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, notices, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm import bpe, langid, notices, sharding, toxicity, urlrules, warc, wumanber
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def language_model(spark: SparkSession, docs: DataFrame) -> Broadcast:
+    """Learned from the texts of known language, without the rows held out."""
+    return spark.sparkContext.broadcast(langid.train(docs, "text", "lang", ~held_out("doc_id")))
+
+
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs, "doc_id", "text", language_model(spark, docs))
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows."""
     patterns = wumanber.load(_table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -88,6 +100,7 @@ QUERIES = {
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_notice_scan": op7_notice_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_language_crf": op9_language_crf,
     "op10_decontaminate": op10_decontaminate,
 }
 
