@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm import bpe, curveknn, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op2_curve_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth one."""
+    return curveknn.nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id % 20 = 0", k=20)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class."""
     return orderminhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -100,6 +105,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
+    "op2_curve_knn": op2_curve_knn,
     "op3_order_minhash": op3_order_minhash,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_url_rules": op5_url_rules,
