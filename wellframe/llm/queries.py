@@ -32,15 +32,20 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bpe_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Ids of every document's whole text and the bytes they decode to, as digests."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
+    ids = bpe.encode(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
     return bpe.decode(ids, "ids", ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return bpe_digests(spark, _table(spark, sf_dir, "documents"))
+
+
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
