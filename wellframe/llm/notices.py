@@ -58,7 +58,7 @@ class Scanner:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (label, fuzzy, tail) in enumerate(notices):
             k = max(1, len(fuzzy) // chars_per_edit)
-            self.notices.append((label, len(fuzzy), len(tail), k, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(fuzzy)}){{e<={k}}}{regex.escape(tail)}(?![^ ])")))
+            self.notices.append((label, len(fuzzy), len(tail), k, regex.compile(f"(?b)(?<![^ \n])(?:{regex.escape(fuzzy)}){{e<={k}}}{regex.escape(tail)}(?![^ \n])")))
             cuts = [round(j * len(fuzzy) / (k + 1)) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(fuzzy[a:b], []).append((i, a))

@@ -116,11 +116,11 @@ def features(w: Words, model: Model) -> Iterator[tuple[list[tuple[int, int, floa
         yield out, best, total
 
 
-def _score(model: Model, best: float, total: float, n: int) -> float:
+def _score(model: Model, best: float, total: float) -> float:
     if not model.curve:
         return 0.0
     c = model.curve
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * best + c[2] * math.log1p(total) + c[3] * math.log1p(n)))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * best + c[2] * math.log1p(total)))))
 
 
 def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column | None = None, sample_rows: int = 40_000, lexicon_size: int = 20_000, curve_rows: int = 4_000, min_count: int = 4, prior_texts: float = 4.0) -> Model:
@@ -232,7 +232,7 @@ def _calibrate(model: Model, rows: DataFrame, n: int, curve_rows: int) -> None:
     for r in got:
         e = [-(math.log(model.k * r.n) - model.lam * s) for s in r.sums if r.n]
         e = [min(v, 30.0) for v in e if v > -math.log(model.max_evalue)]
-        x.append([1.0, max(e, default=0.0), math.log1p(sum(e)), math.log1p(r.n)])
+        x.append([1.0, max(e, default=0.0), math.log1p(sum(e))])
         y.append(r.y)
     model.curve = tuple(_logistic(np.array(x), np.array(y, dtype=float)))
 
@@ -270,8 +270,8 @@ def score(docs: DataFrame, key: str, text: str, model: Broadcast) -> DataFrame:
 
 def judged(texts: pa.Array, model: Model) -> Iterator[tuple[float, list]]:
     for _, _, w in blocks(texts):
-        for i, (segs, best, total) in enumerate(features(w, model)):
-            yield _score(model, best, total, int(w.first[i + 1] - w.first[i])), segs
+        for segs, best, total in features(w, model):
+            yield _score(model, best, total), segs
 
 
 def keep_clean(docs: DataFrame, text: str, model: Broadcast, threshold: float) -> DataFrame:
