@@ -86,7 +86,7 @@ def retrigger(fired: Column, new_band: Column, new_score: Column, old_score: Col
 
 
 def clip01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def normalised(observed: Column, normal: float, threshold: float) -> Column:

@@ -31,7 +31,7 @@ def cumsum(t: Tables) -> DataFrame:
 
 @query("wn04_trailing", """
     WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, value FROM events)
-    SELECT a.event_id, count(b.value)::BIGINT AS n, round(CASE WHEN count(b.value) >= 3 THEN avg(b.value) END, 4) AS mean,
+    SELECT a.event_id, count(b.value)::BIGINT AS n, round(CASE WHEN count(b.value) >= 3 THEN avg(b.value) END, 6) AS mean,
            round(CASE WHEN count(b.value) >= 3 THEN coalesce(regr_slope(b.value, (b.s - a.s)::DOUBLE), 0) * 432000 END, 3) AS slope
     FROM e a JOIN e b ON a.user_id = b.user_id AND b.s > a.s - 432000 AND b.s <= a.s GROUP BY 1""")
 def trailing(t: Tables) -> DataFrame:
@@ -39,7 +39,7 @@ def trailing(t: Tables) -> DataFrame:
     e = _events(t)
     out = windows.trailing(e, ["user_id"], "s", "value", 432000)
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-431999, 0)
-    return out.select("event_id", F.count("value").over(w).alias("n"), _r(F.col("mean")).alias("mean"), _r(F.col("slope"), 3).alias("slope"))
+    return out.select("event_id", F.count("value").over(w).alias("n"), _r(F.col("mean"), 6).alias("mean"), _r(F.col("slope"), 3).alias("slope"))
 
 
 @query("wn06_last_known", f"SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events")
@@ -77,12 +77,12 @@ def drawdown(t: Tables) -> DataFrame:
 
 
 @query("wn10_two_windows", """
-    SELECT event_id, round(avg(value) OVER a, 4) AS recent, round(avg(value) OVER b, 4) AS trend FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events)
+    SELECT event_id, round(avg(value) OVER a, 10) AS recent, round(avg(value) OVER b, 10) AS trend FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events)
     WINDOW a AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 500000 PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2500000 PRECEDING AND 500001 PRECEDING)""")
 def two_windows(t: Tables) -> DataFrame:
     """The recent stretch against the longer one before it; the border belongs to the recent one."""
     w = Window.partitionBy("user_id").orderBy("s")
-    return _events(t).select("event_id", _r(F.avg("value").over(w.rangeBetween(-500000, 0))).alias("recent"), _r(F.avg("value").over(w.rangeBetween(-2500000, -500001))).alias("trend"))
+    return _events(t).select("event_id", _r(F.avg("value").over(w.rangeBetween(-500000, 0)), 10).alias("recent"), _r(F.avg("value").over(w.rangeBetween(-2500000, -500001)), 10).alias("trend"))
 
 
 @query("wn11_recent_drop", f"""
