@@ -16,6 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellframe.llm.staging import free_memory, small_batches
+
 #: A rank file is broadcast, so its size is checked first.
 MAX_RANK_BYTES = 64 << 20
 #: Longer texts (in characters) are cut; the regex and merge buffers then stay small.
@@ -58,17 +60,6 @@ class Codec:
         return self._enc.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) if ids else b""
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(ranks: Broadcast, pattern: str) -> Codec:
-    key = (ranks._jbroadcast_id if hasattr(ranks, "_jbroadcast_id") else hash(ranks.value), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks.value, pattern)
-    return _codecs[key]
-
-
 def load_ranks(spark: SparkSession, path: str) -> Broadcast:
     """Broadcast a rank file; its size is bounded by MAX_RANK_BYTES."""
     with open(path, "rb") as f:
@@ -80,9 +71,10 @@ def load_ranks(spark: SparkSession, path: str) -> Broadcast:
 
 def encode(df: DataFrame, key: str, text: str, ranks: Broadcast, pattern: str) -> DataFrame:
     """key, n_tokens (long), ids (binary: little-endian uint32) of every whole text."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = Codec(ranks.value, pattern)
         for b in batches:
             ids = [codec.encode(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])
@@ -98,13 +90,29 @@ def decode(df: DataFrame, ids: str, ranks: Broadcast, pattern: str, out: str = "
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = Codec(ranks.value, pattern)
         for b in batches:
             yield pa.record_batch([*b.columns, pa.array([codec.decode(i) for i in b.column(at).to_pylist()], pa.binary())], [*names, out])
 
     return df.mapInArrow(run, df.select(*[c for c in names]).withColumn(out, F.lit(None).cast("binary")).schema)
 
 
+def round_trip(df: DataFrame, key: str, text: str, ranks: Broadcast, pattern: str) -> DataFrame:
+    """key, n_tokens, ids, decoded: ``encode`` and ``decode`` in one pass, by one Python worker for each task instead of two."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(ranks.value, pattern)
+        for b in batches:
+            ids = [codec.encode(t) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([codec.decode(i) for i in ids], pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+        free_memory()
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary, decoded binary")
+    return out.withColumnRenamed("key", key)
+
+
 def text_of(decoded: Column) -> Column:
     """Decoded bytes as text."""
     return F.decode(decoded, "UTF-8")

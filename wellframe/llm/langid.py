@@ -29,6 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.llm.staging import free_memory, small_batches
 from wellframe.llm.words import Words, blocks, mix
 
 UNKNOWN = "und"
@@ -252,6 +253,7 @@ def judged(texts: pa.Array, model: Model, detail: bool = False) -> Iterator[tupl
 
 def predict(docs: DataFrame, key: str, text: str, model: Broadcast, detail: bool = False) -> DataFrame:
     """key, lang_pred, score, and runs: array of (label, first word, word after the last) with ``detail``."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(docs.schema[key].dataType)
@@ -270,10 +272,12 @@ def predict(docs: DataFrame, key: str, text: str, model: Broadcast, detail: bool
 
 def keep_known(docs: DataFrame, text: str, model: Broadcast, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more, in all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s, _ in judged(b.column(at), model.value)], pa.bool_()))
+        free_memory()
 
     return docs.mapInArrow(run, docs.schema)

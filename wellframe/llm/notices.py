@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.llm.staging import small_batches
 from wellframe.llm.words import Words, blocks, word_hash
 
 #: phrase -> label
@@ -132,6 +133,7 @@ def scan(docs: DataFrame, key: str, text: str, notices: list = NOTICES, phrases:
     matches: array of (label, edits, first_word, end_word, start, end), the last two the span in the
     text's UTF-8 bytes.  score: 1 for an exact phrase, or the best match's share of unedited characters.
     """
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(docs.schema[key].dataType)

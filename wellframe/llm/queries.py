@@ -37,8 +37,7 @@ def bpe_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
-    ids = bpe.encode(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
-    return bpe.decode(ids, "ids", ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

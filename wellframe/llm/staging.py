@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +33,27 @@ def staged(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     path = new_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch.  Rows here hold whole texts, so that Spark's usual ten thousand would take many megabytes
+#: several times over, in the JVM and in each Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def free_memory() -> None:
+    """Give a finished task's memory back to the system: the Python worker stays for later tasks, idle or not."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import staged
+from wellframe.llm.staging import free_memory, small_batches, staged
 from wellframe.llm.words import Words, blocks, mix
 
 PREFIXES = (6, 5, 4)
@@ -125,6 +125,7 @@ def _score(model: Model, best: float, total: float) -> float:
 
 def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column | None = None, sample_rows: int = 40_000, lexicon_size: int = 20_000, curve_rows: int = 4_000, min_count: int = 4, prior_texts: float = 4.0) -> Model:
     """Learn from the texts whose key has a 0 or 1 in ``labels`` and satisfies ``learn`` (a condition on the key)."""
+    small_batches(texts.sparkSession)
     marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)")
     marks = marks.where(learn) if learn is not None else marks
     n = marks.count()
@@ -206,6 +207,7 @@ def _calibrate(model: Model, rows: DataFrame, n: int, curve_rows: int) -> None:
                     own = s[w.first[i] : w.first[i + 1]]
                     out.append((y[lo + i], len(own), max((x[2] for x in segments(own)), default=0.0), [float(x) for x in own[own > 0]], [x[2] for x in segments(own)]))
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["y", "n", "best", "hot", "sums"])
+        free_memory()
 
     got = rows.mapInArrow(run, "y int, n bigint, best double, hot array<double>, sums array<double>").collect()
     clean = [r for r in got if r.y == 0]
@@ -250,6 +252,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
 
 def score(docs: DataFrame, key: str, text: str, model: Broadcast) -> DataFrame:
     """key, score, and the toxic segments (array of first word, word after the last, score, E-value)."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(docs.schema[key].dataType)
@@ -276,10 +279,12 @@ def judged(texts: pa.Array, model: Model) -> Iterator[tuple[float, list]]:
 
 def keep_clean(docs: DataFrame, text: str, model: Broadcast, threshold: float) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, in all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([s < threshold for s, _ in judged(b.column(at), model.value)], pa.bool_()))
+        free_memory()
 
     return docs.mapInArrow(run, docs.schema)

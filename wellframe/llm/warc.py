@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import new_dir, staged
+from wellframe.llm.staging import new_dir, small_batches, staged
 
 MAX_ARCHIVE_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -244,6 +244,7 @@ def _parsed(data: bytes) -> tuple:
 
 def round_trip(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise these, and read all records back."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     written = staged(write_monolithic(deduplicated(pages, key, url, payload, min_bytes), new_dir(spark, "warc-mono"), max_bytes=max_bytes), "archives")
     n = max(1, min(written.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

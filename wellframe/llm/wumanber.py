@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.llm.staging import free_memory, small_batches
 from wellframe.llm.words import Words, blocks, mix
 
 #: A broadcast block has so many words at most (some 60 MB of tables), or one item.
@@ -167,6 +168,7 @@ def load(benchmark: DataFrame, item: str, text: str, window: int = 10, max_words
 
 def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> DataFrame:
     """key, n_words, n_hit (longs), items (array of ids), spans (array of first word, word after the last)."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type, kind = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
@@ -196,12 +198,14 @@ def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> Dat
 
 def keep_clean(docs: DataFrame, text: str, patterns: list[Broadcast]) -> DataFrame:
     """The rows of ``docs`` without a hit word, in all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     for p in patterns:
 
         def run(batches: Iterator[pa.RecordBatch], p: Broadcast = p) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not runs for _, runs, _ in hits(b.column(at), p.value)], pa.bool_()))
+            free_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
