@@ -7,7 +7,8 @@ dimensions, shifts and quantises these, and orders them by the Hilbert index.  T
 ranges on either side of it: each range ranks its candidates in double precision, and the windows' best lists
 of all curves merge.
 
-A query thus sees (2 reach + 1) / ranges of the vectors on each curve, the same share at every size.  A range of more
+A query thus sees (2 reach + 1) / ranges of the vectors on each curve, the same share at every size; small tables are
+cut into fewer ranges, of no fewer than 4 (k + 1) vectors.  A range of more
 than ``max_rows`` vectors is cut into parts by a hash; every part is searched.  On vectors without structure
 no ordering of them helps much, so recall there is bought with the share seen: see the README for figures.
 
@@ -87,6 +88,10 @@ def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20,
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
+    # A range holds four lists' worth of vectors at least, so that a window is never too small for one.
+    ranges = max(1, min(ranges, n // (4 * (k + 1))))
+    around = sorted({d % ranges for d in range(-reach, reach + 1)})
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -115,7 +120,7 @@ def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20,
             part = (node * 40503 % 65521) % parts
             out = [(curve, own, part, node, np.zeros(len(node), bool))]
             q = np.flatnonzero(ask)
-            for d in range(-reach, reach + 1):
+            for d in around:
                 r = (own[q] + d) % ranges  # the curve's ends meet, so that every query sees as much
                 for p in range(parts):
                     out.append((curve[q], r, np.full(len(q), p), node[q], np.ones(len(q), bool)))
