@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from wellframe.plans import more, relational, search, series, stateful  # noqa: F401
+    from wellframe.plans import more, relational, reports, search, series, stateful  # noqa: F401
 
 
 _load()
