@@ -61,6 +61,32 @@ def test_alignment_equals_the_table(x, y, k):
         assert got == pytest.approx(want) if want >= least else got == 0
 
 
+def unlabelled(text, k=5):
+    return [g for g, _ in plain_kmers(text, k)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(words, words, st.integers(1, 5))
+def test_alignment_of_repeats_equals_the_table(x, y, k):
+    ks = [orderminhash.kmers(next(blocks(pa.array([t])))[2], k, labelled=False)[0] for t in (x, y)]
+    want = plain_similarity(unlabelled(x, k), unlabelled(y, k))
+    for least in (0.3, 0.8):
+        got = orderminhash.aligned(*ks, least)
+        assert got == pytest.approx(want) if want >= least else got == 0
+
+
+def test_copy_without_the_first_footer(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["".join(x) for x in itertools.product("abcdef", repeat=3)]
+    footer = list(rng.choice(vocab, 10))
+    sections = [list(rng.choice(vocab, 20)) for _ in range(12)]
+    whole = " ".join(w for s in sections for w in s + footer)
+    cut = " ".join(w for i, s in enumerate(sections) for w in (s + footer if i else s))
+    assert plain_similarity(plain_kmers(whole), plain_kmers(cut)) < 0.8 < plain_similarity(unlabelled(whole), unlabelled(cut))
+    d = spark.createDataFrame([(1, whole), (2, cut)], "doc_id long, text string")
+    assert {r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()} == {1}
+
+
 def edited(rng, base, n):
     w = list(base)
     for _ in range(n):

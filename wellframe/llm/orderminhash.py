@@ -8,8 +8,9 @@ which edit-similar texts do more often than texts that merely share words.
 Exact copies are one node.  Texts that agree in a sketch are candidates.  Within such a bucket, however
 large, pairs aren't enumerated: in each of ``rounds`` rounds its ``leaders`` most central texts (those
 whose k-mers are common, such as an original among its edited copies) are compared with all its texts of other
-components.  A comparison is a banded alignment: the longest chain of shared labelled k-mers in the order of both texts,
-within the band that a pair of the asked similarity cannot leave.  Similarity is m / (n1 + n2 - m) for m aligned of n1
+components.  A comparison is an alignment: the longest chain of shared k-mers in the order of both texts, within the band
+that a pair of the asked similarity cannot leave, or their longest common subsequence where k-mers repeat.  It knows no
+occurrence numbers, which all shift where one repeat is edited.  Similarity is m / (n1 + n2 - m) for m aligned of n1
 and n2 k-mers: the Jaccard similarity of five-word shingles, for texts that share them in the same order.  Classes are
 the connected components of the verified pairs.
 
@@ -41,8 +42,8 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def kmers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled k-mer hashes of all texts, in order, and where each text's begin (with the end)."""
+def kmers(w: Words, k: int, labelled: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """k-mer hashes of all texts, with occurrence labels or without, in order, and where each text's begin (with the end)."""
     n = np.diff(w.first)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(count)])
@@ -56,6 +57,8 @@ def kmers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         out = out * _C + h[np.minimum(at + j, w.first[doc + 1] - 1)]
     out += n[doc].clip(max=k).astype(np.uint64)
     out = mix(out)
+    if not labelled:
+        return out, begin
     # Occurrence numbers: equal k-mers of a text stand together after a stable sort.
     key = out ^ mix(doc.astype(np.uint64), 2)
     order = np.argsort(key, kind="stable")
@@ -96,32 +99,58 @@ def sketch(s: np.ndarray, begin: np.ndarray, sketches: int, length: int) -> np.n
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """The alignment similarity of two labelled k-mer sequences, or 0 if it is below ``least``."""
+    """The alignment similarity of two k-mer sequences, which may hold repeats, or 0 if it is below ``least``."""
     n, m = len(a), len(b)
     need = least / (1 + least) * (n + m) - 1e-9
     if not min(n, m) or min(n, m) < need:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < need:
-        return 0.0
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    band = (i - j <= n - need) & (j - i <= m - need)
-    j = j[band]
-    if len(j) < need:
+    ua, i, ca = np.unique(a, return_index=True, return_counts=True)
+    ub, j, cb = np.unique(b, return_index=True, return_counts=True)
+    both, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    if np.minimum(ca[x], cb[y]).sum() < need:
         return 0.0
-    if (np.diff(j) > 0).all():
-        chain = len(j)
-    else:  # the longest increasing chain
-        tails: list[int] = []
-        for x in j.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        chain = len(tails)
+    if (ca[x] > 1).any() or (cb[y] > 1).any():
+        chain = common_subsequence(a[np.isin(a, both)], b[np.isin(b, both)])
+    else:
+        i, j = i[x], j[y]
+        order = np.argsort(i)
+        i, j = i[order], j[order]
+        band = (i - j <= n - need) & (j - i <= m - need)
+        j = j[band]
+        if len(j) < need:
+            return 0.0
+        if (np.diff(j) > 0).all():
+            chain = len(j)
+        else:  # the longest increasing chain
+            tails: list[int] = []
+            for v in j.tolist():
+                at = bisect_left(tails, v)
+                tails[at : at + 1] = [v]
+            chain = len(tails)
     similarity = chain / (n + m - chain)
     return similarity if similarity >= least - 1e-12 else 0.0
 
 
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of a longest common subsequence: equal ends are cut off, the rest is bit-parallel."""
+    ends = 0
+    for _ in range(2):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        same = int(differ[0]) if len(differ) else n
+        ends += same
+        a, b = a[same:][::-1], b[same:][::-1]
+    where: dict[int, int] = {}
+    for i, c in enumerate(a.tolist()):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b.tolist():
+        u = row & where.get(c, 0)
+        row = ((row + u) | (row - u)) & full
+    return ends + len(a) - row.bit_count()
+
+
 def sketched(docs: DataFrame, key: str, text: str, k: int, sketches: int, length: int) -> DataFrame:
     """key, digest (null for a null text), n_kmers, sketches: all that is known of a text without its words."""
 
@@ -161,7 +190,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
 
 
 def _each(w: Words, k: int) -> Iterator[np.ndarray]:
-    s, begin = kmers(w, k)
+    s, begin = kmers(w, k, labelled=False)
     for i in range(len(begin) - 1):
         yield s[begin[i] : begin[i + 1]]
 
