@@ -126,6 +126,20 @@ def test_hot_groups(spark):
     assert {out[i] for i in range(150)} == {0} and {out[1000 + i] for i in range(150)} == {1000}
 
 
+def test_pairs_inside_a_hot_passage(spark):
+    """Texts of different classes share most of their words; in each planted pair a few more are equal."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(170)]
+    rows = []
+    for g in range(60):
+        own = [f"o{g}x{i}" for i in range(30)]
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + own[:10] + [f"n{g}x{i}" for i in range(20)]))]
+    assert plain_similarity(unlabelled(rows[0][1]), unlabelled(rows[2][1])) < 0.8 < plain_similarity(unlabelled(rows[0][1]), unlabelled(rows[1][1]))
+    d = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == 120
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(1)
     path = [(i, i + 1) for i in range(40)]

@@ -14,8 +14,9 @@ occurrence numbers, which all shift where one repeat is edited.  Similarity is m
 and n2 k-mers: the Jaccard similarity of five-word shingles, for texts that share them in the same order.  Classes are
 the connected components of the verified pairs.
 
-With 10 sketches of 2 k-mers a pair of similarity 0.8 is no candidate with a probability of about 0.36 ** 10; links
-between texts that no leader reaches are found only through other buckets.  The README has the measured share.
+Buckets that still hold several components and more texts than leaders meet are joined by an exact prefix filter, so that
+every similar pair of a bucket ends in one class.  With 10 sketches of 2 k-mers a pair of similarity 0.8 is no candidate
+with a probability of about 0.36 ** 10.
 
 The key is an integer.
 
@@ -217,6 +218,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = 0.8, k:
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = components(links)
+    # What the leaders of large buckets have left: all similar pairs of different components, by an exact join.
+    left = staged(_open(members, labels, leaders), "open")
+    if not left.isEmpty():
+        pairs = staged(_prefix_pairs(left, texts, k, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = staged(verified(pairs, texts, k, least).select("a", "b"), "links")
+        labels = components(links.unionByName(new))
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.col("node").alias("rep_id"), F.coalesce("label", "node").alias("class_id"))
     out = known.select("key", "digest").join(staged(classes, "classes"), "digest", "left")
     return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("rep_id", "key").alias("rep_id"))
@@ -265,3 +272,73 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
         if i < n - 1:
             rest = rest.join(top.select("bucket", F.col("node").alias("top")), "bucket").where("node <> top").drop("top")
     return best
+
+
+def _open(members: DataFrame, labels: DataFrame, leaders: int) -> DataFrame:
+    """node, label of the nodes of buckets of several components that are too large for leaders to have met all pairs."""
+    rows = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = staged(rows, "labelled")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    several = staged(sizes.where((F.col("n") > leaders + 1) & (F.col("lo") < F.col("hi"))).select("bucket"), "several")
+    return rows.join(several, "bucket").select("node", "label").distinct()
+
+
+#: Slots that k-mers are counted in, to take the rare ones first.  Any order gives the same pairs: this one keeps the k-mers
+#: of a passage that many texts share out of the prefixes.
+SLOTS = 1 << 18
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that hold all pairs of similarity ``least``; nodes: node, label.
+
+    Labelled k-mers that two texts share number no fewer than their alignment.  Of n k-mers in one order for all texts, a
+    pair of enough in common shares one among the first n - ceil(least n) + 1 of the longer text and the first
+    n - ceil(2 least n / (1 + least)) + 1 of the shorter.  The shared ones there, and what may follow the last, bound the rest.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+    mask = np.uint64(SLOTS - 1)
+    full = staged(texts.join(nodes, texts["key"] == nodes["node"]).select("node", "label", "text"), "open-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, _, w in blocks(batch.column("text")):
+                n += np.bincount((kmers(w, k)[0] & mask).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], ["slot", "n"])
+        free_memory()
+
+    found = full.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, dtype=np.int64)
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in blocks(batch.column("text")):
+                s, begin = kmers(w, k)
+                row, size, rest, grams, short = [], [], [], [], []
+                for i in range(hi - lo):
+                    x = s[begin[i] : begin[i + 1]]
+                    n = len(x)
+                    x = x[np.lexsort((x, often[(x & mask).astype(np.int64)]))][: n - int(np.ceil(least * n - 1e-9)) + 1]
+                    at = np.arange(len(x))
+                    row.append(np.full(len(x), lo + i))
+                    size.append(np.full(len(x), n))
+                    rest.append(n - 1 - at)
+                    grams.append(x.view(np.int64))
+                    short.append(at <= n - np.ceil(2 * least / (1 + least) * n - 1e-9))
+                rows = pa.array(np.concatenate(row))
+                yield pa.record_batch([batch.column("node").take(rows), batch.column("label").take(rows), *(pa.array(np.concatenate(c)) for c in (size, rest, grams, short))], ["node", "label", "n", "rest", "kmer", "short"])
+        free_memory()
+
+    rows = staged(full.mapInArrow(prefixes, f"node {kind}, label {kind}, n bigint, rest bigint, kmer bigint, short boolean"), "prefixes")
+    # k-mers of several components; of the largest one, texts only meet those outside.
+    parts = staged(rows.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short")), "parts")
+    main = parts.groupBy("kmer").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("parts"), F.max("short").alias("short")).where("parts > 1 and short")
+    rows = staged(rows.join(staged(main.select("kmer", F.col("m.label").alias("main")), "main"), "kmer"), "shared")
+    x = rows.select("kmer", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("main").alias("mb"))
+    y = rows.where("short")
+    met = y.where("label <> main").join(x, "kmer").unionByName(y.where("label = main").join(x.where("lb <> mb"), "kmer"))
+    met = met.where("label <> lb and (n < nb or n = nb and node < b)").where(F.col("n") >= least * F.col("nb") - 1e-9)
+    pairs = met.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("rest", "rb")).alias("rest"), F.first(F.col("n") + F.col("nb")).alias("both"))
+    return pairs.where(F.col("c") + F.col("rest") >= least / (1 + least) * F.col("both") - 1e-9).select("a", "b")
