@@ -93,8 +93,8 @@ def alert_hits(t: Tables) -> DataFrame:
 @query("jn19_greedy_match")
 def greedy_match(t: Tables) -> DataFrame:
     """One-to-one matching within a group: the best score first, then the smaller gap; sequential, so rows only."""
-    a = t.lineitem.where("l_orderkey < 4000 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a"), F.col("l_quantity").alias("qa"))
-    b = t.lineitem.where("l_orderkey < 4000 and l_returnflag = 'A'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("b"), F.col("l_quantity").alias("qb"))
+    a = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a"), F.col("l_quantity").alias("qa"))
+    b = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("b"), F.col("l_quantity").alias("qb"))
     pairs = joins.band(a, b, ["k"], "qa", "qb", 5.0).withColumn("gap", F.abs(F.col("qa") - F.col("qb")))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,8 +172,18 @@ def upsert(t: Tables) -> DataFrame:
 
 @query("snk05_insert_absent", "SELECT c_custkey AS k FROM customer WHERE c_custkey <= 100 UNION SELECT DISTINCT o_custkey FROM orders WHERE o_custkey <= 200")
 def insert_absent(t: Tables) -> DataFrame:
-    old = t.customer.where("c_custkey <= 100").select(F.col("c_custkey").alias("k"))
-    new = t.orders.where("o_custkey <= 200").select(F.col("o_custkey").alias("k")).distinct()
+    return _insert_absent(t.customer.where("c_custkey <= 100"), t.orders.where("o_custkey <= 200"))
+
+
+@query("snk05_insert_absent_all", "SELECT c_custkey AS k FROM customer UNION SELECT DISTINCT o_custkey FROM orders")
+def insert_absent_all(t: Tables) -> DataFrame:
+    """snk05 over the whole tables."""
+    return _insert_absent(t.customer, t.orders)
+
+
+def _insert_absent(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    old = customer.select(F.col("c_custkey").alias("k"))
+    new = orders.select(F.col("o_custkey").alias("k")).distinct()
     return old.unionByName(new.join(old, "k", "left_anti"))
 
 

@@ -358,9 +358,22 @@ def semi(t: Tables) -> DataFrame:
     p AS (SELECT s_suppkey, (500.0 * g)::DOUBLE AS x FROM supplier, range(1, 15) r(g))
     SELECT s_suppkey, x, arg_min(k, (a, b, k)) AS section FROM p JOIN s ON l_suppkey = s_suppkey AND a <= x AND x < b GROUP BY ALL""")
 def containment(t: Tables) -> DataFrame:
+    return _containment(t, t.lineitem.where("l_orderkey < 2000"))
+
+
+@query("jn14_containment_all", """
+    WITH s AS (SELECT l_suppkey, l_linenumber * 1000.0 AS a, l_linenumber * 1000.0 + 900 + l_quantity * 10 AS b, min(l_orderkey) k FROM lineitem GROUP BY ALL),
+    p AS (SELECT s_suppkey, (500.0 * g)::DOUBLE AS x FROM supplier, range(1, 15) r(g))
+    SELECT s_suppkey, x, arg_min(k, (a, b, k)) AS section FROM p JOIN s ON l_suppkey = s_suppkey AND a <= x AND x < b GROUP BY ALL""")
+def containment_all(t: Tables) -> DataFrame:
+    """jn14 over the whole table."""
+    return _containment(t, t.lineitem)
+
+
+def _containment(t: Tables, lines: DataFrame) -> DataFrame:
     """The first section that holds a depth: points are zero-width intervals of an overlap join."""
     a = F.col("l_linenumber") * 1000.0
-    s = t.lineitem.where("l_orderkey < 2000").groupBy(F.col("l_suppkey").alias("k"), a.alias("r_from"), (a + 900 + F.col("l_quantity") * 10).alias("r_to")).agg(F.min("l_orderkey").alias("section"))
+    s = lines.groupBy(F.col("l_suppkey").alias("k"), a.alias("r_from"), (a + 900 + F.col("l_quantity") * 10).alias("r_to")).agg(F.min("l_orderkey").alias("section"))
     p = t.supplier.select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(14))).alias("g")).withColumn("l_from", F.col("g") * 500.0).withColumn("l_to", F.col("l_from") + 1e-6)
     j = joins.overlap(p, s, ["k"], 1000.0).where("r_from <= l_from")
     return j.groupBy(F.col("k").alias("s_suppkey"), F.col("l_from").alias("x")).agg(F.min_by("section", F.struct("r_from", "r_to", "section")).alias("section"))

@@ -65,8 +65,18 @@ def alert_fold(t: Tables) -> DataFrame:
       FROM f JOIN x ON x.l_suppkey = f.l_suppkey AND x.l_returnflag = f.l_returnflag AND x.n = f.n + 1)
     SELECT l_orderkey, l_linenumber FROM f WHERE keep""")
 def first_kept(t: Tables) -> DataFrame:
+    return _first_kept(t.lineitem.where("l_orderkey < 3000"))
+
+
+@query("di04_first_kept_all")
+def first_kept_all(t: Tables) -> DataFrame:
+    """di04 over the whole table, where the recursion of SQL is too slow; compared with brute force in the tests."""
+    return _first_kept(t.lineitem)
+
+
+def _first_kept(lines: DataFrame) -> DataFrame:
     """Near-duplicates within five units of an earlier kept row of the same key go."""
-    rows = t.lineitem.where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
     return dedup.first_kept(rows, ["l_suppkey", "l_returnflag"], "l_quantity", ["l_orderkey", "l_linenumber"], 5.0).select("l_orderkey", "l_linenumber")
 
 
