@@ -32,3 +32,11 @@ def test_containment_and_insert_reach_late_keys(spark, tmp_path):
     spark.createDataFrame([(500,), (900,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.section for r in registry.QUERIES["jn14_containment_all"](spark, str(tmp_path)).collect()} == {9000}
     assert sorted(r.k for r in registry.QUERIES["snk05_insert_absent_all"](spark, str(tmp_path)).collect()) == [500, 900]
+
+
+def test_reports_and_overlaps_leave_no_key_out(spark, sf):
+    from wellframe.plans import reports
+
+    assert reports.field(registry.Tables(spark, sf))["events"].count() == len(lines(spark, sf))
+    for name in ("jn16_overlap_all", "jn17_best_overlap_all"):
+        assert {r.k % 10 for r in registry.QUERIES[name](spark, sf).collect()} == set(range(10))

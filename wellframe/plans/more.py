@@ -69,10 +69,23 @@ def formation_asof(t: Tables) -> DataFrame:
     o AS (SELECT o_custkey AS k, o_orderkey, floor(epoch(o_orderdate))::DOUBLE / 86400 AS a, floor(epoch(o_orderdate))::DOUBLE / 86400 + 100 AS b FROM orders)
     SELECT g.k, g.a::DOUBLE AS a, arg_max(o_orderkey, (least(g.b, o.b) - greatest(g.a, o.a), o_orderkey)) AS best FROM g JOIN o ON g.k = o.k AND o.a < g.b AND o.b > g.a GROUP BY ALL""")
 def best_overlap(t: Tables) -> DataFrame:
+    return _best_overlap(t, t.customer.where("c_custkey % 10 = 0"))
+
+
+@query("jn17_best_overlap_all", """
+    WITH g AS (SELECT c_custkey AS k, 8000.0 + 250 * i AS a, 8250.0 + 250 * i AS b FROM customer, range(0, 8) r(i)),
+    o AS (SELECT o_custkey AS k, o_orderkey, floor(epoch(o_orderdate))::DOUBLE / 86400 AS a, floor(epoch(o_orderdate))::DOUBLE / 86400 + 100 AS b FROM orders)
+    SELECT g.k, g.a::DOUBLE AS a, arg_max(o_orderkey, (least(g.b, o.b) - greatest(g.a, o.a), o_orderkey)) AS best FROM g JOIN o ON g.k = o.k AND o.a < g.b AND o.b > g.a GROUP BY ALL""")
+def best_overlap_all(t: Tables) -> DataFrame:
+    """jn17 for every customer."""
+    return _best_overlap(t, t.customer)
+
+
+def _best_overlap(t: Tables, customer: DataFrame) -> DataFrame:
     """Each cell's row of the largest overlap, the latest on a tie."""
     day = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double") / 86400
     o = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", day.alias("r_from"), (day + 100).alias("r_to"))
-    g = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    g = customer.select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     g = g.select("k", (8000.0 + 250 * F.col("i")).alias("l_from"), (8250.0 + 250 * F.col("i")).alias("l_to"))
     m = F.least("l_to", "r_to") - F.greatest("l_from", "r_from")
     return joins.overlap(g, o, ["k"], 250.0).groupBy("k", F.col("l_from").alias("a")).agg(F.max_by("o_orderkey", F.struct(m.alias("m"), "o_orderkey")).alias("best"))

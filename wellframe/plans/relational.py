@@ -384,10 +384,23 @@ def _containment(t: Tables, lines: DataFrame) -> DataFrame:
     q AS (SELECT c_custkey AS k, (8000.0 + 200 * g)::DOUBLE AS a, (8100.0 + 200 * g)::DOUBLE AS b FROM customer, range(0, 12) r(g) WHERE c_custkey % 5 = 0)
     SELECT q.k, q.a, max(p) AS top FROM q JOIN i ON i.k = q.k AND i.a < q.b AND i.b > q.a GROUP BY ALL""")
 def overlap(t: Tables) -> DataFrame:
+    return _overlap(t, t.customer.where("c_custkey % 5 = 0"))
+
+
+@query("jn16_overlap_all", """
+    WITH i AS (SELECT o_custkey AS k, epoch(o_orderdate)::DOUBLE / 86400 AS a, epoch(o_orderdate)::DOUBLE / 86400 + 20 + o_orderkey % 30 AS b, o_totalprice AS p FROM orders),
+    q AS (SELECT c_custkey AS k, (8000.0 + 200 * g)::DOUBLE AS a, (8100.0 + 200 * g)::DOUBLE AS b FROM customer, range(0, 12) r(g))
+    SELECT q.k, q.a, max(p) AS top FROM q JOIN i ON i.k = q.k AND i.a < q.b AND i.b > q.a GROUP BY ALL""")
+def overlap_all(t: Tables) -> DataFrame:
+    """jn16 for every customer."""
+    return _overlap(t, t.customer)
+
+
+def _overlap(t: Tables, customer: DataFrame) -> DataFrame:
     """The largest order of those that overlap a window."""
     day = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double") / 86400
     i = t.orders.select(F.col("o_custkey").alias("k"), day.alias("r_from"), (day + 20 + F.col("o_orderkey") % 30).alias("r_to"), F.col("o_totalprice").alias("p"))
-    q = t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("g"))
+    q = customer.select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("g"))
     q = q.select("k", (8000.0 + 200 * F.col("g")).alias("l_from"), (8100.0 + 200 * F.col("g")).alias("l_to"))
     return joins.overlap(q, i, ["k"], 100.0).groupBy("k", F.col("l_from").alias("a")).agg(F.max("p").alias("top"))
 

@@ -26,7 +26,7 @@ def field(t: Tables) -> dict[str, DataFrame]:
         "stations": s.where("k % 3 <> 0").select("wellbore_id", "k", F.explode(F.array(F.lit(0.0), F.lit(1000.0), F.lit(2500.0))).alias("md_m")).select("wellbore_id", "md_m", (F.col("md_m") * 0.97).alias("tvd_m"), F.lit(0.0).alias("north_m"), (F.col("md_m") * (F.col("k") % 5) / 20).alias("east_m"), F.lit(5.0).alias("inc_deg")),
         "tops": tops.select("wellbore_id", "formation", F.lit("actual").alias("source"), (600.0 * (F.col("i") + 1) + F.col("k") * 37 % 101).alias("top_md_m")),
         "order": t.spark.createDataFrame([(f, i) for i, f in enumerate(FORMATIONS)], "formation string, strat_order int"),
-        "events": t.lineitem.where("l_orderkey % 10 = 0").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"), F.col("l_suppkey").cast("string").alias("wellbore_id"), risk.lookup(F.col("l_returnflag"), {"R": "losses", "A": "kick"}).alias("risk_type"), (q * 50).alias("md_from_m"), (q * 50 + 20).alias("md_to_m"), F.when(F.col("l_tax") > 0.07, "rejected").when(F.col("l_tax") > 0.05, "pending").otherwise("approved").alias("review_status"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_discount").alias("npt_h")),
+        "events": t.lineitem.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"), F.col("l_suppkey").cast("string").alias("wellbore_id"), risk.lookup(F.col("l_returnflag"), {"R": "losses", "A": "kick"}).alias("risk_type"), (q * 50).alias("md_from_m"), (q * 50 + 20).alias("md_to_m"), F.when(F.col("l_tax") > 0.07, "rejected").when(F.col("l_tax") > 0.05, "pending").otherwise("approved").alias("review_status"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_discount").alias("npt_h")),
     }
 
 
