@@ -40,3 +40,12 @@ def test_reports_and_overlaps_leave_no_key_out(spark, sf):
     assert reports.field(registry.Tables(spark, sf))["events"].count() == len(lines(spark, sf))
     for name in ("jn16_overlap_all", "jn17_best_overlap_all"):
         assert {r.k % 10 for r in registry.QUERIES[name](spark, sf).collect()} == set(range(10))
+
+
+def test_limit_is_for_each_well(spark):
+    from wellframe.operators import wells
+
+    offsets = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0)], "wellbore_id string, other_id string, surface_m double")
+    events = spark.createDataFrame([("x", f"e{i}", float(i), "approved") for i in range(5)], "wellbore_id string, event_id string, md_from_m double, review_status string")
+    got = [(r.wellbore_id, r.event_id) for r in wells.events_for_offsets(offsets, events, limit=2).collect()]
+    assert got == [("a", "e0"), ("a", "e1"), ("b", "e0"), ("b", "e1")]

@@ -67,11 +67,14 @@ def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame,
 
 
 def events_for_offsets(offsets: DataFrame, events: DataFrame, formations_: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Events of the neighbours, nearest well first, then by depth; rejected ones never."""
+    """Events of the neighbours, nearest well first, then by depth, ``limit`` of each probed well; rejected ones never."""
     e = events.where("review_status <> 'rejected'")
     e = e.where(F.col("formation").isin(formations_)) if formations_ else e
-    out = offsets.join(e.withColumnRenamed("wellbore_id", "other_id"), "other_id").orderBy("wellbore_id", "surface_m", "other_id", "md_from_m", "event_id")
-    return out.limit(limit) if limit else out
+    order = ["surface_m", "other_id", "md_from_m", "event_id"]
+    out = offsets.join(e.withColumnRenamed("wellbore_id", "other_id"), "other_id")
+    if limit:
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("wellbore_id").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    return out.orderBy("wellbore_id", *order)
 
 
 def predict_tops(offsets: DataFrame, tops: DataFrame, order: DataFrame, nearest: int = 12, gap: float = 5.0) -> DataFrame:

@@ -46,12 +46,24 @@ def prefix_counter(t: Tables) -> DataFrame:
     WITH o AS (SELECT a.s_suppkey AS w, b.s_suppkey AS o, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)
     SELECT w, l_orderkey, l_linenumber FROM o JOIN lineitem ON l_suppkey = o WHERE l_quantity > 49 AND d <= 500 ORDER BY w, d, o, l_orderkey, l_linenumber LIMIT 200""")
 def events_of_offsets(t: Tables) -> DataFrame:
+    return _events_of_offsets(t).orderBy("w", "d", "o", "l_orderkey", "l_linenumber").limit(200).select("w", "l_orderkey", "l_linenumber")
+
+
+@query("jn11_events_per_well", """
+    WITH o AS (SELECT a.s_suppkey AS w, b.s_suppkey AS o, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)
+    SELECT w, l_orderkey, l_linenumber FROM o JOIN lineitem ON l_suppkey = o WHERE l_quantity > 49 AND d <= 500 QUALIFY row_number() OVER (PARTITION BY w ORDER BY d, o, l_orderkey, l_linenumber) <= 200""")
+def events_per_well(t: Tables) -> DataFrame:
+    """jn11 with the limit of the reference, which is for one well."""
+    n = F.row_number().over(Window.partitionBy("w").orderBy("d", "o", "l_orderkey", "l_linenumber"))
+    return _events_of_offsets(t).withColumn("n", n).where("n <= 200").select("w", "l_orderkey", "l_linenumber")
+
+
+def _events_of_offsets(t: Tables) -> DataFrame:
     s = t.supplier
     a = s.select(F.col("s_suppkey").alias("w"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("sa"))
     b = s.select(F.col("s_suppkey").alias("o"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("sb"))
     o = joins.band(a, b, ["k"], "sa", "sb", 500.0).where("w <> o").withColumn("d", F.abs(F.col("sa") - F.col("sb")))
-    j = o.join(t.lineitem.where("l_quantity > 49").select("l_suppkey", "l_orderkey", "l_linenumber"), F.col("l_suppkey") == F.col("o"))
-    return j.orderBy("w", "d", "o", "l_orderkey", "l_linenumber").limit(200).select("w", "l_orderkey", "l_linenumber")
+    return o.join(t.lineitem.where("l_quantity > 49").select("l_suppkey", "l_orderkey", "l_linenumber"), F.col("l_suppkey") == F.col("o"))
 
 
 @query("jn15_formation_asof", """
