@@ -49,3 +49,13 @@ def test_limit_is_for_each_well(spark):
     events = spark.createDataFrame([("x", f"e{i}", float(i), "approved") for i in range(5)], "wellbore_id string, event_id string, md_from_m double, review_status string")
     got = [(r.wellbore_id, r.event_id) for r in wells.events_for_offsets(offsets, events, limit=2).collect()]
     assert got == [("a", "e0"), ("a", "e1"), ("b", "e0"), ("b", "e1")]
+
+
+def test_snippets_of_every_length(spark, tmp_path):
+    texts = {1: "  the quick brown fox jumps over the lazy dog", 2: "one\ttwo  three four", 3: "word", 4: "", 5: None, 6: "upquick brown foxes jump, over it"}
+    snippets = ["quick", "ick bro", "uick brown fo", "ick brown fox jum", "quick brown fox jumps over", "wo  three", "two three", "ord", "", " ", "q", "ick brown foxes jump, ov", None]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(snippets)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(d, i) for d, x in texts.items() for i, s in enumerate(snippets) if x is not None and s is not None and s in x}
+    got = [tuple(r) for r in registry.QUERIES["jn25_containment"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)

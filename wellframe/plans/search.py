@@ -158,12 +158,29 @@ def geojson(t: Tables) -> DataFrame:
 
 @query("jn25_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def text_containment(t: Tables) -> DataFrame:
-    """Snippets that a page holds: an equi-join on the snippet's first word pair, then the exact test."""
-    pair = r"^(\S+\s+\S+\s+\S+)"
-    b = t.benchmark.where("text is not null").select("item_id", F.col("text").alias("s"), F.regexp_extract("text", pair, 1).alias("k"))
-    words = F.split("text", r"(?<=\s)(?=\S)")
-    d = t.documents.where("text is not null").select("doc_id", "text", words.alias("w"))
-    # Every place where three words begin: their own text, as it stands.
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.regexp_replace(F.array_join(F.slice("w", i, F.lit(3)), ""), r"\s+$", ""))
-    k = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(F.broadcast(b), "k").select("doc_id", "item_id", "s")
-    return k.join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("s"))).select("doc_id", "item_id").distinct()
+    """Snippets that a page holds: an equi-join on words inside the snippet, then the exact test.
+
+    A snippet's first and last word may begin or end within a word of the page, so the key is three of those between them, or
+    one; a snippet without any is found through the parts of the pages' words.  A blank one is tried on every page.
+    """
+    found = lambda pattern: F.regexp_extract("s", pattern, 1)
+    b = t.benchmark.where("text is not null").select("item_id", F.col("text").alias("s"))
+    three, one = found(r"^\s*\S+\s+(\S+\s+\S+\s+\S+)\s"), found(r"^\s*\S+\s+(\S+)\s")
+    blank = F.regexp_replace("s", r"\s+", "") == ""
+    b = b.withColumn("k", F.when(three != "", three).when(one != "", one).when(blank, F.lit("")))
+    d = t.documents.where("text is not null").select("doc_id", F.split("text", r"(?<=\s)(?=\S)").alias("w"))
+    bare = lambda c: F.regexp_replace(c, r"\s+$", "")
+    # Every place where three words begin, and every word: their own text, as it stands.
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: bare(F.array_join(F.slice("w", i, F.lit(3)), "")))
+    words = F.array_distinct(F.transform("w", bare))
+    keys = F.array_distinct(F.concat(grams, words, F.array(F.lit(""))))
+    pairs = d.select("doc_id", F.explode(keys).alias("k")).join(F.broadcast(b.where("k is not null")), "k").select("doc_id", "item_id", "s")
+    short = b.where("k is null").select("item_id", "s", F.regexp_extract("s", r"(\S+)", 1).alias("part"))
+    sizes = [r[0] for r in short.select(F.length("part")).distinct().collect()]
+    if sizes:
+        each = d.select("doc_id", F.explode(words).alias("word"))
+        at = each.select("word").distinct().withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where(F.length("word") >= F.col("n"))
+        parts = at.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("i")).select("word", F.expr("substring(word, i, n)").alias("part")).distinct()
+        hits = parts.join(F.broadcast(short), "part").select("word", "item_id", "s")
+        pairs = pairs.unionByName(each.join(hits, "word").select("doc_id", "item_id", "s"))
+    return pairs.distinct().join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("s"))).select("doc_id", "item_id").distinct()
