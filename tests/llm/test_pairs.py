@@ -196,6 +196,23 @@ def test_recall_on_the_table(spark):
     assert np.mean(share) >= 0.9
 
 
+def test_recall_without_structure(spark):
+    """Enough vectors for all 16 ranges of a curve."""
+    x = np.random.default_rng(17).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in curveknn.nearest(d, "vec_id", "embedding", "id % 20 = 0").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    share = []
+    for q, got in found.items():
+        s = x @ x[q]
+        s[q] = -9
+        share.append(len(got & set(np.argsort(-s)[:20].tolist())) / 20)
+    print("recall", np.mean(share))
+    assert len(found) == 150 and np.mean(share) >= 0.9
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
