@@ -15,25 +15,49 @@ from wellframe.llm.components import components
 from wellframe.llm.words import blocks
 
 
-def plain_kmers(text, k=5):
-    w = plain_words(text)
-    grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] * bool(w)
-    seen, out = {}, []
-    for g in grams:
-        seen[g] = seen.get(g, 0) + 1
-        out.append((g, seen[g]))
-    return out
+def plain_edits(a, b):
+    """By the textbook table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def whole_edits(a, b):
+    """As the table, a whole column at a time as bit vectors, for long texts."""
+    where = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    n, full = len(a), (1 << len(a)) - 1
+    up, down, cost = full, 0, len(a)
+    for y in b:
+        eq = where.get(y, 0)
+        d = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = (down | ~(d | up)) & full, d & up
+        cost += (rise >> (n - 1) & 1) - (fall >> (n - 1) & 1) if n else 1
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = (fall | ~(d | rise)) & full, d & rise
+    return cost
 
 
 def plain_similarity(a, b):
-    """By the textbook table of longest common subsequences."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-        row = new
-    return row[-1] / max(len(a) + len(b) - row[-1], 1)
+    return 1 - whole_edits(a, b) / max(len(a), len(b), 1) if a and b else 0.0
+
+
+def similar_pairs(words, least=0.8):
+    """All pairs of texts (id: words) of edit similarity ``least``; word counts refuse most before they are aligned."""
+    ids = sorted(i for i in words if words[i])
+    bins = np.array([np.bincount([zlib.crc32(x.encode()) % 1024 for x in words[i]], minlength=1024) for i in ids])
+    n = bins.sum(axis=1)
+    for k, i in enumerate(ids):
+        d = bins[k + 1 :] - bins[k]
+        far = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+        for at in np.flatnonzero(far <= (1 - least) * np.maximum(n[k + 1 :], n[k]) + 1e-9):
+            if plain_similarity(words[i], words[ids[k + 1 + at]]) >= least - 1e-12:
+                yield i, ids[k + 1 + int(at)]
 
 
 def classes(ids, links):
@@ -44,35 +68,48 @@ def classes(ids, links):
     return label
 
 
-words = st.lists(st.sampled_from("a b c d e".split()), max_size=30).map(" ".join)
+words = st.lists(st.sampled_from("a b c d e".split()), max_size=30)
 
 
 @settings(max_examples=60, deadline=None)
-@given(words, words, st.integers(1, 5))
-def test_alignment_equals_the_table(x, y, k):
-    ks = []
-    for t in (x, y):
-        s, begin = orderminhash.kmers(next(blocks(pa.array([t])))[2], k)
-        assert len(s) == len(plain_kmers(t, k)) == len(set(s.tolist()))
-        ks.append(s)
-    want = plain_similarity(plain_kmers(x, k), plain_kmers(y, k))
-    for least in (0.3, 0.8):
-        got = orderminhash.aligned(*ks, least)
-        assert got == pytest.approx(want) if want >= least else got == 0
-
-
-def unlabelled(text, k=5):
-    return [g for g, _ in plain_kmers(text, k)]
-
-
-@settings(max_examples=60, deadline=None)
-@given(words, words, st.integers(1, 5))
-def test_alignment_of_repeats_equals_the_table(x, y, k):
-    ks = [orderminhash.kmers(next(blocks(pa.array([t])))[2], k, labelled=False)[0] for t in (x, y)]
-    want = plain_similarity(unlabelled(x, k), unlabelled(y, k))
-    for least in (0.3, 0.8):
-        got = orderminhash.aligned(*ks, least)
-        assert got == pytest.approx(want) if want >= least else got == 0
+@given(words, st.integers(1, 5), st.integers(1, 3))
+def test_labels_count_the_first_repeats(x, k, repeats):
+    w = next(blocks(pa.array([" ".join(x), "a a a a a a a"])))[2]
+    s, begin = orderminhash.labelled(*orderminhash.kmers(w, k), repeats)
+    grams = [tuple(x[i : i + k]) for i in range(len(x) - k + 1)] if len(x) >= k else [tuple(x)] * bool(x)
+    seen, want = {}, []
+    for g in grams:
+        seen[g] = seen.get(g, 0) + 1
+        if seen[g] <= repeats:
+            want.append((g, seen[g]))
+    got = s[: begin[1]].tolist()
+    assert len(got) == len(want) == len(set(got)) and begin[2] - begin[1] == min(repeats, 8 - k)
+    assert dict(zip(want, got, strict=True)) == {g: h for g, h in zip(want, got, strict=True)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(words, words, st.sampled_from([0.3, 0.6, 0.8, 1.0]))
+def test_banded_alignment_equals_the_table(x, y, least):
+    a, b = (next(blocks(pa.array([" ".join(t)])))[2] for t in (x, y))
+    a, b = (w.hashes() if len(w) else np.zeros(0, np.uint64) for w in (a, b))
+    edits = plain_edits(x, y)
+    assert whole_edits(x, y) == edits
+    want = 1 - edits / max(len(x), len(y)) if x or y else 0.0
+    got = orderminhash.edit_similarity(a, b, least)
+    assert got == pytest.approx(want) if want >= least - 1e-12 and want > 0 else got == 0
+    long, short = (x, y) if len(x) >= len(y) else (y, x)
+    for most in (0, 2, 5, 40):
+        assert orderminhash.banded_edits([ord(c) for c in long], [ord(c) for c in short], most) == min(edits, min(most, len(long)) + 1) or edits > most
+
+
+def test_alignment_of_long_texts():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 400, 6000)
+    b = np.array([x for x in a if rng.random() > 0.05])
+    b[rng.integers(0, len(b), 300)] = 999
+    want = 1 - whole_edits(a.tolist(), b.tolist()) / 6000
+    assert orderminhash.edit_similarity(a, b, 0.8) == pytest.approx(want) and want > 0.85
+    assert orderminhash.edit_similarity(a, rng.permutation(a), 0.8) == 0
 
 
 def test_copy_without_the_first_footer(spark):
@@ -82,7 +119,6 @@ def test_copy_without_the_first_footer(spark):
     sections = [list(rng.choice(vocab, 20)) for _ in range(12)]
     whole = " ".join(w for s in sections for w in s + footer)
     cut = " ".join(w for i, s in enumerate(sections) for w in (s + footer if i else s))
-    assert plain_similarity(plain_kmers(whole), plain_kmers(cut)) < 0.8 < plain_similarity(unlabelled(whole), unlabelled(cut))
     d = spark.createDataFrame([(1, whole), (2, cut)], "doc_id long, text string")
     assert {r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()} == {1}
 
@@ -108,9 +144,7 @@ def test_classes_equal_brute_force(spark):
     rows += [(900, None, "c", 1), (901, None, "c", 1), (902, "", "c", 1), (903, "", "c", 1), (904, "two words", "c", 1), (905, "Two, words", "c", 1), (906, "...", "c", 1), (0, texts[0], "c", 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, digest string, class_id int")
     got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()}
-    ks = {i: plain_kmers(t) for i, t, _, _ in rows if t}
-    links = [(a, b) for a, b in itertools.combinations(sorted(ks), 2) if ks[a] and ks[b] and plain_similarity(ks[a], ks[b]) >= 0.8]
-    links.append((902, 903))
+    links = [*similar_pairs({i: plain_words(t) for i, t, _, _ in rows if t}), (902, 903)]
     assert got == classes([r[0] for r in rows], links)
     assert orderminhash.near_duplicates(d.limit(0), "doc_id", "text").count() == 0
 
@@ -129,17 +163,52 @@ def test_hot_groups(spark):
 def test_pairs_inside_a_hot_passage(spark):
     """Texts of different classes share most of their words; in each planted pair a few more are equal."""
     rng = np.random.default_rng(11)
-    passage = [f"p{i}" for i in range(170)]
+    passage = [f"p{i}" for i in range(150)]
     rows = []
     for g in range(60):
-        own = [f"o{g}x{i}" for i in range(30)]
-        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + own[:10] + [f"n{g}x{i}" for i in range(20)]))]
-    assert plain_similarity(unlabelled(rows[0][1]), unlabelled(rows[2][1])) < 0.8 < plain_similarity(unlabelled(rows[0][1]), unlabelled(rows[1][1]))
+        own = [f"o{g}x{i}" for i in range(50)]
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + own[:15] + [f"n{g}x{i}" for i in range(35)]))]
+    of = lambda i: rows[i][1].split()
+    assert plain_similarity(of(0), of(2)) < 0.8 < plain_similarity(of(0), of(1))
     d = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()}
     assert got == {i: i - i % 2 for i in got} and len(got) == 120
 
 
+def test_texts_that_mostly_repeat_a_pair_of_words(spark):
+    """Similar ones that share their own words are found; those that share the repeats alone share no class by chance of it."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(30):
+        own = [f"o{g}x{i}" for i in range(60)]
+        rows += [(2 * g, " ".join(own + ["is", "onhe"] * 60)), (2 * g + 1, " ".join(edited(rng, own, 5) + ["is", "onhe"] * 58))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(d, "doc_id", "text").collect()}
+    assert got == classes([i for i, _ in rows], list(similar_pairs({i: t.split() for i, t in rows})))
+    assert got == {i: i - i % 2 for i in got}
+
+
+def test_repeated_rows_and_several_texts_of_a_key(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base)] * 300 + [(2, near)] * 300 + [(3, other), (1, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = orderminhash.near_duplicates(d, "doc_id", "text").collect()
+    assert len(got) == len(rows) and {r.class_id for r in got} == {1}
+
+
+def test_recall_on_the_documents(spark):
+    """Classes by all pairs of edit similarity 0.8 or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.rep_id) for r in orderminhash.near_duplicates(docs, "doc_id", "text").collect()}
+    words = {r.doc_id: plain_words(r.text) for r in docs.collect() if got[r.doc_id][1] == r.doc_id}
+    pairs = list(similar_pairs(words))
+    found = [got[a][0] == got[b][0] for a, b in pairs]
+    assert len(pairs) >= 50 and np.mean(found) >= 0.95
+    label = classes(words, pairs)
+    assert all(label[got[i][0]] == label[i] for i in words)  # no class holds texts that no links join
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(1)
     path = [(i, i + 1) for i in range(40)]
@@ -225,8 +294,7 @@ def test_pipeline_stages(spark, sf):
         assert {r.doc_id for r in kept[-1].collect()} <= {r.doc_id for r in kept[-2].collect()}
     texts = {r.doc_id: r.text for r in kept[2].collect()}
     left = {r.doc_id for r in kept[3].collect()}
-    ks = {i: plain_kmers(t) for i, t in texts.items()}
-    links = [(a, b) for a, b in itertools.combinations(sorted(ks), 2) if min(len(ks[a]), len(ks[b])) >= 0.8 * max(len(ks[a]), len(ks[b])) and len(set(ks[a]) & set(ks[b])) >= 0.44 * (len(ks[a]) + len(ks[b])) and plain_similarity(ks[a], ks[b]) >= 0.8]
+    links = list(similar_pairs({i: plain_words(t) for i, t in texts.items()}))
     label = classes(texts, links)
     assert left == {i for i in texts if label[i] == i}
     from tests.llm.test_text_operators import plain_hits

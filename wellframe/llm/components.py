@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import staged
+from wellframe.llm.staging import discard, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,11 +20,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = staged(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-low")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = low.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label"))
         new = staged(new, "cc-labels")
+        discard(low, labels)
+        labels = new
         if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(both)
+            out = staged(new.select("node", "label"), "components")
+            discard(new)
+            return out

@@ -32,7 +32,22 @@ def staged(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other DataFrames are left as they are."""
+    for t in tables:
+        if path := getattr(t, "staged_path", None):
+            delete(t.sparkSession, path)
 
 
 #: Rows of an Arrow batch.  Rows here hold whole texts, so that Spark's usual ten thousand would take many megabytes
