@@ -8,10 +8,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.test_words_and_codes import plain_words
 from wellframe.llm import curveknn, orderminhash
-from wellframe.llm.components import components
+from wellframe.llm.components import components, joined
+from wellframe.llm.staging import only
 from wellframe.llm.words import blocks
 
 
@@ -218,6 +220,17 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     assert got == classes({x for e in edges for x in e}, edges)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for cut in (0, 50, len(edges)):  # in two steps
+        frame = lambda e: spark.createDataFrame(e, "a long, b long")
+        both = {r.node: r.label for r in joined(components(frame(edges[:cut])), frame(edges[cut:])).collect()}
+        assert both == classes({x for e in edges for x in e}, edges)
+
+
+def test_only_the_rows_of_some_keys(spark):
+    rows = spark.range(20_000).select("id", F.concat(F.lit("t"), "id").alias("t")).unionByName(spark.createDataFrame([(7, "again"), (None, "none")], "id long, t string"))
+    keys = spark.createDataFrame([(7,), (19_999,), (7,), (55_555,), (None,)], "id long")
+    assert sorted(tuple(r) for r in only(rows, keys, "id").collect()) == [(7, "again"), (7, "t7"), (19_999, "t19999")]
+    assert only(rows, keys.limit(0), "id").count() == 0
 
 
 def test_neighbours_against_brute_force(spark):

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellframe.llm.components import components
-from wellframe.llm.staging import discard, free_memory, small_batches, staged
+from wellframe.llm.components import components, joined
+from wellframe.llm.staging import discard, free_memory, only, small_batches, staged
 from wellframe.llm.words import Words, blocks, mix
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -228,8 +228,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("bins").alias(f"bins_{x}"), F.col("n_words").alias(f"n_{x}"))
     counted = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "bins_a", "bins_b", "n_a", "n_b")
     some = staged(counted.mapInArrow(likely, f"a {kind}, b {kind}"), "likely")
-    wanted = some.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    known = staged(_once(texts.join(wanted, "key", "left_semi").select("key", "text")), "texts")
+    known = staged(_once(only(texts, some.select(F.explode(F.array("a", "b")).alias("key")), "key")), "texts")
     full = some.join(known.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(known.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     out = staged(full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
     discard(some, known)
@@ -265,8 +264,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = 0.8, k:
     if not left.isEmpty():
         more = staged(_prefix_pairs(left, texts, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = verified(more, nodes, texts, least)
-        labels = components(links.select("a", "b").unionByName(new.select("a", "b")))
-        done += [more, new]
+        done += [more, new, labels]
+        labels = joined(labels, new)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.col("node").alias("rep_id"), F.coalesce("label", "node").alias("class_id"))
     classes = staged(classes, "classes")
     discard(left, nodes, labels, *done)
@@ -340,7 +339,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFra
     kind = members.schema["node"].dataType.simpleString()
     nodes = staged(members.select("node", "label").distinct(), "open-nodes")
     mask = np.uint64(SLOTS - 1)
-    full = staged(_once(texts.join(nodes.select(F.col("node").alias("key"), "label"), "key")).withColumnRenamed("key", "node"), "open-texts")
+    named = nodes.select(F.col("node").alias("key"), "label")
+    full = staged(_once(only(texts, named, "key")).join(named, "key").withColumnRenamed("key", "node"), "open-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, dtype=np.int64)

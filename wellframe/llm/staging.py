@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,3 +73,22 @@ def free_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+#: Bits that keys are hashed to.  They make 8 MB, in pieces of 32,768 bits.
+MAP_BITS = 1 << 26
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``, of which there are few.
+
+    A bit map of fixed size is broadcast first and lets no more than these and a few others through, so that wide rows which
+    nobody asks for are not moved; the join then is exact.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    bits = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    bits = staged(bits, "bits")
+    byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
+    likely = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("_piece")).where(hit).drop("_piece", "_bits")
+    return likely.join(keys.select(key).distinct(), key, "left_semi")
