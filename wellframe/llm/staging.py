@@ -91,4 +91,5 @@ def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
     likely = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("_piece")).where(hit).drop("_piece", "_bits")
-    return likely.join(keys.select(key).distinct(), key, "left_semi")
+    # A semi join would be pushed below the join with the map, and so move all rows.
+    return likely.join(keys.select(key).distinct(), key).select(*rows.columns)
