@@ -10,7 +10,7 @@ names hold a random run id, the partition and the attempt, and only files named
 are read: a retried or speculative task never mixes with another's files.
 
 Edge cases: a null payload is an empty one.  A null URL has no target header; line breaks in a URL are
-percent-encoded.  Repeated rows are records of their own; where they share the smallest id of a group of
+percent-encoded.  Null, empty and repeated keys come back as they are.  Repeated rows are records of their own; where they share the smallest id of a group of
 equal payloads, each of them is a response, as none can refer to itself.  A null id counts as larger than
 all others.  An empty table gives no archives and no records.  Other columns are not read.  A file that
 ends within a record raises ValueError.
@@ -24,13 +24,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import new_dir, small_batches, staged
+from wellframe.llm.staging import delete, discard, new_dir, small_batches, staged
 
 MAX_ARCHIVE_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,16 +56,21 @@ def put(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def record(kind: str, ident: str, url: str | None, digest: str, length: int, payload: bytes, refers_to: str | None, date: str) -> bytes:
-    """One WARC record; a revisit has the HTTP header alone."""
+def record(kind: str, key: str | None, url: str | None, digest: str, length: int, payload: bytes, refers_to: str | None, date: str) -> bytes:
+    """One WARC record; a revisit has the HTTP header alone.
+
+    Its id is its own, as keys may be null or repeated; the key stands in a header, which a null key lacks.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http + (payload if kind == "response" else b"")
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{ident}>", f"WARC-Date: {date}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    if key is not None:
+        head.append("X-Page-Key: " + quote(key, safe=""))
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {length}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += ["X-Refers-To-Key: " + quote(refers_to, safe=""), f"WARC-Profile: {REVISIT_PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -158,7 +164,7 @@ def write_monolithic(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00
         for b in batches:
             for key, url, payload, length, sha1, kind, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                data = record(kind, "" if key is None else str(key), url, digest, length, payload.encode() if kind == "response" else b"", None if refers is None else str(refers), date)
+                data = record(kind, None if key is None else str(key), url, digest, length, payload.encode() if kind == "response" else b"", None if refers is None else str(refers), date)
                 out.append(z.compress(data))
                 size, n = size + len(data), n + 1
                 if size >= max_bytes:
@@ -205,7 +211,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 3, chunk: int = 1 <
 def read_records(normalised: DataFrame) -> DataFrame:
     """Every record of normalised archives, each member opened by its own offset and its payload verified.
 
-    Columns: record_id, target_uri, record_type, payload_digest, payload_bytes, refers_to, payload (null for
+    Columns: record_id (the page's key), target_uri, record_type, payload_digest, payload_bytes, refers_to, payload (null for
     a revisit).  ValueError if a payload doesn't match its digest.
     """
 
@@ -236,17 +242,21 @@ def _parsed(data: bytes) -> tuple:
     block = data[at : at + int(head["content-length"])]
     payload = block[block.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
     digest = head["warc-payload-digest"].removeprefix("sha1:")
-    if payload is not None and base32_sha1(payload) != digest:
-        raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
-    ident = lambda v: v and v.removeprefix("<urn:page:").removesuffix(">")
-    return ident(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], digest, int(head["warc-payload-length"]), ident(head.get("warc-refers-to")), payload
+    length = int(head["warc-payload-length"])
+    if payload is not None and (len(payload) != length or base32_sha1(payload) != digest):
+        raise ValueError(f"payload of {head['warc-record-id']} doesn't match its length or digest")
+    key = lambda name: unquote(head[name]) if name in head else None
+    return key("x-page-key"), head.get("warc-target-uri"), head["warc-type"], digest, length, key("x-refers-to-key"), payload
 
 
 def round_trip(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise these, and read all records back."""
     small_batches(pages.sparkSession)
     spark = pages.sparkSession
-    written = staged(write_monolithic(deduplicated(pages, key, url, payload, min_bytes), new_dir(spark, "warc-mono"), max_bytes=max_bytes), "archives")
+    monolithic = new_dir(spark, "warc-mono")
+    written = staged(write_monolithic(deduplicated(pages, key, url, payload, min_bytes), monolithic, max_bytes=max_bytes), "archives")
     n = max(1, min(written.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     new = staged(normalise(written.repartition(n), new_dir(spark, "warc")), "normalised")
+    delete(spark, monolithic)
+    discard(written)
     return read_records(new.repartition(n))
