@@ -2,14 +2,15 @@
 
 Vectors are scaled by the largest norm M and given one more coordinate, sqrt(1 - |x|^2 / M^2), which turns the largest
 inner product into the smallest distance.  Each curve turns them by its own random projection to ``dims``
-dimensions, shifts and quantises these, and orders them by the Hilbert index.  The order is cut into
+dimensions, shifts them by up to the cube's own width within a cube twice as wide, so that the coarse cells' borders fall
+elsewhere too, quantises these, and orders them by the Hilbert index.  The order is cut into
 ``ranges`` ranges of equal numbers of vectors.  A query is compared with its own range and the ``reach``
 ranges on either side of it: each range ranks its candidates in double precision, and the windows' best lists
-of all curves merge.
+of all curves merge.  Scores are summed component by component everywhere, so that ties are ties.
 
 A query thus sees (2 reach + 1) / ranges of the vectors on each curve, the same share at every size; small tables are
 cut into fewer ranges, of no fewer than 4 (k + 1) vectors.  A range of more
-than ``max_rows`` vectors is cut into parts by a hash; every part is searched.  On vectors without structure
+than ``max_rows`` vectors is cut into parts by a hash, and so are its queries; every part is searched by all of them.  On vectors without structure
 no ordering of them helps much, so recall there is bought with the share seen: see the README for figures.
 
 Equal vectors are one vector with its ``k + 1`` smallest ids, found by maxima of bounded size before rows move.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.llm.hilbert import hilbert_index
-from wellframe.llm.staging import staged
+from wellframe.llm.staging import discard, staged
 
 #: Vectors sampled to place the cuts, for each range and curve.
 SAMPLE_PER_RANGE = 64
@@ -47,7 +48,7 @@ def curve_keys(x: np.ndarray, curve: int, dims: int, bits: int, seed: int) -> np
     """Hilbert indices of unit vectors (rows of ``x``) on one curve."""
     q, shift = projection(curve, x.shape[1], min(dims, x.shape[1]), seed)
     y = x @ q * np.sqrt(x.shape[1])  # about standard normal, if the vectors have no direction in common
-    cells = np.clip((y + 4) / 8 * (2**bits - 1) + shift, 0, 2**bits - 1)
+    cells = np.clip(((y + 4) / 8 + shift) / 2 * (2**bits - 1), 0, 2**bits - 1)
     return hilbert_index(cells.astype(np.uint64), bits)
 
 
@@ -73,7 +74,7 @@ def smallest_ids(rows: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20, curves: int = 9, dims: int = 4, bits: int = 6, ranges: int = 16, reach: int = 1, max_rows: int = 50_000, seed: int = 17) -> DataFrame:
+def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20, curves: int = 9, dims: int = 4, bits: int = 7, ranges: int = 16, reach: int = 1, max_rows: int = 50_000, seed: int = 17) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id satisfies ``is_query`` (SQL on ``id``)."""
     spark = df.sparkSession
     rows = valid_vectors(df, ident, vector).distinct()
@@ -82,9 +83,10 @@ def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20,
     queries = staged(rows.where(is_query).select(F.col("id").alias("query_id"), "v"), "queries")
     groups = staged(smallest_ids(rows, k + 1), "groups")
     asked = queries.select("v").distinct().withColumn("asked", F.lit(True))
-    nodes = groups.join(staged(asked, "asked"), "v", "left").select(F.monotonically_increasing_id().alias("node"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+    asked = staged(asked, "asked")
+    nodes = groups.join(asked, "v", "left").select(F.monotonically_increasing_id().alias("node"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
     nodes = staged(nodes, "nodes")
-    n, top = nodes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    n, n_asked, top = nodes.agg(F.count(F.lit(1)), F.count_if("asked"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
@@ -110,6 +112,7 @@ def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20,
     cuts = {r.curve: r.cuts for r in picked.groupBy("curve").agg(F.percentile_approx("key", at, 10_000).alias("cuts")).collect()}
     table = np.array([cuts.get(c) or [0] * (ranges - 1) for c in range(curves)], dtype=np.int64)
     parts = max(1, -(-n // (ranges * max_rows)))
+    q_parts = max(1, -(-n_asked * len(around) // (ranges * max_rows)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,46 +121,54 @@ def nearest(df: DataFrame, ident: str, vector: str, is_query: str, k: int = 20,
             hi = np.array([np.searchsorted(table[c], x, "right") for c, x in zip(curve, key, strict=True)], dtype=np.int64)
             own = lo + (node * 2654435761 % 1000003) % (hi - lo + 1)  # a key on several cuts is spread over their ranges
             part = (node * 40503 % 65521) % parts
-            out = [(curve, own, part, node, np.zeros(len(node), bool))]
+            # Candidates are in one part, for the queries of every part; queries the other way round.
+            out = [(curve, own, part * q_parts + p, node, np.zeros(len(node), bool)) for p in range(q_parts)]
+            q_part = (node * 48271 % 65521) % q_parts
             q = np.flatnonzero(ask)
             for d in around:
                 r = (own[q] + d) % ranges  # the curve's ends meet, so that every query sees as much
                 for p in range(parts):
-                    out.append((curve[q], r, np.full(len(q), p), node[q], np.ones(len(q), bool)))
+                    out.append((curve[q], r, p * q_parts + q_part[q], node[q], np.ones(len(q), bool)))
             cols = [np.concatenate([o[i] for o in out]) for i in range(5)]
-            yield pa.record_batch([pa.array((cols[0] * ranges + cols[1]) * parts + cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4])], ["cell", "node", "asks"])
+            yield pa.record_batch([pa.array((cols[0] * ranges + cols[1]) * (parts * q_parts) + cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4])], ["cell", "node", "asks"])
 
-    vectors = nodes.select("node", "v", "asked")
     dealt = placed.join(nodes.select("node", "asked"), "node").select("curve", "key", "node", "asked").mapInArrow(deal, "cell bigint, node bigint, asks boolean")
-    full = dealt.join(vectors.select("node", "v"), "node").select("cell", "asks", "node", "v")
-    cells = curves * ranges * parts
+    full = dealt.join(nodes.select("node", "v", F.col("ids")[0].alias("least_id")), "node").select("cell", "asks", "node", "least_id", "v")
 
     def rank(key: tuple, table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        node = table.column("node").to_numpy()
+        node, least_id = table.column("node").to_numpy(), table.column("least_id").to_numpy()
         v = np.stack(table.column("v").combine_chunks().to_numpy(zero_copy_only=False))
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = [[], [], []]
+        out = [[], [], [], []]
+        take = min(k + 1, len(c))
+        near = 1e-9 * top * top  # more than sums in another order differ by
         for lo in range(0, len(q), 512) if len(c) else ():
             rows = q[lo : lo + 512]
             s = v[rows] @ v[c].T
-            take = min(k + 1, len(c))
-            best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            out[0].append(np.repeat(node[rows], take))
-            out[1].append(node[c][best].ravel())
-            out[2].append(np.take_along_axis(s, best, axis=1).ravel())
+            bound = np.partition(s, len(c) - take, axis=1)[:, len(c) - take]
+            at, to = np.nonzero(s >= bound[:, None] - near)
+            score = np.zeros(len(at))
+            for j in range(v.shape[1]):
+                score += v[rows[at], j] * v[c[to], j]
+            order = np.lexsort((least_id[c[to]], -score, at))
+            at, to, score = at[order], to[order], score[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at, "left") < take
+            for o, x in zip(out, (node[rows[at]], node[c[to]], least_id[c[to]], score), strict=True):
+                o.append(x[keep])
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))], names=["q", "c", "s"])
-
-    best = full.groupBy("cell").applyInArrow(rank, "q bigint, c bigint, s double")
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    best = best.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    # Exact scores on the original vectors, then ids in place of vectors.
-    near = staged(best.select("q", "c"), "near")
-    scored = near.join(vectors.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q").join(nodes.select(F.col("node").alias("c"), F.col("v").alias("cv"), "ids"), "c")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = staged(scored.select("q", "ids", dot.alias("score")).groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "found")
+        return pa.table([pa.array(x.astype(np.int64)) for x in cols[:3]] + [pa.array(cols[3].astype(float))], names=["q", "c", "least_id", "s"])
+
+    best = full.groupBy("cell").applyInArrow(rank, "q bigint, c bigint, least_id bigint, s double")
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "least_id")
+    best = best.groupBy("q", "c", "least_id").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    # Ids in place of vectors.
+    near = staged(best.select("q", "c", F.col("s").alias("score")), "near")
+    scored = near.join(nodes.select(F.col("node").alias("c"), "ids"), "c")
+    found = staged(scored.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "found")
     lists = staged(nodes.where("asked").join(found.withColumnRenamed("q", "node"), "node").select("v", "found"), "lists")
     merged = queries.join(lists, "v").select("query_id", F.explode("found").alias("f")).select("query_id", "f.score", F.explode("f.ids").alias("vec_id")).where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = staged(merged.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    discard(rows, queries, groups, asked, nodes, placed, near, found, lists)
+    return out
