@@ -8,9 +8,8 @@ labelled word by word.  A text's language is that with the largest summed poster
 Forward-backward is exact for texts of any length and vectorised over all blocks of a batch: the transfer
 matrices of blocks of words are multiplied first, then messages pass from block to block, then within them.
 
-Training: texts of known language, whole, at most some ``docs_per_label`` of each label and of at most
-``max_bytes`` (bounds on the sample, not on what is labelled), plus splices of two texts of different languages,
-from which switching is learned.  The loss is the exact negative log-likelihood with AdaGrad steps.
+Training: ``docs_per_label`` distinct texts of each label, up to ``chars_per_doc`` of each (bounds on the sample, not on
+what is labelled), plus splices of two texts of different languages, from which switching is learned.  Copies count once.  The loss is the exact negative log-likelihood with AdaGrad steps.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0; so does every text if nothing was
 there to learn from.  Rows with a null label aren't learned from.  Repeated rows are judged one by one; ties go to
@@ -26,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import free_memory, small_batches
+from wellframe.llm.staging import discard, free_memory, small_batches, staged
 from wellframe.llm.words import Words, blocks, mix
 
 UNKNOWN = "und"
@@ -149,17 +148,25 @@ def marginals(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, count_p
     return post.T, pairs
 
 
-def train(docs: DataFrame, text: str, label: str, learn: Column | None = None, docs_per_label: int = 250, max_bytes: int = 20_000, epochs: int = 4, seed: int = 7) -> Model:
-    """Learn from the rows that satisfy ``learn`` and have a label."""
+def train(docs: DataFrame, text: str, label: str, learn: Column | None = None, docs_per_label: int = 250, chars_per_doc: int = 20_000, epochs: int = 4, seed: int = 7) -> Model:
+    """Learn from the rows that satisfy ``learn`` and have a label.
+
+    The sample: of each label the ``docs_per_label`` distinct texts of smallest hash, whatever their length; of a longer one
+    the first ``chars_per_doc`` characters are a training sequence.  What is labelled is never cut.
+    """
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
-    rows = rows.select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}  # one for each language
-    share = F.create_map(*[F.lit(v) for y, c in sizes.items() for v in (y, min(1.0, docs_per_label / c))]) if sizes else None
-    if not sizes:
+    rows = rows.select(F.col(label).cast("string").alias("y"), F.xxhash64(text, F.lit(9)).alias("h"), F.col(text).alias("t"))
+    # Hashes alone are moved and thinned; Spark keeps a task's first few of each label before any move.
+    first = Window.partitionBy("y").orderBy("h")
+    drawn = rows.select("y", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_label)
+    drawn = staged(drawn.select("y", "h"), "drawn")
+    texts = rows.join(F.broadcast(drawn), ["y", "h"], "left_semi")  # so many hashes of each label
+    cut = F.substring("t", 1, chars_per_doc)
+    sample = texts.groupBy("y", "h").agg(F.first(cut).alias("t")).orderBy("h", "y").collect()
+    discard(drawn)
+    if not sample:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)))
-    picked = F.pmod(F.xxhash64("t", F.lit(9)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)
-    sample = rows.where(picked & (F.octet_length("t") <= max_bytes)).orderBy(F.xxhash64("t"), "y").limit(2 * docs_per_label * len(sizes)).collect()
     return fit([r.t for r in sample], [r.y for r in sample], epochs, seed)
 
 
