@@ -1,6 +1,6 @@
 """Shards cut as runs of a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised by its quantiles over all rows, rows are ordered by the curve's index, and the
+Each dimension is quantised by its quantiles over all rows, strings by the rank of the whole value among all values, rows are ordered by the curve's index, and the
 order is cut into runs of equal length.  A run is a compact region of every dimension, so a filter on any of
 them skips most files by their minima and maxima.
 
@@ -25,24 +25,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellframe.llm.hilbert import hilbert_index
-from wellframe.llm.staging import staged
-
-
-def ordinal(df: DataFrame, name: str) -> Column:
-    """A dimension as a number in its own order: numbers as they are, strings by their first seven bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        first = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(first, 16, 10).cast("double")
-    return F.col(name).cast("double")
+from wellframe.llm.staging import discard, staged
 
 
 def hilbert_keys(df: DataFrame, dims: list[str], bits: int, keep: list[Column]) -> DataFrame:
-    """``keep`` and ``curve``, the Hilbert index of the quantised ``dims``."""
-    rows = staged(df.select(*keep, *(ordinal(df, d).alias(f"_d{i}") for i, d in enumerate(dims))), "dims")
+    """``keep`` and ``curve``, the Hilbert index of the quantised ``dims``: numbers as they are, strings by their rank."""
+    rows = staged(df.select(*keep, *(F.col(d).alias(f"_d{i}") for i, d in enumerate(dims))), "dims")
+    names = [f.name for f in rows.schema if not f.name.startswith("_d")]
+    used = [rows]
+    for i, d in enumerate(dims):
+        if isinstance(df.schema[d].dataType, T.StringType):
+            values = staged(rows.select(F.col(f"_d{i}").alias("_v")).where("_v is not null").distinct(), "values")
+            order = ranked(values, ["_v"])[0].select(F.col("_v").alias(f"_d{i}"), F.col("rank").cast("double").alias("_rank"))
+            rows = rows.join(order, f"_d{i}", "left").drop(f"_d{i}").withColumnRenamed("_rank", f"_d{i}")
+            used.append(values)
+    rows = staged(rows.select(*names, *(F.col(f"_d{i}").cast("double").alias(f"_d{i}") for i in range(len(dims)))), "dims")
+    discard(*used)
     at = [i / (2**bits - 1) for i in range(1, 2**bits - 1)]
     cuts = rows.agg(*(F.percentile_approx(f"_d{i}", at, 10_000).alias(f"_d{i}") for i in range(len(dims)))).first()
     edges = [np.unique(np.array(c or [], dtype=float)) for c in cuts]
-    names = [f.name for f in rows.schema if not f.name.startswith("_d")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
