@@ -131,7 +131,8 @@ def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     n = marks.count()
     rate = min(1.0, sample_rows / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(1 << 20)) < F.lit(math.ceil(rate * (1 << 20))))
-    # Some sample_rows marks at most: small enough to broadcast, so that no text is shuffled.
+    # Some sample_rows marks at most: small enough to broadcast, so that no text is shuffled.  A repeated mark counts once.
+    marks = marks.distinct()
     rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(marks), "_key").select("_y", "text")
     rows = staged(rows, "toxic-sample")
     counts, (n_clean, n_toxic) = _counts(rows)
