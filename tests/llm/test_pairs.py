@@ -262,6 +262,29 @@ def test_neighbours_against_brute_force(spark):
     assert curveknn.nearest(d.limit(0), "vec_id", "embedding", "id % 20 = 0").count() == 0
 
 
+@pytest.mark.parametrize("k", [5, 20])
+def test_ties_go_to_the_smaller_id(spark, k):
+    """All vectors of -1 and 1: many scores are equal, and every candidate is in reach."""
+    x = np.array(list(itertools.product([-1.0, 1.0], repeat=8)))
+    ids = np.random.default_rng(4).permutation(len(x))
+    d = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in curveknn.nearest(d, "vec_id", "embedding", "id % 20 = 0", k=k, ranges=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 256, 20))
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+        assert [(i, s_) for _, i, s_ in sorted(found)] == [(ids[i], s[i]) for i in order]
+
+
+def test_parts_of_ranges_and_queries(spark):
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, cut = (sorted(tuple(r) for r in curveknn.nearest(d, "vec_id", "embedding", "id % 2 = 0", k=7, curves=2, max_rows=m).collect()) for m in (50_000, 9))
+    assert whole == cut and len(whole) == 150 * 7
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     e = spark.read.parquet(f"{sf}/embeddings.parquet")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.test_words_and_codes import plain_words
 from wellframe.llm import langid, notices, queries, toxicity, wumanber
@@ -204,3 +205,14 @@ def test_accuracy_on_the_tables(spark):
     assert np.mean([toxic[i] == p for i, p in got.items()]) > 0.9
     assert math.isclose(len(docs), queries.op7_notice_scan(spark, sf).count())
     assert re.fullmatch("[0-9a-f]{64}", queries.op10_decontaminate(spark, sf).first().items_sha256)
+
+
+def test_copies_do_not_push_a_language_out(spark):
+    from wellframe.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang")
+    copies = spark.range(20_000).select(F.lit("la maison est sur la colline et le chat dort").alias("text"), F.lit("fr").alias("lang"))
+    model = langid.train(docs.unionByName(copies), "text", "lang", docs_per_label=40, epochs=1)
+    assert set(model.labels) == {r.lang for r in docs.where("lang is not null").distinct().collect()}
+    long = spark.createDataFrame([("alpha beta " * 6000, "xx"), ("gamma delta", "yy")], "text string, lang string")
+    assert langid.train(long, "text", "lang", epochs=1).labels == ["xx", "yy"]

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wellframe.llm import bpe, sharding, urlrules, warc
 from wellframe.llm.hilbert import hilbert_index
@@ -105,6 +106,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_warc_odd_keys(spark):
+    rows = [(None, "a"), ("", "a"), ("k 1/é\r\nX: y", "a"), ("z", "b"), ("z", "b"), (None, "c"), (None, "c")]
+    df = spark.createDataFrame(rows, "k string, p string").withColumn("u", F.lit("u"))
+    got = sorted((repr(r.record_id), r.record_type, repr(r.refers_to)) for r in warc.round_trip(df, "k", "u", "p").collect())
+    want = [(None, "revisit", ""), ("", "response", None), (rows[2][0], "revisit", ""), ("z", "response", None), ("z", "response", None), (None, "response", None), (None, "response", None)]
+    assert got == sorted((repr(k), t, repr(f)) for k, t, f in want)
+
+
 def test_warc_smallest_payload(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "k long, u string, p string")
     got = {int(r.record_id): r.record_type for r in warc.round_trip(df, "k", "u", "p", min_bytes=3).collect()}
@@ -141,6 +150,13 @@ def test_shards_edge_cases_and_pruning(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").count() == 4096
 
 
+def test_shards_of_strings_with_a_long_common_prefix(spark):
+    wide = spark.range(4096).selectExpr("id", "concat('https://www.example.org/', lpad(id % 64, 3, '0')) x", "cast(id div 64 as double) y", "'t' text")
+    at = wide.join(sharding.shard(wide, "id", "text", ["x", "y"], shards=16), "id")
+    table = sharding.pruning_table(at, "shard", ["x", "y"])
+    assert sharding.prune(table, x=("https://www.example.org/000", "https://www.example.org/003")).count() <= 8
+
+
 def plain_host_path(url):
     if url is None or "://" not in url:
         return "", ""
