@@ -91,3 +91,29 @@ def clip01(x: Column) -> Column:
 
 def normalised(observed: Column, normal: float, threshold: float) -> Column:
     return clip01((observed - normal) / (threshold - normal))
+
+
+# Fixed states and severities.
+UNACKNOWLEDGED = ["generated", "sent", "viewed", "escalated"]
+LOUD = ["warning", "critical"]
+
+
+def unacknowledged(state: Column) -> Column:
+    return F.coalesce(state.isin(UNACKNOWLEDGED), F.lit(False))
+
+
+def loud(severity: Column) -> Column:
+    return F.coalesce(severity.isin(LOUD), F.lit(False))
+
+
+def ramp(x: Column, low: float, high: float) -> Column:
+    """0 below ``low``, 1 above ``high``, linear between; a step where they are equal."""
+    return clip01((x - low) / max(high - low, 1e-9))
+
+
+def calibrated(x: Column, knots: list[float], values: list[float]) -> Column:
+    """The piecewise linear curve through the knots, in order, flat beyond the first and the last."""
+    out = F.when(x.isNull(), None).when(x <= knots[0], values[0])
+    for x0, x1, y0, y1 in zip(knots, knots[1:], values, values[1:]):
+        out = out.when(x <= x1, y0 + (x - x0) / (x1 - x0) * (y1 - y0) if x1 > x0 else F.lit(y1))
+    return out.otherwise(values[-1])

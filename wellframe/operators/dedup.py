@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,11 @@ def first_kept(df: DataFrame, keys: list[str], on: str, order: list[str], width:
         kept: list[float] = []
         use = []
         for x in pdf.sort_values(order)[on]:
-            ok = pd.isna(x) or all(abs(x - k) > width for k in kept)
+            at = bisect_left(kept, x) if not pd.isna(x) else 0
+            ok = pd.isna(x) or all(abs(x - k) > width for k in kept[max(at - 1, 0) : at + 1])  # kept ones are in order
             use.append(ok)
             if ok and not pd.isna(x):
-                kept.append(x)
+                kept.insert(at, x)
         return pdf.sort_values(order)[use].drop(columns="_run")
 
     return runs.groupBy(*keys, "_run").applyInPandas(keep, df.schema)

@@ -18,22 +18,41 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: lis
     """Each left row with the right row of its keys whose ``on`` is nearest below (backward) or above (forward), equal included.
 
     Right columns come as ``asof_<name>``, among them ``asof_<on>``; null where there is none.  One shuffle by the keys;
-    of right rows with equal ``on`` the last by ``tie`` counts going backward, the first going forward.
+    of right rows with equal ``on`` the last by ``tie`` counts going backward, the first going forward.  A null ``on`` meets nothing.
     """
     last = direction == "backward"
     payload = F.struct(F.col(on).alias(on), *[F.col(v).alias(v) for v in value])
     side = F.lit(0 if last else 2)
-    r = right.select(*keys, F.col(on).alias("_on"), payload.alias("_r"), side.alias("_s"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("_t"))
+    r = right.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_on"), payload.alias("_r"), side.alias("_s"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("_t"))
     left_cols = left.columns
     row = left.select(*keys, F.col(on).alias("_on"), F.lit(1).alias("_s"), F.lit(0.0).alias("_t"), F.struct(*left_cols).alias("_l"))
     both = r.withColumn("_l", F.lit(None).cast(row.schema["_l"].dataType)).unionByName(row.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("_on", "_s", "_t")
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if last else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = (F.last if last else F.first)("_r", ignorenulls=True).over(w)
+    # Forward runs down the same order, so that the frame grows by a row at a time either way.
+    order = ["_on", "_s", "_t"]
+    w = Window.partitionBy(*keys).orderBy(*(order if last else map(F.desc, order))).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.when(F.col("_on").isNotNull(), F.last("_r", ignorenulls=True).over(w))
     out = both.withColumn("_p", pick).where("_l is not null")
     return out.select("_l.*", F.col(f"_p.{on}").alias(f"asof_{on}"), *[F.col(f"_p.{v}").alias(f"asof_{v}") for v in value])
 
 
+def asof_steps(left: DataFrame, steps: DataFrame, on: str, value: list[str]) -> DataFrame:
+    """As-of backward on one key that all rows share: ``steps`` (distinct ``on``) as half-open intervals, dealt into cells.
+
+    A cell is as wide as a step on average, so that there are some two rows of cells for each step.  No task gets all rows, and
+    if the steps are few Spark sends them to the rows.
+    """
+    lo, hi, n = steps.agg(F.min(on), F.max(on), F.count(on)).first()
+    width = (hi - lo) / n if n and hi > lo else 1.0
+    lo, last = (lo, int((hi - lo) // width)) if n else (0.0, 0)
+    cell = lambda c: F.least(F.floor((c - lo) / width), F.lit(last))
+    till = F.lead(on).over(Window.orderBy(on)) if n else F.lit(None).cast("double")  # the steps alone are in one order
+    s = steps.where(F.col(on).isNotNull()).select(F.col(on).alias("_from"), *[F.col(v).alias(f"asof_{v}") for v in value], till.alias("_till"))
+    s = s.withColumn("_c", F.explode(F.sequence(cell(F.col("_from")), F.coalesce(cell(F.col("_till")), F.lit(last)))))
+    at = left.withColumn("_c", cell(F.col(on)))
+    inside = (at["_c"] == s["_c"]) & (F.col("_from") <= F.col(on)) & (F.col("_till").isNull() | (F.col(on) < F.col("_till")))
+    return at.join(s, inside, "left").select(*left.columns, F.col("_from").alias(f"asof_{on}"), *[f"asof_{v}" for v in value])
+
+
 def bracket(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str]) -> DataFrame:
     """Linear interpolation of ``values`` at each left row, clamped to the first and last right row; ``interp_<name>``."""
     lo = asof(left, right, keys, on, values)
@@ -60,22 +79,31 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, value:
 def radius(left: DataFrame, right: DataFrame, radius_m: float, exact=geo.haversine_m, max_lat: float = 80.0) -> DataFrame:
     """Pairs of (id, lat, lon) rows with different ids within ``radius_m``: id, other_id, distance_m.
 
-    Cells are at least a radius wide at latitudes up to ``max_lat``, so a pair is in the same or neighbouring cells; only
-    the right side is copied to its nine.  Longitudes wrap at 180 degrees.
+    Cells are at least a radius wide wherever a row is cut into cells, so a pair is in the same or neighbouring cells; only
+    the right side is copied to its nine.  Longitudes wrap at 180 degrees.  Rows that reach beyond ``max_lat`` are one cell each.
     """
     per_lat, _ = geo.metres_per_degree(0.0)
     dlat = radius_m / per_lat * 1.01
     rows = max(1, math.floor(180 / dlat))
-    dlon = dlat / math.cos(math.radians(max_lat))
-    cols = max(3, math.floor(360 / dlon))
+    high = 180 / rows
+    max_lat = min(max_lat, 89.0 - 2 * high)
+    # Wide enough for the rows next to the polar ones too; with no room for three columns, all rows are one cell each.
+    cols = math.floor(360 / (dlat / math.cos(math.radians(max_lat + 2 * high)))) if max_lat > 0 else 0
 
     def cell(c: Column, low: float, width: float) -> Column:
         return F.floor((c - low) / width).cast("int")
 
-    l = left.select(F.col("id"), F.col("lat"), F.col("lon"), cell(F.col("lat"), -90.0, 180 / rows).alias("cy"), F.pmod(cell(F.col("lon"), -180.0, 360 / cols), F.lit(cols)).alias("cx"))
-    r = right.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), -90.0, 180 / rows).alias("y"), cell(F.col("lon"), -180.0, 360 / cols).alias("x"))
-    r = r.withColumn("dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    r = r.select("other_id", "lat2", "lon2", (F.col("y") + F.col("dy")).alias("cy"), F.pmod(F.col("x") + F.col("dx"), F.lit(cols)).alias("cx"))
+    def whole(cy: Column) -> Column:
+        return F.lit(True) if cols < 3 else ((cy + 1) * high - 90 > max_lat) | (cy * high - 90 < -max_lat)
+
+    def column(cy: Column, lon: Column, dx: Column) -> Column:
+        return F.when(whole(cy), 0).otherwise(F.pmod(cell(lon, -180.0, 360 / max(cols, 3)) + dx, F.lit(max(cols, 3))))
+
+    row = cell(F.col("lat"), -90.0, high)
+    l = left.select("id", "lat", "lon", row.alias("cy")).withColumn("cx", column(F.col("cy"), F.col("lon"), F.lit(0)))
+    r = right.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[row + i for i in (-1, 0, 1)])).alias("cy"))
+    r = r.withColumn("dx", F.explode(F.when(whole(F.col("cy")), F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in (-1, 0, 1)]))))
+    r = r.select("other_id", "lat2", "lon2", "cy", column(F.col("cy"), F.col("lon2"), F.col("dx")).alias("cx"))
     d = exact(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return l.join(r, ["cy", "cx"]).where("id <> other_id").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).select("id", "other_id", "distance_m")
 

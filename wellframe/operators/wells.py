@@ -25,6 +25,36 @@ def positions(probes: DataFrame, stations: DataFrame, points: DataFrame) -> Data
     return at.withColumn("_p", moved).select("wellbore_id", "md_m", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"), F.coalesce("interp_tvd_m", "md_m").alias("tvd_m"))
 
 
+MIN_COS_INC = 0.1
+
+
+def extended_tvd(probes: DataFrame, stations: DataFrame) -> DataFrame:
+    """``probes`` with tvd_m at their md_m; beyond the last station the well goes on at its inclination, without one straight down."""
+    last = stations.groupBy("wellbore_id").agg(F.max_by(F.struct("md_m", "tvd_m", "inc_deg"), "md_m").alias("_last"))
+    at = joins.bracket(probes, stations, ["wellbore_id"], "md_m", ["tvd_m"]).join(last, "wellbore_id", "left")
+    slope = F.greatest(F.cos(F.radians("_last.inc_deg")), F.lit(MIN_COS_INC))
+    beyond = F.col("_last.tvd_m") + (F.col("md_m") - F.col("_last.md_m")) * slope
+    return at.select(*probes.columns, F.when(F.col("_last").isNull(), F.col("md_m")).when(F.col("md_m") > F.col("_last.md_m"), beyond).otherwise(F.col("interp_tvd_m")).alias("tvd_m"))
+
+
+def extended_md(probes: DataFrame, stations: DataFrame) -> DataFrame:
+    """``probes`` with the md_m where the well first reaches their tvd_m, extended beyond both ends at their inclinations."""
+    w = Window.partitionBy("wellbore_id").orderBy("md_m")
+    legs = stations.select("wellbore_id", F.col("tvd_m").alias("_t0"), F.col("md_m").alias("_m0"), F.lead("tvd_m").over(w).alias("_t1"), F.lead("md_m").over(w).alias("_m1")).where("_t1 is not null")
+    legs = legs.withColumn("r_from", F.least("_t0", "_t1")).withColumn("r_to", F.greatest("_t0", "_t1") + 1e-9)
+    ask = probes.select("wellbore_id", F.col("tvd_m").alias("l_from")).distinct().withColumn("l_to", F.col("l_from") + 1e-9)
+    part = F.when(F.col("_t1") == F.col("_t0"), 0.0).otherwise((F.col("l_from") - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
+    on = joins.overlap(ask, legs, ["wellbore_id"], 250.0).where("r_from <= l_from and l_from <= greatest(_t0, _t1)")
+    on = on.groupBy("wellbore_id", F.col("l_from").alias("tvd_m")).agg(F.min_by(F.col("_m0") + part * (F.col("_m1") - F.col("_m0")), "_m0").alias("_md"))
+    ends = stations.groupBy("wellbore_id").agg(F.min_by(F.struct("md_m", "tvd_m", "inc_deg"), "md_m").alias("_a"), F.max_by(F.struct("md_m", "tvd_m", "inc_deg"), "md_m").alias("_z"))
+    slope = lambda e: F.greatest(F.cos(F.radians(f"{e}.inc_deg")), F.lit(MIN_COS_INC))
+    above = F.greatest(F.lit(0.0), F.col("_a.md_m") - (F.col("_a.tvd_m") - F.col("tvd_m")) / slope("_a"))
+    below = F.col("_z.md_m") + (F.col("tvd_m") - F.col("_z.tvd_m")) / slope("_z")
+    out = probes.join(ends, "wellbore_id", "left").join(on, ["wellbore_id", "tvd_m"], "left")
+    md = F.when(F.col("_z").isNull(), F.col("tvd_m")).when(F.col("tvd_m") < F.col("_a.tvd_m"), above).when(F.col("_md").isNotNull(), F.col("_md")).when(F.col("tvd_m") == F.col("_a.tvd_m"), F.col("_a.md_m")).otherwise(below)
+    return out.select(*probes.columns, md.alias("md_m"))
+
+
 def best_tops(tops: DataFrame) -> DataFrame:
     """One top of each formation: the best source before any depth is looked at."""
     rank = risk.lookup(F.col("source"), risk.TOP_SOURCE_RANK, 9)

@@ -42,18 +42,15 @@ def prefix_counter(t: Tables) -> DataFrame:
     return t.part.where(F.col("p_name").startswith("Part#0000001") | F.col("p_brand").startswith("Brand#1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn11_events_of_offsets", """
+_JN11_SQL = """
     WITH o AS (SELECT a.s_suppkey AS w, b.s_suppkey AS o, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)
-    SELECT w, l_orderkey, l_linenumber FROM o JOIN lineitem ON l_suppkey = o WHERE l_quantity > 49 AND d <= 500 ORDER BY w, d, o, l_orderkey, l_linenumber LIMIT 200""")
-def events_of_offsets(t: Tables) -> DataFrame:
-    return _events_of_offsets(t).orderBy("w", "d", "o", "l_orderkey", "l_linenumber").limit(200).select("w", "l_orderkey", "l_linenumber")
+    SELECT w, l_orderkey, l_linenumber FROM o JOIN lineitem ON l_suppkey = o WHERE l_quantity > 49 AND d <= 500 QUALIFY row_number() OVER (PARTITION BY w ORDER BY d, o, l_orderkey, l_linenumber) <= 200"""
 
 
-@query("jn11_events_per_well", """
-    WITH o AS (SELECT a.s_suppkey AS w, b.s_suppkey AS o, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)
-    SELECT w, l_orderkey, l_linenumber FROM o JOIN lineitem ON l_suppkey = o WHERE l_quantity > 49 AND d <= 500 QUALIFY row_number() OVER (PARTITION BY w ORDER BY d, o, l_orderkey, l_linenumber) <= 200""")
-def events_per_well(t: Tables) -> DataFrame:
-    """jn11 with the limit of the reference, which is for one well."""
+@query("jn11_events_of_offsets", _JN11_SQL)
+@query("jn11_events_per_well", _JN11_SQL)
+def events_of_offsets(t: Tables) -> DataFrame:
+    """The events of each well's offsets, nearest first, 200 of each well: the reference's limit is for one well."""
     n = F.row_number().over(Window.partitionBy("w").orderBy("d", "o", "l_orderkey", "l_linenumber"))
     return _events_of_offsets(t).withColumn("n", n).where("n <= 200").select("w", "l_orderkey", "l_linenumber")
 
@@ -71,25 +68,20 @@ def _events_of_offsets(t: Tables) -> DataFrame:
     SELECT s_suppkey, arg_max(p_brand, (top, p_brand)) AS formation FROM p LEFT JOIN tops ON top <= md GROUP BY 1""")
 def formation_asof(t: Tables) -> DataFrame:
     """The deepest top above each probe."""
-    tops = t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("md")).groupBy("md").agg(F.max("p_brand").alias("brand")).withColumn("k", F.lit(0))
-    p = t.supplier.select("s_suppkey", (900 + F.col("s_acctbal") % 1200).alias("md"), F.lit(0).alias("k"))
-    return joins.asof(p, tops, ["k"], "md", ["brand"]).select("s_suppkey", F.col("asof_brand").alias("formation"))
+    tops = t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("md")).groupBy("md").agg(F.max("p_brand").alias("brand"))
+    p = t.supplier.select("s_suppkey", (900 + F.col("s_acctbal") % 1200).alias("md"))
+    return joins.asof_steps(p, tops, "md", ["brand"]).select("s_suppkey", F.col("asof_brand").alias("formation"))
 
 
-@query("jn17_best_overlap", """
-    WITH g AS (SELECT c_custkey AS k, 8000.0 + 250 * i AS a, 8250.0 + 250 * i AS b FROM customer, range(0, 8) r(i) WHERE c_custkey % 10 = 0),
+_JN17_SQL = """
+    WITH g AS (SELECT c_custkey AS k, 8000.0 + 250 * i AS a, 8250.0 + 250 * i AS b FROM customer, range(0, 8) r(i)),
     o AS (SELECT o_custkey AS k, o_orderkey, floor(epoch(o_orderdate))::DOUBLE / 86400 AS a, floor(epoch(o_orderdate))::DOUBLE / 86400 + 100 AS b FROM orders)
-    SELECT g.k, g.a::DOUBLE AS a, arg_max(o_orderkey, (least(g.b, o.b) - greatest(g.a, o.a), o_orderkey)) AS best FROM g JOIN o ON g.k = o.k AND o.a < g.b AND o.b > g.a GROUP BY ALL""")
-def best_overlap(t: Tables) -> DataFrame:
-    return _best_overlap(t, t.customer.where("c_custkey % 10 = 0"))
+    SELECT g.k, g.a::DOUBLE AS a, arg_max(o_orderkey, (least(g.b, o.b) - greatest(g.a, o.a), o_orderkey)) AS best FROM g JOIN o ON g.k = o.k AND o.a < g.b AND o.b > g.a GROUP BY ALL"""
 
 
-@query("jn17_best_overlap_all", """
-    WITH g AS (SELECT c_custkey AS k, 8000.0 + 250 * i AS a, 8250.0 + 250 * i AS b FROM customer, range(0, 8) r(i)),
-    o AS (SELECT o_custkey AS k, o_orderkey, floor(epoch(o_orderdate))::DOUBLE / 86400 AS a, floor(epoch(o_orderdate))::DOUBLE / 86400 + 100 AS b FROM orders)
-    SELECT g.k, g.a::DOUBLE AS a, arg_max(o_orderkey, (least(g.b, o.b) - greatest(g.a, o.a), o_orderkey)) AS best FROM g JOIN o ON g.k = o.k AND o.a < g.b AND o.b > g.a GROUP BY ALL""")
-def best_overlap_all(t: Tables) -> DataFrame:
-    """jn17 for every customer."""
+@query("jn17_best_overlap", _JN17_SQL)
+@query("jn17_best_overlap_all", _JN17_SQL)
+def best_overlap(t: Tables) -> DataFrame:
     return _best_overlap(t, t.customer)
 
 
@@ -195,14 +187,12 @@ def upsert(t: Tables) -> DataFrame:
     return old.join(new, "k", "left_anti").unionByName(new)
 
 
-@query("snk05_insert_absent", "SELECT c_custkey AS k FROM customer WHERE c_custkey <= 100 UNION SELECT DISTINCT o_custkey FROM orders WHERE o_custkey <= 200")
-def insert_absent(t: Tables) -> DataFrame:
-    return _insert_absent(t.customer.where("c_custkey <= 100"), t.orders.where("o_custkey <= 200"))
+_SNK05_SQL = "SELECT c_custkey AS k FROM customer UNION SELECT DISTINCT o_custkey FROM orders"
 
 
-@query("snk05_insert_absent_all", "SELECT c_custkey AS k FROM customer UNION SELECT DISTINCT o_custkey FROM orders")
-def insert_absent_all(t: Tables) -> DataFrame:
-    """snk05 over the whole tables."""
+@query("snk05_insert_absent", _SNK05_SQL)
+@query("snk05_insert_absent_all", _SNK05_SQL)
+def insert_absent(t: Tables) -> DataFrame:
     return _insert_absent(t.customer, t.orders)
 
 

@@ -353,20 +353,15 @@ def semi(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("jn14_containment", """
-    WITH s AS (SELECT l_suppkey, l_linenumber * 1000.0 AS a, l_linenumber * 1000.0 + 900 + l_quantity * 10 AS b, min(l_orderkey) k FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL),
+_JN14_SQL = """
+    WITH s AS (SELECT l_suppkey, l_linenumber * 1000.0 AS a, l_linenumber * 1000.0 + 900 + l_quantity * 10 AS b, min(l_orderkey) k FROM lineitem GROUP BY ALL),
     p AS (SELECT s_suppkey, (500.0 * g)::DOUBLE AS x FROM supplier, range(1, 15) r(g))
-    SELECT s_suppkey, x, arg_min(k, (a, b, k)) AS section FROM p JOIN s ON l_suppkey = s_suppkey AND a <= x AND x < b GROUP BY ALL""")
-def containment(t: Tables) -> DataFrame:
-    return _containment(t, t.lineitem.where("l_orderkey < 2000"))
+    SELECT s_suppkey, x, arg_min(k, (a, b, k)) AS section FROM p JOIN s ON l_suppkey = s_suppkey AND a <= x AND x < b GROUP BY ALL"""
 
 
-@query("jn14_containment_all", """
-    WITH s AS (SELECT l_suppkey, l_linenumber * 1000.0 AS a, l_linenumber * 1000.0 + 900 + l_quantity * 10 AS b, min(l_orderkey) k FROM lineitem GROUP BY ALL),
-    p AS (SELECT s_suppkey, (500.0 * g)::DOUBLE AS x FROM supplier, range(1, 15) r(g))
-    SELECT s_suppkey, x, arg_min(k, (a, b, k)) AS section FROM p JOIN s ON l_suppkey = s_suppkey AND a <= x AND x < b GROUP BY ALL""")
-def containment_all(t: Tables) -> DataFrame:
-    """jn14 over the whole table."""
+@query("jn14_containment", _JN14_SQL)
+@query("jn14_containment_all", _JN14_SQL)
+def containment(t: Tables) -> DataFrame:
     return _containment(t, t.lineitem)
 
 
@@ -379,20 +374,15 @@ def _containment(t: Tables, lines: DataFrame) -> DataFrame:
     return j.groupBy(F.col("k").alias("s_suppkey"), F.col("l_from").alias("x")).agg(F.min_by("section", F.struct("r_from", "r_to", "section")).alias("section"))
 
 
-@query("jn16_overlap", """
+_JN16_SQL = """
     WITH i AS (SELECT o_custkey AS k, epoch(o_orderdate)::DOUBLE / 86400 AS a, epoch(o_orderdate)::DOUBLE / 86400 + 20 + o_orderkey % 30 AS b, o_totalprice AS p FROM orders),
-    q AS (SELECT c_custkey AS k, (8000.0 + 200 * g)::DOUBLE AS a, (8100.0 + 200 * g)::DOUBLE AS b FROM customer, range(0, 12) r(g) WHERE c_custkey % 5 = 0)
-    SELECT q.k, q.a, max(p) AS top FROM q JOIN i ON i.k = q.k AND i.a < q.b AND i.b > q.a GROUP BY ALL""")
-def overlap(t: Tables) -> DataFrame:
-    return _overlap(t, t.customer.where("c_custkey % 5 = 0"))
+    q AS (SELECT c_custkey AS k, (8000.0 + 200 * g)::DOUBLE AS a, (8100.0 + 200 * g)::DOUBLE AS b FROM customer, range(0, 12) r(g))
+    SELECT q.k, q.a, max(p) AS top FROM q JOIN i ON i.k = q.k AND i.a < q.b AND i.b > q.a GROUP BY ALL"""
 
 
-@query("jn16_overlap_all", """
-    WITH i AS (SELECT o_custkey AS k, epoch(o_orderdate)::DOUBLE / 86400 AS a, epoch(o_orderdate)::DOUBLE / 86400 + 20 + o_orderkey % 30 AS b, o_totalprice AS p FROM orders),
-    q AS (SELECT c_custkey AS k, (8000.0 + 200 * g)::DOUBLE AS a, (8100.0 + 200 * g)::DOUBLE AS b FROM customer, range(0, 12) r(g))
-    SELECT q.k, q.a, max(p) AS top FROM q JOIN i ON i.k = q.k AND i.a < q.b AND i.b > q.a GROUP BY ALL""")
-def overlap_all(t: Tables) -> DataFrame:
-    """jn16 for every customer."""
+@query("jn16_overlap", _JN16_SQL)
+@query("jn16_overlap_all", _JN16_SQL)
+def overlap(t: Tables) -> DataFrame:
     return _overlap(t, t.customer)
 
 

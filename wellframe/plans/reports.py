@@ -50,3 +50,21 @@ def formations(t: Tables) -> DataFrame:
 def well_summary(t: Tables) -> DataFrame:
     f = field(t)
     return wells.well_summary(f["wells"], f["wellbores"], f["events"])
+
+
+@query("fn07_extended_tvd", """
+    WITH p AS (SELECT s_suppkey AS k, 100.0 * g AS md FROM supplier, range(0, 41, 4) r(g))
+    SELECT k::VARCHAR AS wellbore_id, md::DOUBLE AS md_m, round(CASE WHEN k % 3 = 0 THEN md WHEN md <= 2500 THEN 0.97 * md ELSE 2425 + (md - 2500) * cos(radians(5)) END, 4)::DOUBLE AS tvd_m FROM p""")
+def extended_tvd(t: Tables) -> DataFrame:
+    f = field(t)
+    probes = f["wellbores"].select("wellbore_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4))).alias("g")).select("wellbore_id", (F.col("g") * 100.0).alias("md_m"))
+    return wells.extended_tvd(probes, f["stations"]).withColumn("tvd_m", F.round("tvd_m", 4))
+
+
+@query("fn07_extended_md", """
+    WITH p AS (SELECT s_suppkey AS k, 100.0 * g AS tvd FROM supplier, range(0, 41, 4) r(g))
+    SELECT k::VARCHAR AS wellbore_id, tvd::DOUBLE AS tvd_m, round(CASE WHEN k % 3 = 0 THEN tvd WHEN tvd <= 2425 THEN tvd / 0.97 ELSE 2500 + (tvd - 2425) / cos(radians(5)) END, 4)::DOUBLE AS md_m FROM p""")
+def extended_md(t: Tables) -> DataFrame:
+    f = field(t)
+    probes = f["wellbores"].select("wellbore_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4))).alias("g")).select("wellbore_id", (F.col("g") * 100.0).alias("tvd_m"))
+    return wells.extended_md(probes, f["stations"]).withColumn("md_m", F.round("md_m", 4))

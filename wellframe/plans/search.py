@@ -53,12 +53,97 @@ def to_si(t: Tables) -> DataFrame:
     return units.to_si(x, "v", "u").select("p_partkey", _r(F.col("value_si")).alias("value_si"), "unit_si")
 
 
-@query("fn21_quantities", r"""
-    SELECT doc_id, len(regexp_extract_all(text, '(-?\d+(?:\.\d+)?)\s*([A-Za-z%°][A-Za-z0-9/%.³²·]*)'))::INT AS n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '(-?\d+(?:\.\d+)?)\s*([A-Za-z%°][A-Za-z0-9/%.³²·]*)', 1), lambda x: least(1e6, x::DOUBLE))), 0), 3) AS total FROM documents WHERE text IS NOT NULL""")
+@query("fn21_quantities", """
+    WITH x AS (SELECT p_partkey, p_size AS s FROM part)
+    SELECT p_partkey, round(4 * s + 8010.5, 3)::DOUBLE AS total, round(2 * s + 10 + (8000 + s) * 0.3048 + (s + 0.5) * 0.158987, 3)::DOUBLE AS total_si, 'm,m,ft,bbl/hr' AS units FROM x""")
 def quantities(t: Tables) -> DataFrame:
-    q = units.quantities(F.col("text"))
-    x = t.documents.where("text is not null").select("doc_id", q.alias("q"))
-    return x.select("doc_id", F.size("q").alias("n"), _r(F.aggregate("q", F.lit(0.0), lambda s, y: s + F.least(F.lit(1e6), y.value)), 3).alias("total"))
+    """A range gives both ends, thousands have commas, stands are no unit; the SQL has the numbers that went into the text."""
+    s = F.col("p_size").cast("string")
+    text = F.concat(F.lit("drilled "), s, F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" m after "), s, F.lit(" stands, 8,"), F.lpad(s, 3, "0"), F.lit(" ft above; lost "), s, F.lit(".5 bbl/hr."))
+    x = t.part.select("p_partkey", units.quantities(text).alias("q"))
+    total = lambda name: _r(F.aggregate("q", F.lit(0.0), lambda a, y: a + y[name]), 3)
+    return x.select("p_partkey", total("value").alias("total"), total("value_si").alias("total_si"), F.array_join(F.transform("q", lambda y: y.unit), ",").alias("units"))
+
+
+@query("fn22_reconciled", """
+    SELECT p_partkey, round(CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 1 THEN (1000 + p_size) * 0.3048 ELSE 1000 + p_size END, 4)::DOUBLE AS v,
+        CASE p_partkey % 4 WHEN 0 THEN (1000 + p_size)::VARCHAR || ' m' WHEN 1 THEN (1000 + p_size)::VARCHAR || ' ft' END AS raw, CASE WHEN p_partkey % 4 <> 3 THEN 'm' END AS unit FROM part""")
+def reconciled(t: Tables) -> DataFrame:
+    """A confirmed value, one whose number was copied from feet, one that its snippet says nothing of, and none."""
+    k, n = F.col("p_partkey") % 4, 1000 + F.col("p_size")
+    snippet = F.when(k == 2, "30 bbl lost").otherwise(F.concat(F.lit("at "), n.cast("string"), F.when(k == 0, " m").otherwise(" ft"), F.lit(" with 12 sg")))
+    x = t.part.select("p_partkey", units.reconciled(F.when(k != 3, n.cast("double")), snippet, "m").alias("r"))
+    return x.select("p_partkey", _r(F.col("r.value"), 4).alias("v"), "r.raw", "r.unit")
+
+
+@query("fn20_yield_stress", "SELECT p_partkey, round(CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size / 0.4788026 WHEN 2 THEN p_size * 1000 / 0.4788026 END, 6)::DOUBLE AS y FROM part")
+def yield_stress(t: Tables) -> DataFrame:
+    k = F.col("p_size") % 4
+    unit = F.when(k == 0, "lbf/100 ft²").when(k == 1, "Pa").when(k == 2, "kPa").otherwise("bar")
+    return t.part.select("p_partkey", _r(units.yield_stress(F.col("p_size").cast("double"), unit)).alias("y"))
+
+
+@query("fn27_highlight", """
+    SELECT doc_id, len(regexp_extract_all(lower(text), 'thing|the'))::INT AS n_hits, coalesce(list_sum(list_transform(regexp_extract_all(lower(text), 'thing|the'), lambda x: length(x))), 0)::BIGINT AS n_marked, length(text)::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL""")
+def highlight(t: Tables) -> DataFrame:
+    """Texts cut at the query's words; words of one or two letters don't count."""
+    x = t.documents.where("text is not null").select("doc_id", tx.highlighted(F.col("text"), "thing of the").alias("p"))
+    size = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, p: a + F.length(p.text))
+    hits = F.filter("p", lambda p: p.hit)
+    return x.select("doc_id", F.size(hits).alias("n_hits"), size(hits).alias("n_marked"), size(F.col("p")).alias("n_chars"))
+
+
+@query("fn33_well_name", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'W-' || s_suppkey WHEN 1 THEN 'North ' || s_suppkey || '/A' END AS name FROM supplier")
+def well_name(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    tag = F.concat(F.lit('<log><nameWell uid="1"> W-'), k, F.lit(" </nameWell></log>"))
+    line = F.concat(F.lit("Daily report\n  Well Name : North "), k, F.lit("/A \nDepth: 12 m"))
+    return t.supplier.select("s_suppkey", tx.well_name(F.when(k % 3 == 0, tag).when(k % 3 == 1, line).otherwise("the well was dry")).alias("name"))
+
+
+@query("fn50_bbox", """
+    SELECT p_partkey, round(greatest(0, least(1, (p_size - 10) / 30)), 5)::DOUBLE AS x, round(greatest(0, least(1, p_size / 40)) - greatest(0, least(1, (p_size - 10) / 30)), 5)::DOUBLE AS w FROM part""")
+def bbox(t: Tables) -> DataFrame:
+    """Edges as shares of the page, clamped to it."""
+    from wellframe.functions import risk
+
+    left, right = risk.clip01((F.col("p_size") - 10) / 30), risk.clip01(F.col("p_size") / 40)
+    return t.part.select("p_partkey", _r(left, 5).alias("x"), _r(right - left, 5).alias("w"))
+
+
+@query("di07_ordered_unique", "SELECT o_custkey, array_to_string(list_transform(list_sort(list({'k': k, 'p': p})), lambda x: x.p), ',') AS kinds FROM (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY 1")
+def ordered_unique(t: Tables) -> DataFrame:
+    """Each value once, in the order of its first row: one row of each before any list is made."""
+    first = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("k", "o_orderpriority"))), lambda x: x.o_orderpriority)
+    return first.groupBy("o_custkey").agg(F.array_join(kinds, ",").alias("kinds"))
+
+
+@query("pf18_pinned", "SELECT o_orderkey, o_orderstatus <> 'F' AS unacked, o_orderpriority IN ('1-URGENT', '2-HIGH') AS loud, o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS pinned FROM orders")
+def pinned(t: Tables) -> DataFrame:
+    """Open alerts that nobody has acknowledged, the loud ones, and those that are both."""
+    from wellframe.functions import risk
+
+    state = risk.lookup(F.col("o_orderstatus"), {"F": "acknowledged", "O": "viewed"}, "escalated")
+    severity = risk.lookup(F.col("o_orderpriority"), {"1-URGENT": "critical", "2-HIGH": "warning"}, "info")
+    x = t.orders.select("o_orderkey", risk.unacknowledged(state).alias("unacked"), risk.loud(severity).alias("loud"))
+    return x.withColumn("pinned", F.col("unacked") & F.col("loud"))
+
+
+@query("fn16_ramp", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 12 THEN 0 WHEN l_quantity >= 37 THEN 1 ELSE (l_quantity - 12) / 25 END, 6)::DOUBLE AS v FROM lineitem")
+def ramp(t: Tables) -> DataFrame:
+    from wellframe.functions import risk
+
+    return t.lineitem.select("l_orderkey", "l_linenumber", _r(risk.ramp(F.col("l_quantity"), 12.0, 37.0)).alias("v"))
+
+
+@query("fn17_isotonic", """
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 10 THEN 0.05 WHEN l_quantity <= 30 THEN 0.05 + (l_quantity - 10) / 20 * 0.25 WHEN l_quantity <= 40 THEN 0.3 + (l_quantity - 30) / 10 * 0.6 ELSE 0.9 END, 6)::DOUBLE AS p FROM lineitem""")
+def isotonic(t: Tables) -> DataFrame:
+    """Calibration by the knots of a fitted isotonic curve, flat beyond its ends."""
+    from wellframe.functions import risk
+
+    return t.lineitem.select("l_orderkey", "l_linenumber", _r(risk.calibrated(F.col("l_quantity"), [10.0, 30.0, 40.0], [0.05, 0.3, 0.9])).alias("p"))
 
 
 @query("fn25_squash", r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g')))) AS h FROM documents WHERE text IS NOT NULL")
