@@ -177,7 +177,7 @@ def keyword_rank(t: Tables) -> DataFrame:
 def hybrid_search(t: Tables) -> DataFrame:
     """Keyword and vector rankings, each cut at 50, fused; filters come after the cuts."""
     docs = t.documents.where("text is not null")
-    kw = docs.select("doc_id", _r(tx.match_rank(F.col("text"), "tion")).alias("s")).where("s > 0").orderBy(F.desc("s"), "doc_id").limit(50)
+    kw = docs.where(tx.matches(F.col("text"), "tion")).select("doc_id", _r(tx.match_rank(F.col("text"), "tion")).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
     kw = kw.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id")))
     d = tx.cosine_distance(F.col("embedding"), F.col("q"))
     vec = t.embeddings.crossJoin(F.broadcast(_vector0(t))).select(F.col("vec_id").alias("doc_id"), _r(d).alias("d")).orderBy("d", "doc_id").limit(50)

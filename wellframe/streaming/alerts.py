@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -51,35 +52,48 @@ def step(alert: dict | None, c: dict) -> tuple[dict, str]:
     return {"state": "sent", "severity": c["severity"], "score": c["score"]}, "created"
 
 
-def _fold(key: str, alert: dict | None, pdf: pd.DataFrame) -> tuple[dict | None, list[tuple]]:
-    out = []
-    for c in pdf.sort_values("seq", kind="stable").to_dict("records"):
-        if c.get("resolve"):
-            alert = alert and alert | {"state": "resolved"}
-            out.append((key, c["seq"], "resolved" if alert else "none", alert and alert["severity"], alert and alert["score"]))
-            continue
-        alert, action = step(alert, c)
-        out.append((key, c["seq"], action, alert["severity"], alert["score"]))
-    return alert, out
+def _one(key: str | None, alert: dict | None, c: dict) -> tuple[dict | None, tuple]:
+    """The alert of a key after one candidate, and what it did."""
+    if c.get("resolve"):
+        alert = alert and alert | {"state": "resolved"}
+        return alert, (key, c["seq"], "resolved" if alert else "none", alert and alert["severity"], alert and alert["score"])
+    alert, action = step(alert, c)
+    return alert, (key, c["seq"], action, alert["severity"], alert["score"])
 
 
 _NAMES = [c.split()[0] for c in ACTIONS.split(", ")]
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64()]
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
-    """What each candidate (dedup_key, seq, severity, band, score, fired, resolve) did, key by key in order of seq."""
+    """What each candidate (dedup_key, seq, severity, band, score, fired, resolve) did, key by key in order of seq.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(key[0], None, pdf)[1], columns=_NAMES)
+    Keys are many and short: each task runs over its sorted rows once and begins anew where the key changes, so that it holds
+    a batch and one alert.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, alert, begun = None, None, False
+        for b in batches:
+            out = []
+            for c in b.to_pylist():
+                if not begun or c["dedup_key"] != key:
+                    key, alert, begun = c["dedup_key"], None, True
+                alert, row = _one(key, alert, c)
+                out.append(row)
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES)], _NAMES)
 
-    return events.groupBy("dedup_key").applyInPandas(run, ACTIONS)
+    return events.repartition("dedup_key").sortWithinPartitions("dedup_key", "seq").mapInArrow(run, ACTIONS)
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
     """The same on a stream; one state for each key, so that two open alerts of a key cannot be."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert, rows = _fold(key[0], json.loads(state.get[0]) if state.exists else None, pd.concat(list(parts)))
+        alert, rows = json.loads(state.get[0]) if state.exists else None, []
+        for c in pd.concat(list(parts)).sort_values("seq", kind="stable").to_dict("records"):
+            alert, row = _one(key[0], alert, c)
+            rows.append(row)
         if alert:
             state.update((json.dumps(alert),))
         yield pd.DataFrame(rows, columns=_NAMES)
