@@ -157,16 +157,19 @@ def train(docs: DataFrame, text: str, label: str, learn: Column | None = None, d
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(label).cast("string").alias("y"), F.xxhash64(text, F.lit(9)).alias("h"), F.col(text).alias("t"))
-    # Hashes alone are moved and thinned; Spark keeps a task's first few of each label before any move.
+    # Hashes alone are moved.  They are even, so some four times as many as are wanted lie below a bound: these are ordered.
+    hashes = staged(rows.select("y", "h").distinct(), "hashes")
+    sizes = {r.y: r["count"] for r in hashes.groupBy("y").count().collect()}  # one for each language
+    if not sizes:
+        return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)))
+    share = F.create_map(*[F.lit(v) for y, c in sizes.items() for v in (y, min(1.0, 4 * docs_per_label / c))])
+    low = hashes.where((F.col("h").cast("double") / 2.0**64 + 0.5 < share[F.col("y")]) | (share[F.col("y")] == 1.0))
     first = Window.partitionBy("y").orderBy("h")
-    drawn = rows.select("y", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_label)
-    drawn = staged(drawn.select("y", "h"), "drawn")
+    drawn = staged(low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_label).select("y", "h"), "drawn")
     texts = rows.join(F.broadcast(drawn), ["y", "h"], "left_semi")  # so many hashes of each label
     cut = F.substring("t", 1, chars_per_doc)
     sample = texts.groupBy("y", "h").agg(F.first(cut).alias("t")).orderBy("h", "y").collect()
-    discard(drawn)
-    if not sample:
-        return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)))
+    discard(hashes, drawn)
     return fit([r.t for r in sample], [r.y for r in sample], epochs, seed)
 
 
