@@ -216,3 +216,15 @@ def test_copies_do_not_push_a_language_out(spark):
     assert set(model.labels) == {r.lang for r in docs.where("lang is not null").distinct().collect()}
     long = spark.createDataFrame([("alpha beta " * 6000, "xx"), ("gamma delta", "yy")], "text string, lang string")
     assert langid.train(long, "text", "lang", epochs=1).labels == ["xx", "yy"]
+
+
+def test_blocks_of_a_benchmark_are_bounded(spark):
+    """Copies in number, in one task or not: no block exceeds its bound, and together they find what one block finds."""
+    items = [(i, f"word{i % 40} a b c") for i in range(400)] + [(7, "same same") for _ in range(300)] + [(None, None)]
+    b = spark.createDataFrame(items, "item_id int, text string").repartition(1)
+    small, whole = wumanber.load(b, "item_id", "text", max_words=100), wumanber.load(b, "item_id", "text")
+    assert len(whole) == 1 and len(small) > 10
+    assert all(sum(t.length * len(t.texts) for t in p.value.tables) <= 100 for p in small)
+    d = spark.createDataFrame([(i, f"x word{i} A b c y same same") for i in range(50)], "doc_id long, text string")
+    a, z = (wumanber.scan(d, "doc_id", "text", p).collect() for p in (small, whole))
+    assert a == z and [r.n_hit for r in z] == [6] * 40 + [2] * 10

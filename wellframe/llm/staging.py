@@ -38,6 +38,16 @@ def staged(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder partition by partition, so that its rows keep their places; for ``discard`` as well."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    out = df.checkpoint()
+    out.staged_path = out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours on whatever file system it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,8 +6,8 @@ how far the search may jump without missing an occurrence; where the shift is ze
 suffix and prefix hashes selects the windows that can end there, and their bytes are compared.
 
 Many lanes of a batch are searched in step, so the jumps are array operations.  A benchmark is broadcast in
-blocks of at most ``MAX_BLOCK_WORDS`` words; a larger one costs further passes over the same rows, in the
-same task and without a shuffle.
+blocks of at most ``MAX_BLOCK_WORDS`` words; a larger one costs further passes over the same rows, one after
+the other and without a shuffle, with the rows written in between: a task or executor holds one block at a time.
 
 Edge cases: null or empty texts, or texts without words, have no words and no hits, as document or item.  An
 item with a null id marks words but is not listed; items that share an id count once.  Repeated rows are
@@ -18,7 +18,9 @@ and returns only the columns it names; ``keep_clean`` returns all columns as the
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import free_memory, small_batches
+from wellframe.llm.staging import checkpointed, discard, free_memory, small_batches, staged
 from wellframe.llm.words import Words, blocks, mix
 
 #: A broadcast block has so many words at most (some 60 MB of tables), or one item.
@@ -152,18 +154,47 @@ def merged(runs: list) -> list[tuple[int, int]]:
 
 
 def load(benchmark: DataFrame, item: str, text: str, window: int = 10, max_words: int = MAX_BLOCK_WORDS) -> list[Broadcast]:
-    """The benchmark's tables, broadcast in blocks of bounded size; the driver holds one block of texts at a time."""
-    sc = benchmark.sparkSession.sparkContext
-    out, part, size = [], [], 0
-    for i, t in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        n = len(t or "") // 2 + 1  # words at most
-        if part and size + n > max_words:
-            out.append(sc.broadcast(build(part, window)))
-            part, size = [], 0
-        part.append((i, t))
-        size += n
-    out.append(sc.broadcast(build(part, window)))
-    return out
+    """The benchmark's tables, built in tasks and broadcast in blocks of bounded size.
+
+    Items are dealt to tasks by hash, a block's worth each on average; a task with more makes several blocks, one after the
+    other.  The driver sees finished blocks only, a file split at a time, and keeps none of them.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
+    words = F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1)  # at most
+    parts = math.ceil((rows.agg(words).first()[0] or 1) / max_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob = lambda part: pa.record_batch([pa.array([pickle.dumps(build(part, window))], pa.binary())], ["block"])
+        part, size = [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = len(t or "") // 2 + 1
+                if part and size + n > max_words:
+                    yield blob(part)
+                    part, size = [], 0
+                part.append((i, t))
+                size += n
+        if part:
+            yield blob(part)
+
+    small_batches(spark)
+    built = staged(rows.repartition(parts, "item", "text").mapInArrow(run, "block binary"), "benchmark")
+    out = [spark.sparkContext.broadcast(pickle.loads(r.block)) for r in built.toLocalIterator()]
+    discard(built)
+    return out or [spark.sparkContext.broadcast(Patterns())]
+
+
+def in_turn(docs: DataFrame, patterns: list[Broadcast], step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """``docs`` after a pass of ``step`` for each block; all but the last are written, so that tasks hold one block at a time."""
+    last = len(patterns) - 1
+    for i, p in enumerate(patterns):
+        before, docs = docs, step(docs, p, i == last)
+        if i < last:
+            docs = checkpointed(docs)
+            discard(before)
+            p.unpersist()
+    return docs
 
 
 def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> DataFrame:
@@ -189,9 +220,8 @@ def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> Dat
 
         return run
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    for i, p in enumerate(patterns):
-        out = out.mapInArrow(one(p, i == len(patterns) - 1), f"key {kind}, text string, n_words bigint, items array<string>, spans array<array<bigint>>")
+    schema = f"key {kind}, text string, n_words bigint, items array<string>, spans array<array<bigint>>"
+    out = in_turn(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), patterns, lambda df, p, last: df.mapInArrow(one(p, last), schema))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -199,13 +229,14 @@ def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> Dat
 def keep_clean(docs: DataFrame, text: str, patterns: list[Broadcast]) -> DataFrame:
     """The rows of ``docs`` without a hit word, in all their columns."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
-    for p in patterns:
+    at, schema = docs.columns.index(text), docs.schema
 
-        def run(batches: Iterator[pa.RecordBatch], p: Broadcast = p) -> Iterator[pa.RecordBatch]:
+    def step(df: DataFrame, p: Broadcast, _: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not runs for _, runs, _ in hits(b.column(at), p.value)], pa.bool_()))
             free_memory()
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return df.mapInArrow(run, schema)
+
+    return in_turn(docs.select("*"), patterns, step)
