@@ -214,7 +214,7 @@ def scan(docs: DataFrame, key: str, text: str, patterns: list[Broadcast]) -> Dat
                 n, items, spans = [], [], []
                 for (words, runs, found), (had, before) in zip(hits(texts, pattern.value), old, strict=False):
                     n.append(words)
-                    spans.append([list(x) for x in (merged([*runs, *before]) if before else runs)])
+                    spans.append([list(x) for x in (merged([*runs, *map(tuple, before)]) if before else runs)])
                     items.append(sorted({x for x in found if x is not None} | set(had)))
                 yield pa.record_batch([b.column(0), pa.nulls(b.num_rows, pa.string()) if last else texts, pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names)
 
