@@ -156,30 +156,27 @@ def merged(runs: list) -> list[tuple[int, int]]:
 def load(benchmark: DataFrame, item: str, text: str, window: int = 10, max_words: int = MAX_BLOCK_WORDS) -> list[Broadcast]:
     """The benchmark's tables, built in tasks and broadcast in blocks of bounded size.
 
-    Items are dealt to tasks by hash, a block's worth each on average; a task with more makes several blocks, one after the
-    other.  The driver sees finished blocks only, a file split at a time, and keeps none of them.
+    Items are dealt to groups by hash, four fifths of a block each on average, however many partitions there are; a group
+    with more than a block makes several.  The driver sees finished blocks only, a file split at a time, and keeps none.
     """
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     words = F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1)  # at most
-    parts = math.ceil((rows.agg(words).first()[0] or 1) / max_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = lambda part: pa.record_batch([pa.array([pickle.dumps(build(part, window))], pa.binary())], ["block"])
-        part, size = [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = len(t or "") // 2 + 1
-                if part and size + n > max_words:
-                    yield blob(part)
-                    part, size = [], 0
-                part.append((i, t))
-                size += n
-        if part:
-            yield blob(part)
-
-    small_batches(spark)
-    built = staged(rows.repartition(parts, "item", "text").mapInArrow(run, "block binary"), "benchmark")
+    groups = math.ceil(1.25 * (rows.agg(words).first()[0] or 1) / max_words)
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks_, part, size = [], [], 0
+        for i, t in zip(group.column("item").to_pylist(), group.column("text").to_pylist(), strict=True):
+            n = len(t or "") // 2 + 1
+            if part and size + n > max_words:
+                blocks_.append(pickle.dumps(build(part, window)))
+                part, size = [], 0
+            part.append((i, t))
+            size += n
+        return pa.table({"block": pa.array([*blocks_, pickle.dumps(build(part, window))], pa.binary())})
+
+    dealt = rows.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(groups)).alias("group"))
+    built = staged(dealt.applyInArrow(run, "block binary"), "benchmark")
     out = [spark.sparkContext.broadcast(pickle.loads(r.block)) for r in built.toLocalIterator()]
     discard(built)
     return out or [spark.sparkContext.broadcast(Patterns())]
