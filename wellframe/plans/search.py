@@ -259,13 +259,13 @@ def text_containment(t: Tables) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: bare(F.array_join(F.slice("w", i, F.lit(3)), "")))
     words = F.array_distinct(F.transform("w", bare))
     keys = F.array_distinct(F.concat(grams, words, F.array(F.lit(""))))
-    pairs = d.select("doc_id", F.explode(keys).alias("k")).join(F.broadcast(b.where("k is not null")), "k").select("doc_id", "item_id", "s")
+    pairs = d.select("doc_id", F.explode(keys).alias("k")).join(b.where("k is not null"), "k").select("doc_id", "item_id", "s")
     short = b.where("k is null").select("item_id", "s", F.regexp_extract("s", r"(\S+)", 1).alias("part"))
     sizes = [r[0] for r in short.select(F.length("part")).distinct().collect()]
     if sizes:
         each = d.select("doc_id", F.explode(words).alias("word"))
         at = each.select("word").distinct().withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where(F.length("word") >= F.col("n"))
         parts = at.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("i")).select("word", F.expr("substring(word, i, n)").alias("part")).distinct()
-        hits = parts.join(F.broadcast(short), "part").select("word", "item_id", "s")
+        hits = parts.join(short, "part").select("word", "item_id", "s")
         pairs = pairs.unionByName(each.join(hits, "word").select("doc_id", "item_id", "s"))
     return pairs.distinct().join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("s"))).select("doc_id", "item_id").distinct()
