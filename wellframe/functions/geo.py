@@ -1,9 +1,15 @@
-"""Geodesy and trajectories as column expressions: no Python runs on the executors."""
+"""Geodesy and trajectories as column expressions.
+
+The spheroid's two problems iterate, and so are Arrow functions over whole batches: as nested lambdas they took seconds to
+build and were interpreted row by row.  All else stays in the JVM.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,91 +34,86 @@ def distance_3d(horizontal: Column, dz: Column) -> Column:
     return F.hypot(horizontal, dz)
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once, so that nested formulas don't repeat it."""
-    return F.transform(F.array(value), body)[0]
+def _series(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The published method's B*A, B and C of cos^2 of the azimuth at the equator."""
+    u = q * (A * A - B * B) / (B * B)
+    return B * (1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))), FLATTENING / 16 * q * (4 + FLATTENING * (4 - 3 * q))
+
+
+def _turn(b: np.ndarray, s: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return b * s * (m + b / 4 * (c * (2 * m * m - 1) - b / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))
+
+
+def _direct(lat: np.ndarray, lon: np.ndarray, azimuth_deg: np.ndarray, distance_m: np.ndarray, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Vincenty's direct problem by a fixed number of steps, each of which cuts the error some 300-fold."""
+    z, tan_u = np.radians(azimuth_deg), (1 - FLATTENING) * np.tan(np.radians(lat))
+    cos_u = 1 / np.sqrt(1 + tan_u * tan_u)
+    sin_u, s1, sa = tan_u * cos_u, np.arctan2(tan_u, np.cos(z)), cos_u * np.sin(z)
+    ba, bb, g = _series(1 - sa * sa)
+    s = distance_m / ba
+    for _ in range(steps):
+        s = distance_m / ba + _turn(bb, np.sin(s), np.cos(s), np.cos(2 * s1 + s))
+    sin, cos, m = np.sin(s), np.cos(s), np.cos(2 * s1 + s)
+    lat2 = np.arctan2(sin_u * cos + cos_u * sin * np.cos(z), (1 - FLATTENING) * np.hypot(sa, sin_u * sin - cos_u * cos * np.cos(z)))
+    lam = np.arctan2(sin * np.sin(z), cos_u * cos - sin_u * sin * np.cos(z))
+    return np.degrees(lat2), lon + np.degrees(lam - (1 - g) * FLATTENING * sa * (s + g * sin * (m + g * cos * (2 * m * m - 1))))
+
 
+def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, steps: int = 8) -> np.ndarray:
+    u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    l = np.radians(lon2 - lon1)
+    lam = l
+    for left in reversed(range(steps + 1)):
+        ss = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+        cs = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+        sa = np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(ss == 0, 1.0, ss)  # one point: 0 / 1
+        q = 1 - sa * sa
+        m = np.where(q == 0, 0.0, cs - 2 * np.sin(u1) * np.sin(u2) / np.where(q == 0, 1.0, q))
+        ba, bb, g = _series(q)
+        if left:
+            lam = l + (1 - g) * FLATTENING * sa * (np.arctan2(ss, cs) + g * ss * (m + g * cs * (2 * m * m - 1)))
+    return ba * (np.arctan2(ss, cs) - _turn(bb, ss, cs, m))
 
-def project(lat: Column, lon: Column, azimuth_deg: Column, distance_m: Column, steps: int = 6) -> Column:
-    """Vincenty's direct problem: struct(lat, lon) of the point at a bearing and distance on WGS 84.
 
-    The iteration is an array fold over a fixed number of steps, each cutting the error some 300-fold.
-    """
-    az = F.radians(azimuth_deg)
-    tan_u1 = (1 - FLATTENING) * F.tan(F.radians(lat))
-    cos_u1 = 1 / F.sqrt(1 + tan_u1 * tan_u1)
-    first = F.struct(
-        F.atan2(tan_u1, F.cos(az)).alias("s1"), (cos_u1 * F.sin(az)).alias("sa"), cos_u1.alias("cu"), (tan_u1 * cos_u1).alias("su"), F.cos(az).alias("ca"), F.sin(az).alias("za"), distance_m.alias("d")
-    )
+def _numbers(*columns: pd.Series) -> list[np.ndarray]:
+    """Nulls become NaN, and NaN results null again."""
+    return [c.to_numpy(dtype=float, na_value=np.nan) for c in columns]
 
-    def solve(k: Column) -> Column:
-        c2 = 1 - k.sa * k.sa
-        u2 = c2 * (A * A - B * B) / (B * B)
-        big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-        big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-        base = k.d / (B * big_a)
 
-        def step(s: Column, _: Column) -> Column:
-            m = F.cos(2 * k.s1 + s)
-            ds = big_b * F.sin(s) * (m + big_b / 4 * (F.cos(s) * (2 * m * m - 1) - big_b / 6 * m * (4 * F.sin(s) * F.sin(s) - 3) * (4 * m * m - 3)))
-            return base + ds
+def _place(lat: np.ndarray, lon: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"lat": lat, "lon": lon})
 
-        sigma = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), base, step)
 
-        def finish(s: Column) -> Column:
-            t = k.su * F.sin(s) - k.cu * F.cos(s) * k.ca
-            lat2 = F.atan2(k.su * F.cos(s) + k.cu * F.sin(s) * k.ca, (1 - FLATTENING) * F.sqrt(k.sa * k.sa + t * t))
-            lam = F.atan2(F.sin(s) * k.za, k.cu * F.cos(s) - k.su * F.sin(s) * k.ca)
-            c = FLATTENING / 16 * c2 * (4 + FLATTENING * (4 - 3 * c2))
-            m = F.cos(2 * k.s1 + s)
-            dl = lam - (1 - c) * FLATTENING * k.sa * (s + c * F.sin(s) * (m + c * F.cos(s) * (2 * m * m - 1)))
-            return F.struct(F.degrees(lat2).alias("lat"), dl.alias("dlon"))
+def _project(lat: pd.Series, lon: pd.Series, azimuth_deg: pd.Series, distance_m: pd.Series) -> pd.DataFrame:
+    return _place(*_direct(*_numbers(lat, lon, azimuth_deg, distance_m)))
 
-        return _let(sigma, finish)
 
-    got = _let(first, solve)
-    return F.struct(got.lat.alias("lat"), (lon + F.degrees(got.dlon)).alias("lon"))
+def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    return pd.Series(_inverse(*_numbers(lat1, lon1, lat2, lon2)))
 
 
-def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int = 8) -> Column:
-    """Vincenty's inverse problem: distance on WGS 84 (0 for one point; not for antipodes)."""
-    u1, u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1))), F.atan((1 - FLATTENING) * F.tan(F.radians(lat2)))
-    big_l = F.radians(lon2 - lon1)
-    k0 = F.struct(F.sin(u1).alias("a"), F.cos(u1).alias("b"), F.sin(u2).alias("c"), F.cos(u2).alias("d"), big_l.alias("l"))
+def _offset(lat: pd.Series, lon: pd.Series, north_m: pd.Series, east_m: pd.Series) -> pd.DataFrame:
+    lat_, lon_, north, east = _numbers(lat, lon, north_m, east_m)
+    up = _direct(lat_, lon_, np.where(north >= 0, 0.0, 180.0), np.abs(north))
+    return _place(*_direct(*up, np.where(east >= 0, 90.0, 270.0), np.abs(east)))
 
-    def parts(k: Column, lam: Column) -> tuple:
-        ss = F.sqrt(F.pow(k.d * F.sin(lam), 2) + F.pow(k.b * k.c - k.a * k.d * F.cos(lam), 2))
-        cs = k.a * k.c + k.b * k.d * F.cos(lam)
-        sa = F.when(ss == 0, 0.0).otherwise(k.b * k.d * F.sin(lam) / F.nullif(ss, F.lit(0.0)))
-        c2 = 1 - sa * sa
-        cm = F.when(c2 == 0, 0.0).otherwise(cs - 2 * k.a * k.c / F.nullif(c2, F.lit(0.0)))
-        return ss, cs, sa, c2, cm
 
-    def solve(k: Column) -> Column:
-        def step(lam: Column, _: Column) -> Column:
-            ss, cs, sa, c2, cm = parts(k, lam)
-            c = FLATTENING / 16 * c2 * (4 + FLATTENING * (4 - 3 * c2))
-            return k.l + (1 - c) * FLATTENING * sa * (F.atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+PLACE = "lat double, lon double"
 
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), k.l, step)
 
-        def finish(x: Column) -> Column:
-            ss, cs, _, c2, cm = parts(k, x)
-            q = c2 * (A * A - B * B) / (B * B)
-            big_a = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
-            big_b = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
-            ds = big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-            return B * big_a * (F.atan2(ss, cs) - ds)
+def project(lat: Column, lon: Column, azimuth_deg: Column, distance_m: Column) -> Column:
+    """struct(lat, lon) of the point at a bearing and distance on WGS 84; its fields are null where an input is."""
+    return F.pandas_udf(_project, PLACE)(lat, lon, azimuth_deg, distance_m)
 
-        return _let(lam, finish)
 
-    return _let(k0, solve)
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance on WGS 84 (0 for one point, null where an input is null; not for antipodes)."""
+    return F.pandas_udf(_geodesic, "double")(lat1, lon1, lat2, lon2)
 
 
 def offset_position(lat: Column, lon: Column, north_m: Column, east_m: Column) -> Column:
     """struct(lat, lon) after moving north, then east."""
-    up = project(lat, lon, F.when(north_m >= 0, F.lit(0.0)).otherwise(180.0), F.abs(north_m))
-    return _let(up, lambda p: project(p.lat, p.lon, F.when(east_m >= 0, F.lit(90.0)).otherwise(270.0), F.abs(east_m)))
+    return F.pandas_udf(_offset, PLACE)(lat, lon, north_m, east_m)
 
 
 def dogleg_rad(inc0: Column, azi0: Column, inc1: Column, azi1: Column) -> Column:

@@ -1,6 +1,7 @@
 """The well reports on a field derived from the driver's tables: suppliers are wells, their lines are hazard events.
 
-Geodesy and rank rules have no short SQL, so these give rows only; the rules are tested on hand-computed fixtures.
+The SQL of the offset reports unrolls the spheroid's iteration into a chain of subqueries.  Positions, formations and the
+well summary give rows only; their rules are tested on hand-computed fixtures.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellframe.functions import risk
+from wellframe.functions import geo, risk
 from wellframe.operators import wells
 from wellframe.plans.registry import Tables, query
 
@@ -68,3 +69,87 @@ def extended_md(t: Tables) -> DataFrame:
     f = field(t)
     probes = f["wellbores"].select("wellbore_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4))).alias("g")).select("wellbore_id", (F.col("g") * 100.0).alias("tvd_m"))
     return wells.extended_md(probes, f["stations"]).withColumn("md_m", F.round("md_m", 4))
+
+
+def _pairs_sql(radius_m: float) -> str:
+    """SQL subqueries that end in ``near`` (k, o, d): other wells on the spheroid within a radius, by eight steps of the inverse problem."""
+    f, e2 = geo.FLATTENING, (geo.A**2 - geo.B**2) / geo.B**2
+    at = """sqrt((cos(u2) * sin({x})) ^ 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos({x})) ^ 2) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos({x}) AS cs,
+        coalesce(cos(u1) * cos(u2) * sin({x}) / nullif(ss, 0), 0) AS sa, 1 - sa * sa AS q, coalesce(cs - 2 * sin(u1) * sin(u2) / nullif(q, 0), 0) AS m"""
+    steps = ["w AS (SELECT s_suppkey AS k, (90 + (s_suppkey * 101 % 991) / 100.0)::DOUBLE AS lon, (20 + (s_suppkey * 37 % 997) / 100.0)::DOUBLE AS lat FROM supplier)"]
+    steps.append(f"g0 AS (SELECT a.k, b.k AS o, atan((1 - {f}::DOUBLE) * tan(radians(a.lat))) AS u1, atan((1 - {f}::DOUBLE) * tan(radians(b.lat))) AS u2, radians(b.lon - a.lon) AS l, l AS x0 FROM w a JOIN w b ON a.k <> b.k AND abs(a.lat - b.lat) < {radius_m / 100_000})")
+    for i in range(8):
+        steps.append(f"g{i + 1} AS (SELECT k, o, u1, u2, l, {at.format(x=f'x{i}')}, {f}::DOUBLE / 16 * q * (4 + {f}::DOUBLE * (4 - 3 * q)) AS g, l + (1 - g) * {f}::DOUBLE * sa * (atan2(ss, cs) + g * ss * (m + g * cs * (2 * m * m - 1))) AS x{i + 1} FROM g{i})")
+    steps.append(f"""gd AS (SELECT k, o, {at.format(x="x8")}, q * {e2}::DOUBLE AS u, {geo.B}::DOUBLE * (1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))) AS ba, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb,
+        ba * (atan2(ss, cs) - bb * ss * (m + bb / 4 * (cs * (2 * m * m - 1) - bb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) AS d FROM g8)""")
+    steps.append(f"near AS (SELECT k, o, d FROM gd WHERE d <= {radius_m})")
+    return ",\n    ".join(steps)
+
+
+_EVENTS = """ev AS (SELECT concat_ws('-', l_orderkey, l_linenumber) AS event_id, l_suppkey AS o, CASE l_returnflag WHEN 'R' THEN 'losses' WHEN 'A' THEN 'kick' END AS risk_type, (l_quantity * 50)::DOUBLE AS md,
+    l_tax > 0.05 AS pending, (1 - l_discount)::DOUBLE AS conf FROM lineitem WHERE l_tax <= 0.07)"""
+
+
+def _offsets(f: dict[str, DataFrame], radius_m: float) -> DataFrame:
+    return wells.offsets_within(f["wells"], f["wellbores"], f["stations"], _probes(f), f["events"], radius_m)
+
+
+@query("cq03_offsets", f"""
+    WITH {_pairs_sql(120_000.0)}, {_EVENTS}, n AS (SELECT o, count(*) AS n FROM ev GROUP BY o)
+    SELECT k::VARCHAR AS wellbore_id, near.o::VARCHAR AS other_id, round(d, 2) AS surface_m, coalesce(n, 0)::BIGINT AS n_events FROM near LEFT JOIN n ON n.o = near.o""")
+def offsets(t: Tables) -> DataFrame:
+    """The neighbours of every well within 120 km on the spheroid, with their events."""
+    return _offsets(field(t), 120_000.0).select("wellbore_id", "other_id", F.round("surface_m", 2).alias("surface_m"), "n_events")
+
+
+@query("cq04_offset_events", f"""
+    WITH {_pairs_sql(120_000.0)}, {_EVENTS}
+    SELECT k::VARCHAR AS wellbore_id, near.o::VARCHAR AS other_id, event_id, md AS md_from_m FROM near JOIN ev ON ev.o = near.o
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, near.o::VARCHAR, md, event_id) <= 20""")
+def offset_events(t: Tables) -> DataFrame:
+    """The first 20 events of each well's neighbours, nearest well first, then by depth."""
+    f = field(t)
+    return wells.events_for_offsets(_offsets(f, 120_000.0), f["events"], limit=20).select("wellbore_id", "other_id", "event_id", "md_from_m")
+
+
+@query("cq07_predicted_tops", f"""
+    WITH {_pairs_sql(120_000.0)}, nearest AS (SELECT k, o, d FROM near QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, o::VARCHAR) <= 12),
+    x AS (SELECT k, i, (600 * (i + 1) + o * 37 % 101)::DOUBLE AS v, 1 / greatest(d, 100) ^ 2 AS w FROM nearest, range(4) r(i)),
+    a AS (SELECT *, sum(w) OVER p AS sw, sum(w * v) OVER p AS swv, count(*) OVER p AS n FROM x WINDOW p AS (PARTITION BY k, i)),
+    b AS (SELECT *, swv / sw AS p, v - (swv - w * v) / (sw - w) AS e FROM a WHERE n >= 2),
+    c AS (SELECT k, i, count(*) AS n, any_value(p) AS p, greatest(10, sqrt(sum(w * (v - p) ^ 2) / sum(w) + avg(e ^ 2))) AS u FROM b GROUP BY k, i),
+    r AS (SELECT *, 5 * i + max(p - 5 * i) OVER (PARTITION BY k ORDER BY i) AS fixed FROM c)
+    SELECT k::VARCHAR AS wellbore_id, ['Alpha', 'Beta', 'Gamma', 'Delta'][i + 1] AS formation, round(fixed, 2) AS top_md_m, round(u + fixed - p, 2) AS uncertainty_m, n::BIGINT AS n FROM r""")
+def predicted_tops(t: Tables) -> DataFrame:
+    """Tops predicted from the twelve nearest wells, in stratigraphic order, with their uncertainty."""
+    f = field(t)
+    out = wells.predict_tops(_offsets(f, 120_000.0), f["tops"], f["order"])
+    return out.select("wellbore_id", "formation", F.round("top_md_m", 2).alias("top_md_m"), F.round("uncertainty_m", 2).alias("uncertainty_m"), "n")
+
+
+_AT = "floor(({md} - {k} * 37 % 101) / 600)::BIGINT - 1"
+
+
+@query("cq08_lookahead_rates", f"""
+    WITH {_pairs_sql(120_000.0)}, {_EVENTS},
+    iv AS (SELECT s_suppkey AS k, {_AT.format(md="1200", k="s_suppkey")} AS i, (1200 - s_suppkey * 37 % 101 - 600 * (i + 1)) / 600.0 AS rel FROM supplier),
+    e AS (SELECT *, least({_AT.format(md="md", k="o")}, 3) AS i, (md - o * 37 % 101 - 600 * (i + 1)) / 600.0 AS rel FROM ev),
+    h AS (SELECT near.k, near.o, risk_type, conf, pending, exp(-d / 100 / {risk.L1_DECAY_M}) * CASE WHEN pending THEN {risk.PENDING_WEIGHT} ELSE 1 END AS w
+          FROM near JOIN iv ON iv.k = near.k JOIN e ON e.o = near.o AND e.i = iv.i WHERE abs(e.rel - iv.rel) <= {risk.L1_REL_TOL} + {risk.EPS}),
+    s AS (SELECT k, risk_type, sum(top) AS swh, sum(c) / sum(n) AS conf, sum(p) AS p FROM (SELECT k, o, risk_type, max(w) AS top, sum(conf) AS c, count(*) AS n, count(*) FILTER (pending) AS p FROM h GROUP BY ALL) GROUP BY k, risk_type),
+    tot AS (SELECT k, sum(exp(-d / 100 / {risk.L1_DECAY_M})) AS sw, count(*) AS n FROM near GROUP BY k)
+    SELECT s_suppkey::VARCHAR AS interval_id, r.risk_type, round(CASE WHEN sw > 0 THEN (coalesce(swh, 0) + {risk.L1_PRIOR_HIT}) / (sw + {risk.L1_PRIOR_WEIGHT}) END, 6) AS l1, coalesce(tot.n, 0)::BIGINT AS n_offsets,
+           round(s.conf, 6) AS mean_conf, coalesce(s.p, 0)::BIGINT AS n_unreviewed
+    FROM supplier CROSS JOIN (SELECT unnest({sorted(set(risk.RISK_OF_EVENT.values()))}) AS risk_type) r LEFT JOIN tot ON tot.k = s_suppkey LEFT JOIN s ON s.k = s_suppkey AND s.risk_type = r.risk_type""")
+def lookahead_rates(t: Tables) -> DataFrame:
+    """The hit rate of every risk 1,200 m down each well, by its neighbours' events at the same relative depth (distances a hundredth, so that they weigh)."""
+    f = field(t)
+    tops = f["tops"].select(F.col("wellbore_id"), "formation", "top_md_m")
+    at = wells.formations(_probes(f), f["tops"])
+    intervals = at.select(F.col("wellbore_id").alias("interval_id"), "formation", "relative_depth", F.col("md_m").alias("md_mid_m"), "top_md_m")
+    near = _offsets(f, 120_000.0).join(at.select("wellbore_id", "formation"), "wellbore_id").select(F.col("wellbore_id").alias("interval_id"), F.col("other_id").alias("wellbore_id"), "formation", (F.col("surface_m") / 100).alias("depth_distance_m"))
+    near = near.join(tops, ["wellbore_id", "formation"]).select("interval_id", "wellbore_id", "depth_distance_m", F.lit(True).alias("drilled"), "top_md_m")
+    seen = f["events"].withColumn("md_m", F.col("md_from_m").cast("double"))
+    events = wells.formations(seen, f["tops"]).select("wellbore_id", "event_id", "risk_type", "formation", "relative_depth", F.col("md_m").alias("md_from_m"), "review_status", "confidence")
+    out = wells.l1_scores(intervals, near, events)
+    return out.select("interval_id", "risk_type", F.round("l1", 6).alias("l1"), "n_offsets", F.round("mean_conf", 6).alias("mean_conf"), "n_unreviewed")
