@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, curveknn, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm import bpe, curveknn, infill, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -107,6 +107,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two lines, its middle moved to the end, and put together again."""
+    out = infill.transform(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
     "op2_curve_knn": op2_curve_knn,
@@ -118,6 +125,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_crf": op9_language_crf,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: A text's words in DuckDB.
@@ -144,7 +152,20 @@ _OP10 = f"""
                sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
+#: The k-th group of eight digits of a document's draw.
+_DRAW = lambda k: f"('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), {8 * k - 7}, 8))::BIGINT"
+
+_OP11 = f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, {_DRAW(1)} AS h1, {_DRAW(2)} AS h2, {_DRAW(4)} AS h4 FROM documents),
+        c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p"""
+
 ORACLES = {
+    "op11_fill_in_middle": _OP11,
     "op10_decontaminate": _OP10,
     "op1_warc_normalise": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
