@@ -6,7 +6,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, curveknn, infill, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm import bpe, curveknn, dialogue, infill, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm.staging import staged
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -114,6 +115,27 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults: by a checksum of id and turn, rows are dropped, emptied, cut short, repeated or given to the user."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    draw = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(draw == 1, "").when(draw == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    out = rows.where(draw != 0).select("conv_id", "turn", F.when(draw == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(draw == 3, 2).otherwise(1))).alias("copy"))
+    return out.drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults and its cheapest repair."""
+    table = _table(spark, sf_dir, "conversations")
+    rows, names = damaged(table), ("conv_id", "turn", "role", "text")
+    audits = staged(dialogue.parsed(rows, *names), "audits")
+    digests = dialogue.digests(dialogue.repaired(rows, *names, audits), "conv_id").withColumnRenamed("conv_id", "d")
+    ids = table.select(F.col("conv_id").alias("c")).distinct()
+    out = ids.join(audits, F.col("c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").join(digests, F.col("c").eqNullSafe(F.col("d")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
     "op2_curve_knn": op2_curve_knn,
@@ -126,6 +148,7 @@ QUERIES = {
     "op9_language_crf": op9_language_crf,
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: A text's words in DuckDB.
