@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.llm import bpe, curveknn, dialogue, infill, langid, notices, orderminhash, sharding, toxicity, urlrules, warc, wumanber
+from wellframe.llm import bpe, curveknn, dialogue, infill, langid, notices, orderminhash, recompression, sharding, toxicity, urlrules, warc, wumanber
 from wellframe.llm.staging import staged
 from wellframe.llm.words import LOWER, UPPER, WORD_RE
 
@@ -115,6 +115,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that repeat earlier ones in windows of 20."""
+    return recompression.repeats(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("spans")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with planted faults: by a checksum of id and turn, rows are dropped, emptied, cut short, repeated or given to the user."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -148,6 +153,7 @@ QUERIES = {
     "op9_language_crf": op9_language_crf,
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

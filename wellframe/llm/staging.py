@@ -89,17 +89,20 @@ def free_memory() -> None:
 MAP_BITS = 1 << 26
 
 
-def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose key is among ``keys``, of which there are few.
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``, of which there are few, and a few others.
 
-    A bit map of fixed size is broadcast first and lets no more than these and a few others through, so that wide rows which
-    nobody asks for are not moved; the join then is exact.
+    A bit map of fixed size is broadcast, so that most wide rows which nobody asks for are not moved; a join has to follow.
     """
     at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
     bits = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
     bits = staged(bits, "bits")
     byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
-    likely = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("_piece")).where(hit).drop("_piece", "_bits")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("_piece")).where(hit).drop("_piece", "_bits")
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``, of which there are few."""
     # A semi join would be pushed below the join with the map, and so move all rows.
-    return likely.join(keys.select(key).distinct(), key).select(*rows.columns)
+    return likely(rows, keys, key).join(keys.select(key).distinct(), key).select(*rows.columns)

@@ -36,7 +36,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2**64, from 0."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
@@ -78,8 +79,8 @@ class Words:
         n = len(self.low)
         if self._sums is None:
             self._sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self._sums[1:])
-        return (self._sums[hi] - self._sums[lo]) * _power(_BASE_INV, n + 1)[lo]
+            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self._sums[1:])
+        return (self._sums[hi] - self._sums[lo]) * powers(_BASE_INV, n + 1)[lo]
 
     def hashes(self) -> np.ndarray:
         return mix(self.span_hash(self.start, self.end))
