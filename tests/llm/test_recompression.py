@@ -102,8 +102,8 @@ def test_packed_often(spark, monkeypatch):
         sent.add(key[i], check[i], rid[i], code[i])
         batches += sent.rows()
     batches += sent.rows(last=True)
-    df = spark.createDataFrame(pa.Table.from_batches(batches)).selectExpr("bucket", "rid", "n", "packed")
-    got = sorted((r.rid, c) for r in recompression.answered(df).collect() for c in np.frombuffer(b"".join(r.codes), np.uint32).tolist())
+    df = spark.createDataFrame(pa.Table.from_batches(batches)).selectExpr("bucket", "settled", "n", "packed")
+    got = sorted((r.rid, c) for r in recompression.answered(df, 3).collect() for c in np.frombuffer(r.codes, np.uint32).tolist())
     first, count = {}, {}
     for k, r, c in zip(key.tolist(), rid.tolist(), code.tolist(), strict=True):
         first[k], count[k] = min(first.get(k, (r, c)), (r, c)), count.get(k, 0) + 1

@@ -251,7 +251,7 @@ def parse(t: Texts, window: int) -> Parsed:
 
 #: key, check, row, code (place and kind), whether the key is known to be repeated
 _FIELDS = (np.uint64, np.uint32, np.int64, np.uint32, np.uint8)
-_SENT = "bucket int, rid bigint, n int, packed binary"
+_SENT = "bucket int, settled boolean, n int, packed binary"
 
 
 def pack(fields: tuple[np.ndarray, ...]) -> bytes:
@@ -290,13 +290,29 @@ def judged(fields: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.n
     return (key, check, rid, code, flag), first, repeated, np.where(check == 0, repeated & (flag == 0), ~first)
 
 
-def replies(rid: np.ndarray, code: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """A row for each rid: (rids, their codes as bytes)."""
-    order = np.argsort(rid, kind="stable")
-    rid, code = rid[order], np.ascontiguousarray(code[order])
-    cut = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])[: len(rid)])
-    offsets = np.append(cut, len(rid)).astype(np.int32) * 4
-    return pa.array(rid[cut], pa.int64()), pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())])
+def pack_replies(rid: np.ndarray, code: np.ndarray) -> bytes:
+    return pa.compress(np.diff(rid, prepend=0).tobytes() + code.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_replies(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(data, 12 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.uint32, n, 8 * n)
+
+
+def grouped(group: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(number, its places) of groups that are in order."""
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]), len(group)).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(group[lo]), slice(lo, hi)
+
+
+def dealt(rid: np.ndarray, code: np.ndarray, groups: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Replies by groups of rows: (groups, numbers, packed)."""
+    group = (mix(rid.view(np.uint64), 12) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((rid, group))
+    group, rid, code = group[order], rid[order], code[order]
+    out = [(g, i.stop - i.start, pack_replies(rid[i], code[i])) for g, i in grouped(group)]
+    return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
 
 class Sender:
@@ -326,55 +342,67 @@ class Sender:
             bucket = (key[order] % np.uint64(self.buckets)).astype(np.int64)
             order = order[np.lexsort((code[order], rid[order], bucket))]
             bucket = (key[order] % np.uint64(self.buckets)).astype(np.int64)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(order))
             blobs, at, sizes = [], [], []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                i = order[lo:hi]
+            for number, i in grouped(bucket):
+                i = order[i]
                 blobs.append(pack((key[i], check[i], rid[i], code[i], flag[i])))
-                at.append(int(bucket[lo]))
-                sizes.append(hi - lo)
-            yield pa.record_batch([pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rid", "n", "packed"])
+                at.append(number)
+                sizes.append(len(i))
+            yield _sent(at, sizes, blobs, False)
         rid, code = (np.concatenate(x) for x in zip(*self.known, strict=True)) if self.known else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         if len(rid):
-            ids, codes = replies(rid, code)
-            at = pa.array((ids.to_numpy() % self.buckets).astype(np.int32))
-            yield pa.record_batch([at, ids, pa.nulls(len(ids), pa.int32()), codes], ["bucket", "rid", "n", "packed"])
+            yield _sent(*dealt(rid, code, self.buckets), True)
         self.parts, self.known, self.size = [], [], 0
 
 
-def answered(sent: DataFrame) -> DataFrame:
-    """rid, codes (binary arrays of 32-bit codes) of what ``Sender`` sent, with what it settled."""
+def _sent(bucket: list[int], n: list[int], packed: list[bytes], settled: bool) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array([settled] * len(n), pa.bool_()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "settled", "n", "packed"])
+
 
-    def run(group: pa.Table) -> pa.Table:
+def answered(sent: DataFrame, buckets: int) -> DataFrame:
+    """rid, codes (32-bit codes as bytes) of what ``Sender`` sent, with what it settled.
+
+    Replies go back in as few rows as may be: one for each bucket and group of rids, at most.
+    """
+
+    def judge(bucket: pa.Table) -> pa.Table:
         parts, rids, codes = [], [], []
-        for rid, n, packed in zip(*(group.column(c).to_pylist() for c in ("rid", "n", "packed")), strict=True):
-            if rid is None:
-                parts.append(unpack(n, packed))
+        for settled, n, packed in zip(*(bucket.column(c).to_pylist() for c in ("settled", "n", "packed")), strict=True):
+            if settled:
+                rid, code = unpack_replies(n, packed)
+                rids.append(rid)
+                codes.append(code)
             else:
-                rids.append(np.full(len(packed) // 4, rid))
-                codes.append(np.frombuffer(packed, np.uint32))
+                parts.append(unpack(n, packed))
         if parts:
             (_, _, rid, code, _), _, _, back = judged(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
             rids.append(rid[back])
             codes.append(code[back])
-        ids, out = replies(np.concatenate(rids), np.concatenate(codes))
-        return pa.table([ids, out], ["rid", "codes"])
+        group, n, packed = dealt(np.concatenate(rids), np.concatenate(codes), buckets)
+        return pa.table([pa.array(group, pa.int32()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], ["group", "n", "packed"])
+
+    def give(group: pa.Table) -> pa.Table:
+        rid, code = (np.concatenate(x) for x in zip(*map(unpack_replies, group.column("n").to_pylist(), group.column("packed").to_pylist()), strict=True))
+        order = np.argsort(rid, kind="stable")
+        rid, code = rid[order], code[order]
+        rows = list(grouped(rid))
+        return pa.table([pa.array([r for r, _ in rows], pa.int64()), pa.array([code[i].tobytes() for _, i in rows], pa.binary())], ["rid", "codes"])
 
-    back = sent.groupBy("bucket").applyInArrow(run, "rid bigint, codes binary")
-    return back.groupBy("rid").agg(F.collect_list("codes").alias("codes"))
+    back = sent.groupBy("bucket").applyInArrow(judge, "group int, n int, packed binary")
+    return back.groupBy("group").applyInArrow(give, "rid bigint, codes binary")
 
 
 # ---------------------------------------------------------------- the Spark rounds
 
 
-def _by_kind(codes: list[bytes]) -> list[np.ndarray]:
+def _by_kind(codes: bytes) -> list[np.ndarray]:
     """The places that replies name, for each kind."""
-    x = np.frombuffer(b"".join(codes), np.uint32)
+    x = np.frombuffer(codes, np.uint32)
     return [x[x % 4 == k] // 4 for k in range(4)]
 
 
 def revealed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """rid, codes: shared signs, and high symbols that occur earlier."""
+    """rid, codes (bytes): shared signs, and high symbols that occur earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(buckets)
@@ -390,7 +418,7 @@ def revealed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         yield from out.rows(last=True)
         free_memory()
 
-    return answered(docs.select("rid", "text").mapInArrow(run, _SENT))
+    return answered(docs.select("rid", "text").mapInArrow(run, _SENT), buckets)
 
 
 def verified(asked: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -424,7 +452,7 @@ def verified(asked: DataFrame, window: int, buckets: int) -> DataFrame:
         yield from out.rows(last=True)
         free_memory()
 
-    return answered(asked.select("rid", "text", "codes").mapInArrow(run, _SENT))
+    return answered(asked.select("rid", "text", "codes").mapInArrow(run, _SENT), buckets)
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
