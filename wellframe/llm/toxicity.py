@@ -10,12 +10,13 @@ class and whose K is fitted to its maxima.  A logistic curve maps a text's best
 a score between 0 and 1.
 
 Bounds: counts come from at most about ``sample_rows`` labelled rows (a hash of the key picks them), the lexicon
-has at most ``lexicon_size`` tokens, and the curve is fitted on at most ``curve_rows`` of these rows.  Scoring
-covers every text whole.
+has at most ``lexicon_size`` tokens, and the curve is fitted on at most ``curve_texts`` distinct texts of each class, which
+are chosen by their hashes among these rows.  Scoring covers every text whole.
 
 Edge cases: null or empty texts, and texts without words, have no segment and the lowest score.  Rows with a
-null label or key are not trained on.  Without a labelled row of each class the lexicon is empty and every
-score is the prior 0.  Repeated rows are scored one by one and counted as often as they occur.  Columns of the
+null label or key are not trained on.  Without a labelled text of each class the lexicon is empty and every
+score is 0.  Repeated rows are scored one by one and counted as often as they occur in the sample; the curve sees a repeated
+text once, with its number.  Columns of the
 same name in texts and labels don't clash: only the named ones are read.
 """
 
@@ -28,10 +29,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellframe.llm.staging import free_memory, small_batches, staged
+from wellframe.llm.staging import discard, free_memory, small_batches, staged
 from wellframe.llm.words import Words, blocks, mix
 
 PREFIXES = (6, 5, 4)
@@ -123,7 +124,7 @@ def _score(model: Model, best: float, total: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * best + c[2] * math.log1p(total)))))
 
 
-def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column | None = None, sample_rows: int = 40_000, lexicon_size: int = 20_000, curve_rows: int = 4_000, min_count: int = 4, prior_texts: float = 4.0) -> Model:
+def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column | None = None, sample_rows: int = 40_000, lexicon_size: int = 20_000, curve_texts: int = 2_000, min_count: int = 4, prior_texts: float = 4.0) -> Model:
     """Learn from the texts whose key has a 0 or 1 in ``labels`` and satisfies ``learn`` (a condition on the key)."""
     small_batches(texts.sparkSession)
     marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)")
@@ -141,18 +142,22 @@ def train(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         model.keys, model.scores = [np.zeros(0, np.uint64)] * (1 + len(PREFIXES)), [np.zeros(0)] * (1 + len(PREFIXES))
         return model
     a_clean, a_toxic = (prior_texts * n / (n_clean + n_toxic) for n in (n_clean, n_toxic))
-    counts = staged(counts.where(F.col("clean") + F.col("toxic") >= min_count), "toxic-counts")
+    counts = counted = staged(counts.where(F.col("clean") + F.col("toxic") >= min_count), "toxic-counts")
     # The largest of v standard normal deviates is about sqrt(2 ln v): beyond that, chance explains none.
     z = max(2.5, math.sqrt(2 * math.log(max(counts.count(), 2))))
     odds = lambda x, n, a: F.log((x + a) / (n + prior_texts - x - a + 1e-9))
     counts = counts.withColumn("score", odds(F.col("toxic"), n_toxic, a_toxic) - odds(F.col("clean"), n_clean, a_clean))
     counts = counts.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("toxic") + a_toxic) + 1 / (F.col("clean") + a_clean)))
+    # A token that all toxic texts have has endless odds, though half the clean ones may have it too: the shares must differ as well.
+    share = lambda x, n, a: F.log((x + a) / (n + prior_texts))
+    counts = counts.where(share(F.col("toxic"), n_toxic, a_toxic) - share(F.col("clean"), n_clean, a_clean) >= 1.5)
     kept = counts.where(f"z >= {z} and score >= 1.5").orderBy(F.desc("z"), "kind", "token").limit(lexicon_size).select("kind", "token", "score", "clean").collect()
     for kind in range(1 + len(PREFIXES)):
         own = sorted((r.token & 0xFFFFFFFFFFFFFFFF, r.score) for r in kept if r.kind == kind)
         model.keys.append(np.array([k for k, _ in own], dtype=np.uint64))
         model.scores.append(np.array([min(s, 8.0) for _, s in own]))
-    _calibrate(model, rows, n_clean + n_toxic, curve_rows)
+    _calibrate(model, rows, (n_clean, n_toxic), curve_texts)
+    discard(rows, counted)
     return model
 
 
@@ -193,31 +198,40 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return tokens.groupBy("kind", "token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), (sizes.get(0, 0), sizes.get(1, 0))
 
 
-def _calibrate(model: Model, rows: DataFrame, n: int, curve_rows: int) -> None:
-    """Lambda and K from clean texts, then the logistic curve; on at most some ``curve_rows`` training texts."""
-    rate = min(1.0, curve_rows / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < F.lit(math.ceil(rate * (1 << 20))))
+def _calibrate(model: Model, rows: DataFrame, sizes: tuple[int, int], curve_texts: int) -> None:
+    """Lambda and K from clean texts, then the logistic curve, on the ``curve_texts`` distinct texts of each class of smallest hash.
+
+    A text counts as often as it occurs in the sample, and a class as many texts as it has there (``sizes``).
+    """
+    texts = staged(rows.where("text is not null").groupBy("_y", F.xxhash64("text", F.lit(5)).alias("h")).agg(F.count("*").alias("copies"), F.first("text").alias("text")), "toxic-texts")
+    first = Window.partitionBy("_y").orderBy("h")
+    drawn = texts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= curve_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column(0).to_pylist()
+            y, copies = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
-            for lo, hi, w in blocks(b.column(1)):
+            for lo, hi, w in blocks(b.column(2)):
                 s = word_scores(w, model)
                 for i in range(hi - lo):
                     own = s[w.first[i] : w.first[i + 1]]
-                    out.append((y[lo + i], len(own), max((x[2] for x in segments(own)), default=0.0), [float(x) for x in own[own > 0]], [x[2] for x in segments(own)]))
-            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["y", "n", "best", "hot", "sums"])
+                    sums = [x[2] for x in segments(own)]
+                    out.append((y[lo + i], copies[lo + i], len(own), max(sums, default=0.0), [float(x) for x in own[own > 0]], sums))
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["y", "copies", "n", "best", "hot", "sums"])
         free_memory()
 
-    got = rows.mapInArrow(run, "y int, n bigint, best double, hot array<double>, sums array<double>").collect()
+    got = drawn.select("_y", "copies", "text").mapInArrow(run, "y int, copies bigint, n bigint, best double, hot array<double>, sums array<double>").collect()
+    discard(texts)
     clean = [r for r in got if r.y == 0]
-    words = sum(r.n for r in clean) + 1
+    if not clean or len(clean) == len(got):
+        return  # no curve: every score is 0
+    texts_seen = sum(r.copies for r in clean)
+    words = sum(r.n * r.copies for r in clean) + 1
     hot = np.array([x for r in clean for x in r.hot] or [4.0])
-    share = max(sum(len(r.hot) for r in clean), 0.5) / words / len(hot)
+    weight = np.array([r.copies for r in clean for _ in r.hot] or [0.5]) / words
 
     def excess(lam: float) -> float:
-        return float(share * np.exp(lam * hot).sum() + (1 - share * len(hot)) * math.exp(lam * DRIFT) - 1)
+        return float((weight * np.exp(lam * hot)).sum() + (1 - weight.sum()) * math.exp(lam * DRIFT) - 1)
 
     lo, hi = 1e-3, 1e-3
     while excess(hi) < 0 and hi < 50:
@@ -228,8 +242,8 @@ def _calibrate(model: Model, rows: DataFrame, n: int, curve_rows: int) -> None:
     model.lam = max(lo, 0.05)
     # K so that the law gives the observed share of clean texts with any positive segment.
     low = float(hot.min())
-    seen = min(0.9, max(sum(r.best > 0 for r in clean), 0.5) / max(len(clean), 1))
-    model.k = min(1.0, max(1e-6, -math.log(1 - seen) / (words / max(len(clean), 1)) * math.exp(model.lam * low)))
+    seen = min(0.9, max(sum(r.copies for r in clean if r.best > 0), 0.5) / texts_seen)
+    model.k = min(1.0, max(1e-6, -math.log(1 - seen) / (words / texts_seen) * math.exp(model.lam * low)))
     # The curve sees the same features as scoring does.
     x, y = [], []
     for r in got:
@@ -237,16 +251,18 @@ def _calibrate(model: Model, rows: DataFrame, n: int, curve_rows: int) -> None:
         e = [min(v, 30.0) for v in e if v > -math.log(model.max_evalue)]
         x.append([1.0, max(e, default=0.0), math.log1p(sum(e))])
         y.append(r.y)
-    model.curve = tuple(_logistic(np.array(x), np.array(y, dtype=float)))
+    copies, of = np.array([r.copies for r in got], dtype=float), np.array(y)
+    scale = np.array(sizes) / np.bincount(of, weights=copies, minlength=2)
+    model.curve = tuple(_logistic(np.array(x), of.astype(float), copies * scale[of]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
-    """Newton's method for a ridge-regularised logistic regression."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
+    """Newton's method for a ridge-regularised logistic regression of weighted rows."""
     c = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        g = x.T @ (p - y) + ridge * c
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(c))
+        g = x.T @ (weight * (p - y)) + ridge * c
+        h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(c))
         c -= np.clip(np.linalg.solve(h, g), -5, 5)
     return c
 
