@@ -204,8 +204,13 @@ def _calibrate(model: Model, rows: DataFrame, sizes: tuple[int, int], curve_text
     A text counts as often as it occurs in the sample, and a class as many texts as it has there (``sizes``).
     """
     texts = staged(rows.where("text is not null").groupBy("_y", F.xxhash64("text", F.lit(5)).alias("h")).agg(F.count("*").alias("copies"), F.first("text").alias("text")), "toxic-texts")
+    # Hashes are even: some twice as many as are wanted lie below a bound, and these alone are ordered.
+    found = {r["_y"]: r["count"] for r in texts.groupBy("_y").count().collect()}
+    bound = lambda y: min(1.0, 2 * curve_texts / max(1, found.get(y, 0)))
+    below = F.col("h").cast("double") / 2.0**64 + 0.5 < F.when(F.col("_y") == 1, bound(1)).otherwise(bound(0))
     first = Window.partitionBy("_y").orderBy("h")
-    drawn = texts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= curve_texts)
+    ranked = texts.where(below).select("_y", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= curve_texts)
+    drawn = texts.join(F.broadcast(ranked.select("_y", "h")), ["_y", "h"], "left_semi")  # so many hashes of each class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
