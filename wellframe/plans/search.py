@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions import text as tx
 from wellframe.functions import units
-from wellframe.operators import joins
+from wellframe.operators import textindex
 from wellframe.plans.registry import Tables, query
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_TOK = f"list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: NOT list_contains([{_STOP}], w))"
-
-
 def _r(col, digits: int = 6):
     return F.round(col, digits)
 
@@ -158,33 +154,53 @@ def snippet(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.md5(tx.snippet(F.col("text"), "the thing").cast("binary")).alias("h"))
 
 
-@query("fn28_keyword_rank", f"""
-    WITH x AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, CASE WHEN list_contains(t, 'tion') AND list_contains(t, 'er') THEN len(list_filter(t, lambda w: w IN ('tion', 'er'))) / (1 + ln(1 + len(t))) ELSE 0 END AS s FROM x)
-    SELECT doc_id, round(s, 6) AS s FROM y WHERE s > 0 ORDER BY round(s, 6) DESC, doc_id LIMIT 50""")
+#: Places of two stems in every text, and the weight of each cover: two different ones next to each other.
+_COVERS = """
+    w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)),
+    h AS (SELECT doc_id, p, w IN ('mit', 'mits') AS k FROM w WHERE w IN ('license', 'licenses', 'licensed', 'licensing', 'mit', 'mits')),
+    g AS (SELECT *, lag(k) OVER o AS k0, lag(p) OVER o AS p0 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+    r AS (SELECT doc_id, sum(0.1 / (p - p0)) AS s FROM g WHERE k <> k0 GROUP BY 1)"""
+
+
+@query("fn28_keyword_rank", f"WITH {_COVERS} SELECT doc_id, round(s, 6) AS s FROM r ORDER BY round(s, 6) DESC, doc_id LIMIT 50")
 def keyword_rank(t: Tables) -> DataFrame:
-    """The 50 best matches of all query words."""
-    x = t.documents.where("text is not null").select("doc_id", _r(tx.match_rank(F.col("text"), "tion er")).alias("s")).where("s > 0")
-    return x.orderBy(F.desc("s"), "doc_id").limit(50)
+    """The 50 best matches of two words, by stems and cover density."""
+    x = textindex.search(textindex.build(t.documents, "doc_id", "text"), {"q": "licensed MIT"})
+    return x.select(F.col("key").alias("doc_id"), _r(F.col("rank")).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
+
+
+#: Phrases, alternatives and words that must not occur.
+WEB_QUERIES = {"phrase": '"mit license"', "or": 'things or "under the mit"', "not": "thing -erring", "both": '"the thing" oning or licenses -apache'}
+
+
+@query("fn28_websearch")
+def websearch(t: Tables) -> DataFrame:
+    """Every match of four web-style queries, from one index; tests compare with a scan of all stretches of every text."""
+    x = textindex.search(textindex.build(t.documents, "doc_id", "text"), WEB_QUERIES)
+    return x.select("query", F.col("key").alias("doc_id"), _r(F.col("rank")).alias("s"))
 
 
 @query("cq05_hybrid_search", f"""
-    WITH x AS (SELECT doc_id, source, {_TOK} AS t FROM documents WHERE text IS NOT NULL),
-    k AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) r FROM (SELECT doc_id, round(len(list_filter(t, lambda w: w = 'tion')) / (1 + ln(1 + len(t))), 6) AS s FROM x WHERE list_contains(t, 'tion')) QUALIFY r <= 50),
+    WITH {_COVERS},
+    k AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, round(s, 6) AS s FROM r) QUALIFY row_number() OVER (ORDER BY s DESC, doc_id) <= 50),
     q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-    v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_cosine_distance(embedding::DOUBLE[], q), 6), vec_id) r FROM embeddings, q QUALIFY r <= 50),
-    f AS (SELECT coalesce(k.doc_id, v.doc_id) AS doc_id, coalesce(1.0 / (60 + k.r), 0) + coalesce(1.0 / (60 + v.r), 0) AS s FROM k FULL JOIN v ON k.doc_id = v.doc_id)
-    SELECT f.doc_id, round(s, 8) AS rrf FROM f JOIN documents d ON d.doc_id = f.doc_id WHERE source <> 'src3' ORDER BY round(s, 8) DESC, f.doc_id LIMIT 20""")
+    v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_cosine_distance(embedding::DOUBLE[], q), 6), vec_id) AS r FROM embeddings, q QUALIFY r <= 50),
+    f AS (SELECT coalesce(k.doc_id, v.doc_id) AS doc_id, coalesce(1.0 / (60 + k.r), 0) + coalesce(1.0 / (60 + v.r), 0) AS s FROM k FULL JOIN v ON k.doc_id = v.doc_id),
+    c AS (SELECT doc_id, source, lang, doc_id % 50 AS doc, CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 END AS page, n_chars AS a, CASE WHEN doc_id % 7 > 0 THEN n_chars + 500 END AS b FROM documents)
+    SELECT f.doc_id, round(s, 8) AS rrf FROM f JOIN c ON c.doc_id = f.doc_id WHERE lang = 'en' AND (b IS NULL OR b >= 700) AND (a IS NULL OR a <= 9000)
+      AND EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.doc AND (c.page IS NULL OR e.event_id % 5 = c.page) AND e.event_type = 'click')
+    ORDER BY round(s, 8) DESC, f.doc_id LIMIT 20""")
 def hybrid_search(t: Tables) -> DataFrame:
-    """Keyword and vector rankings, each cut at 50, fused; filters come after the cuts."""
-    docs = t.documents.where("text is not null")
-    kw = docs.where(tx.matches(F.col("text"), "tion")).select("doc_id", _r(tx.match_rank(F.col("text"), "tion")).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
-    kw = kw.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id")))
+    """Keyword and vector rankings, each cut at 50, fused; filters on language, interval and events come after the cuts."""
+    kw = textindex.search(textindex.build(t.documents, "doc_id", "text"), {"q": "licensed MIT"}).select("key", _r(F.col("rank")).alias("rank"))
     d = tx.cosine_distance(F.col("embedding"), F.col("q"))
-    vec = t.embeddings.crossJoin(F.broadcast(_vector0(t))).select(F.col("vec_id").alias("doc_id"), _r(d).alias("d")).orderBy("d", "doc_id").limit(50)
-    vec = vec.withColumn("rank", F.row_number().over(Window.orderBy("d", "doc_id")))
-    fused = joins.full_rank_fusion(kw, vec, "doc_id").select("doc_id", _r(F.col("rrf"), 8).alias("rrf"))
-    found = t.documents.select("doc_id", "source").join(F.broadcast(fused), "doc_id").where("source <> 'src3'")
-    return found.orderBy(F.desc("rrf"), "doc_id").limit(20).select("doc_id", "rrf")
+    vec = t.embeddings.crossJoin(F.broadcast(_vector0(t))).select(F.col("vec_id").alias("key"), _r(d).alias("distance"))
+    both = textindex.fused(kw, vec).select("key", _r(F.col("score"), 8).alias("score"))
+    n = F.col("doc_id")
+    chunks = t.documents.select(n.alias("key"), (n % 50).alias("doc"), F.when(n % 3 > 0, n % 5).alias("page"), F.col("lang").alias("formation"), F.col("source").alias("field"), F.col("n_chars").alias("md_from"), F.when(n % 7 > 0, F.col("n_chars") + 500).alias("md_to"))
+    events = t.events.select(F.col("user_id").alias("doc"), (F.col("event_id") % 5).alias("page"), "event_type")
+    out = textindex.answers(both, chunks, events, formation="en", event_type="click", md_from=700, md_to=9000)
+    return out.select(F.col("key").alias("doc_id"), F.col("score").alias("rrf"))
 
 
 @query("fn29_chunks")
