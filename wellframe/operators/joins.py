@@ -115,17 +115,20 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], l_on: str, r_on: st
     return l.join(r, [*keys, "_b"]).where(F.abs(F.col(l_on) - F.col(r_on)) <= width).drop("_b")
 
 
-def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float) -> DataFrame:
-    """Pairs of equal keys whose half-open intervals [l_from, l_to) and [r_from, r_to) overlap.
+def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, closed: bool = False) -> DataFrame:
+    """Pairs of equal keys whose intervals [l_from, l_to) and [r_from, r_to) overlap, or those with their upper ends if ``closed``.
 
     Intervals are dealt into the buckets that they touch; a pair counts in the bucket where the later one begins.
     """
 
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.where(F.col(hi) > F.col(lo)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.greatest(F.floor(F.col(lo) / bucket), F.ceil(F.col(hi) / bucket) - 1))))
+        first, some = F.floor(F.col(lo) / bucket), F.col(hi) >= F.col(lo) if closed else F.col(hi) > F.col(lo)
+        last = F.floor(F.col(hi) / bucket) if closed else F.greatest(first, F.ceil(F.col(hi) / bucket) - 1)
+        return df.where(some).withColumn("_b", F.explode(F.sequence(first, last)))
 
     both = dealt(left, "l_from", "l_to").join(dealt(right, "r_from", "r_to"), [*keys, "_b"])
-    return both.where((F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to")) & (F.col("_b") == F.floor(F.greatest("l_from", "r_from") / bucket))).drop("_b")
+    meet = (F.col("l_from") <= F.col("r_to")) & (F.col("r_from") <= F.col("l_to")) if closed else (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to"))
+    return both.where(meet & (F.col("_b") == F.floor(F.greatest("l_from", "r_from") / bucket))).drop("_b")
 
 
 def full_rank_fusion(a: DataFrame, b: DataFrame, ident: str, k: int = 60) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import fuzzy, geo, risk
-from wellframe.operators import joins, windows
+from wellframe.operators import evaluation, joins, matching, windows
 from wellframe.plans.registry import Tables, query
 
 
@@ -48,7 +47,6 @@ _JN11_SQL = """
 
 
 @query("jn11_events_of_offsets", _JN11_SQL)
-@query("jn11_events_per_well", _JN11_SQL)
 def events_of_offsets(t: Tables) -> DataFrame:
     """The events of each well's offsets, nearest first, 200 of each well: the reference's limit is for one well."""
     n = F.row_number().over(Window.partitionBy("w").orderBy("d", "o", "l_orderkey", "l_linenumber"))
@@ -80,7 +78,6 @@ _JN17_SQL = """
 
 
 @query("jn17_best_overlap", _JN17_SQL)
-@query("jn17_best_overlap_all", _JN17_SQL)
 def best_overlap(t: Tables) -> DataFrame:
     return _best_overlap(t, t.customer)
 
@@ -109,22 +106,74 @@ def alert_hits(t: Tables) -> DataFrame:
 
 @query("jn19_greedy_match")
 def greedy_match(t: Tables) -> DataFrame:
-    """One-to-one matching within a group: the best score first, then the smaller gap; sequential, so rows only."""
-    a = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a"), F.col("l_quantity").alias("qa"))
-    b = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("b"), F.col("l_quantity").alias("qb"))
-    pairs = joins.band(a, b, ["k"], "qa", "qb", 5.0).withColumn("gap", F.abs(F.col("qa") - F.col("qb")))
+    """One-to-one matching of returned and accepted lines of a supplier by quantity, the smallest gap first.
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        pdf = pdf.sort_values(["gap", "a", "b"], kind="stable")
-        for x, y in zip(pdf.a, pdf.b, strict=True):
-            ok = x not in used_a and y not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(x), used_b.add(y)
-        return pdf[keep][["k", "a", "b"]]
+    Lines repeat, so a line is its order, number and part, and a number among equal ones.
+    """
+    line = ["l_orderkey", "l_linenumber", "l_partkey"]
+    x = t.lineitem.where("l_returnflag in ('R', 'A')").select(F.col("l_suppkey").alias("k"), "l_returnflag", *line, F.col("l_quantity").alias("x"))
+    x = x.withColumn("copy", F.row_number().over(Window.partitionBy("k", "l_returnflag", *line).orderBy("x")))
+    side = lambda flag: x.where(F.col("l_returnflag") == flag).select("k", F.struct(*line, "copy").alias("id"), "x")
+    return matching.nearest(side("R"), side("A"), ["k"], "x", "id", 5.0).select("k", "a", "b", "gap")
 
-    return pairs.groupBy("k").applyInPandas(match, "k bigint, a bigint, b bigint")
+
+def _found_and_true(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Events with an odd id as predictions, the others as truth; pages are users, views and clicks are one risk."""
+    risk = F.when(F.col("event_type").isin("view", "click"), "visit").when(F.col("event_type").isin("error", "signup"), "other")
+    e = t.events.select(F.col("user_id").alias("page"), F.col("event_id").alias("id"), "event_type", F.col("event_type").alias("formation"), risk.alias("risk"), F.col("value").alias("md"))
+    return e.where("id % 2 = 1"), e.where("id % 2 = 0")
+
+
+@query("jn20_matched_tops")
+def matched_tops(t: Tables) -> DataFrame:
+    """Each true top takes the first free prediction of its name within five metres."""
+    predicted, truth = _found_and_true(t)
+    return evaluation.matched_tops(predicted, truth)
+
+
+@query("cq17_extraction_report")
+def extraction_report(t: Tables) -> DataFrame:
+    """Precision, recall and F1 of the matched events, by kind of document and for all."""
+    predicted, truth = _found_and_true(t)
+    pages = t.events.select(F.col("user_id").alias("page")).distinct().withColumn("doc_type", F.col("page") % 3)
+    out = evaluation.extraction_report(predicted, truth, pages, 2.0)
+    return out.select("doc_type", "found", "predicted", "truth", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_CQ13_WELLS = """
+    t AS (SELECT user_id AS well, event_id AS event, event_type AS risk, value * 10 AS a, value * 10 + 5 AS b FROM events WHERE event_id % 2 = 0),
+    z AS (SELECT user_id AS well, event_id AS alert, event_type AS risk, value * 10 AS a, value * 10 + 20 AS b, value * 10 - 50 AS bit FROM events WHERE event_id % 2 = 1),
+    w AS (SELECT DISTINCT user_id AS well, 100.0 AS start, 500.0 + user_id % 7 AS td FROM events),
+    m AS (SELECT t.well, event, alert, bit, t.a FROM t JOIN z ON t.well = z.well AND t.risk = z.risk AND z.a <= t.b AND z.b >= t.a),
+    e AS (SELECT well, event, a - min(bit) AS lead FROM m WHERE bit < a GROUP BY well, event, a),
+    f AS (SELECT t.well, count(*) AS events, count(lead) AS hits, median(lead) AS lead_m FROM t JOIN w USING (well) LEFT JOIN e USING (well, event) WHERE t.a > start GROUP BY 1),
+    g AS (SELECT z.well, count(*) AS alerts, count(*) FILTER (alert NOT IN (SELECT alert FROM m)) AS false_alerts FROM z GROUP BY 1)"""
+
+
+def _alert_scores(t: Tables) -> DataFrame:
+    md = F.col("value") * 10
+    e = t.events.select(F.col("user_id").alias("well"), F.col("event_id").alias("event"), F.col("event_id").alias("alert"), F.col("event_type").alias("risk"), md.alias("md_from"), (md + 5).alias("md_to"), md.alias("zone_from"), (md + 20).alias("zone_to"), (md - 50).alias("bit"))
+    wells = t.events.select(F.col("user_id").alias("well")).distinct().select("well", F.lit(100.0).alias("start"), (500.0 + F.col("well") % 7).alias("td"))
+    return evaluation.alert_scores(e.where("event % 2 = 0"), e.where("alert % 2 = 1"), wells)
+
+
+@query("cq13_alert_scores", f"""
+    WITH {_CQ13_WELLS} SELECT well, coalesce(events, 0)::BIGINT AS events, coalesce(hits, 0)::BIGINT AS hits, coalesce(alerts, 0)::BIGINT AS alerts, coalesce(false_alerts, 0)::BIGINT AS false_alerts, round(lead_m, 4) AS lead_m, round(td - start, 4)::DOUBLE AS drilled_m
+    FROM w LEFT JOIN f USING (well) LEFT JOIN g USING (well)""")
+def alert_scores(t: Tables) -> DataFrame:
+    """Hits, leads and false alerts of each well."""
+    x = _alert_scores(t)
+    median = x.select("well", F.explode("lead_m").alias("l")).groupBy("well").agg(F.median("l").alias("m"))
+    return x.drop("lead_m").join(median, "well", "left").select("well", "events", "hits", "alerts", "false_alerts", _r(F.col("m"), 4).alias("lead_m"), _r(F.col("drilled_m"), 4).alias("drilled_m"))
+
+
+@query("cq13_alert_report", f"""
+    WITH {_CQ13_WELLS} SELECT (SELECT count(*) FROM w) AS wells, (SELECT sum(events) FROM f)::BIGINT AS events, (SELECT sum(hits) FROM f)::BIGINT AS hits, round((SELECT sum(hits) / sum(events) FROM f), 6) AS hit_rate,
+    round((SELECT median(lead) FROM e JOIN t USING (well, event) JOIN w USING (well) WHERE t.a > start), 4) AS median_lead_m, (SELECT sum(alerts) FROM g)::BIGINT AS alerts, (SELECT sum(false_alerts) FROM g)::BIGINT AS false_alerts, round((SELECT sum(false_alerts) FROM g) * 1000 / (SELECT sum(td - start) FROM w), 6) AS false_per_1000m""")
+def alert_report(t: Tables) -> DataFrame:
+    """The same over all wells."""
+    x = evaluation.alert_report(_alert_scores(t))
+    return x.select("wells", "events", "hits", _r(F.col("hit_rate"), 6).alias("hit_rate"), _r(F.col("median_lead_m"), 4).alias("median_lead_m"), "alerts", "false_alerts", _r(F.col("false_per_1000m"), 6).alias("false_per_1000m"))
 
 
 @query("jn22_stale_groups", "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) < 20")
@@ -191,7 +240,6 @@ _SNK05_SQL = "SELECT c_custkey AS k FROM customer UNION SELECT DISTINCT o_custke
 
 
 @query("snk05_insert_absent", _SNK05_SQL)
-@query("snk05_insert_absent_all", _SNK05_SQL)
 def insert_absent(t: Tables) -> DataFrame:
     return _insert_absent(t.customer, t.orders)
 

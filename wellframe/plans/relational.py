@@ -360,7 +360,6 @@ _JN14_SQL = """
 
 
 @query("jn14_containment", _JN14_SQL)
-@query("jn14_containment_all", _JN14_SQL)
 def containment(t: Tables) -> DataFrame:
     return _containment(t, t.lineitem)
 
@@ -381,7 +380,6 @@ _JN16_SQL = """
 
 
 @query("jn16_overlap", _JN16_SQL)
-@query("jn16_overlap_all", _JN16_SQL)
 def overlap(t: Tables) -> DataFrame:
     return _overlap(t, t.customer)
 

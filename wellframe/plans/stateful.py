@@ -59,7 +59,6 @@ def alert_fold(t: Tables) -> DataFrame:
 
 
 @query("di04_first_kept")
-@query("di04_first_kept_all")
 def first_kept(t: Tables) -> DataFrame:
     """No SQL: the recursion is too slow over the whole table; compared with brute force in the tests."""
     return _first_kept(t.lineitem)
