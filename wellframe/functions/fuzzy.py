@@ -1,9 +1,11 @@
-"""Similarity of names: the share of characters in a longest common subsequence, as an Arrow function."""
+"""Similarity of names and snippets: the share of characters in a longest common subsequence, as Arrow functions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -23,24 +25,122 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+class Snippet:
+    """A short text that is looked for in longer ones, with a bit mask of the places of each of its characters."""
+
+    def __init__(self, text: str):
+        self.size, self.full, self.where = len(text), (1 << len(text)) - 1, {}
+        for i, c in enumerate(text):
+            self.where[c] = self.where.get(c, 0) | 1 << i
+
+    def common(self, text: str) -> Iterator[int]:
+        """The length of the longest common subsequence with each prefix of ``text``, from the first character on."""
+        row, get = self.full, self.where.get
+        for c in text:
+            u = row & get(c, 0)
+            row = ((row + u) | (row - u)) & self.full
+            yield self.size - row.bit_count()
+
+    def length(self, text: str) -> int:
+        n = 0
+        for n in self.common(text):  # noqa: B007
+            pass
+        return n
+
+
+def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
+    """The best ``ratio`` of the shorter text with a stretch of the longer one: as long as it is, or shorter at either end.
+
+    0 if it is below ``least``.  Stretches are searched by halves: what one has in common with the snippet, all that lie inside it
+    cannot exceed.
+    """
+    if len(short) > len(long):
+        short, long = long, short
+    m, n = len(short), len(long)
+    if not m:
+        return 100.0 if not n and least <= 100 else 0.0
+    if short in long:
+        return 100.0
+    s, best = Snippet(short), max(0.0, least - 1e-9)
+    hit = False
+    ends = [(long[: m - 1], s)] + [(long[: -m if m < n else None : -1][: m - 1], Snippet(short[::-1]))]
+    for text, by in ends:  # shorter stretches at the start, and at the end read backwards
+        for k, c in enumerate(by.common(text), 1):
+            if 200.0 * c / (m + k) > best:
+                best, hit = 200.0 * c / (m + k), True
+    # Stretches of m characters that begin in [lo, hi], some m at a time.
+    todo = [(lo, min(lo + m, n - m)) for lo in range(0, n - m + 1, m + 1)][::-1]
+    while todo:
+        lo, hi = todo.pop()
+        c = s.length(long[lo : hi + m])
+        if 100.0 * c / m <= best:
+            continue
+        if lo == hi:
+            best, hit = 100.0 * c / m, True
+        else:
+            mid = (lo + hi) // 2
+            todo += [(mid + 1, hi), (lo, mid)]
+    if len(short) == n:  # of equal lengths either one is the shorter
+        for text, by in ((short[: n - 1], Snippet(long)), (short[:0:-1], Snippet(long[::-1]))):
+            for k, c in enumerate(by.common(text), 1):
+                if 200.0 * c / (n + k) > best:
+                    best, hit = 200.0 * c / (n + k), True
+    return best if hit else 0.0
+
+
+def squash(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def snippet_ratio(snippet: Column, text: Column, least: float) -> Column:
+    """``partial_ratio`` of squashed texts if it is ``least`` or more, else 0; exact containment doesn't leave the JVM's result.
+
+    Null if either is null; a blank snippet is in no text.
+    """
+
+    def some(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if x is None or y is None else partial_ratio(x, y, least) for x, y in zip(a, b, strict=True)])
+
+    a, b = squash(snippet), squash(text)
+    open_ = (a != "") & ~F.contains(b, a)
+    fuzzy = F.pandas_udf(some, DoubleType())(F.when(open_, a), F.when(open_, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(a == "", 0.0).when(F.contains(b, a), 100.0).otherwise(fuzzy)
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
+#: Letters of the grams of names.
+Q = 2
+
+
 def resolve(names: DataFrame, name: str, known: DataFrame, alias: str, target: str, least: float = 90.0) -> DataFrame:
     """``names`` with ``target``: an exact alias, else the one most similar alias of ``least`` or more; a tie is no match.
 
-    ``known`` is a small dimension; candidates share one of the alias's character pairs, of which similar names share most.
+    Of two names that similar, of n and m letters with e = (1 - least / 100) * (n + m) letters outside the common ones, at most
+    2 e of the n - 1 grams of one are not in the other.  So with the grams in order, rare ones first, they share one of the first
+    2 e + 1 of each; candidates meet there, and the commonest grams join nothing.  Names too short for that meet by length.
     """
-    squash = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    n = names.select(squash(F.col(name)).alias("_n")).distinct()
-    k = known.select(squash(F.col(alias)).alias("_a"), F.col(target).alias("_t"))
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    cand = n.withColumn("_p", F.explode(pairs(F.col("_n")))).join(k.withColumn("_p", F.explode(pairs(F.col("_a")))), "_p").select("_n", "_a", "_t").distinct()
-    # 90 % in common allows lengths to differ by a fifth or so; this prunes before Python sees a pair.
-    cand = cand.where(F.abs(F.length("_n") - F.length("_a")) <= 0.25 * F.greatest(F.length("_n"), F.length("_a")) + 1)
-    scored = cand.withColumn("_s", F.when(F.col("_n") == F.col("_a"), 101.0).otherwise(F.pandas_udf(_ratios, DoubleType())("_n", "_a"))).where(F.col("_s") >= least)
-    best = scored.groupBy("_n", "_t").agg(F.max("_s").alias("_s"))
-    w = Window.partitionBy("_n")
-    best = best.withColumn("_m", F.max("_s").over(w)).where("_s = _m").groupBy("_n").agg(F.count(F.lit(1)).alias("_c"), F.first("_t").alias(target)).where("_c = 1")
+    n = names.select(squash(F.col(name)).alias("_n")).where("_n is not null").distinct()
+    k = known.select(squash(F.col(alias)).alias("_a"), F.col(target).alias("_t")).where("_a is not null").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - Q + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(Q))))
+    often = k.select(F.explode(grams(F.col("_a"))).alias("_g")).groupBy("_g").agg(F.count("*").alias("_o"))
+    # The other name has length / least * (200 - least) letters at most.
+    spare = lambda c: (F.floor((1 - least / 100) * (F.length(c) + F.length(c) * (200 - least) / least) + 1e-9) * Q + 1).cast("int")
+
+    def first(df: DataFrame, c: str) -> DataFrame:
+        by = Window.partitionBy(c).orderBy(F.coalesce("_o", F.lit(0)), "_g")
+        flat = df.select(c).distinct().withColumn("_g", F.explode(grams(F.col(c)))).join(often, "_g", "left")
+        flat = flat.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= spare(F.col(c))).select(c, "_g")
+        short = df.select(c).distinct().where(spare(F.col(c)) >= F.length(c) - Q + 1)  # may share no gram at all
+        near = F.explode(F.sequence(F.length(c) - 2, F.length(c) + 2)) if c == "_n" else F.length(c)
+        return flat.unionByName(short.select(c, F.concat(F.lit("length "), near.cast("string")).alias("_g") if c == "_a" else near.alias("_l")).selectExpr(c, "_g" if c == "_a" else "concat('length ', _l) as _g"))
+
+    met = first(n, "_n").join(first(k, "_a"), "_g").select("_n", "_a").distinct()
+    fuzzy = F.pandas_udf(_ratios, DoubleType())("_n", "_a")
+    near = met.where("_n <> _a").withColumn("_s", fuzzy).where(F.col("_s") >= least).unionByName(n.join(k.select("_a").distinct(), F.col("_n") == F.col("_a")).withColumn("_s", F.lit(101.0)))
+    best = near.join(k, "_a").groupBy("_n", "_t").agg(F.max("_s").alias("_s"))
+    top = best.groupBy("_n").agg(F.max("_s").alias("_m"))
+    best = best.join(top, "_n").where("_s = _m").groupBy("_n").agg(F.count(F.lit(1)).alias("_c"), F.first("_t").alias(target)).where("_c = 1")
     return names.withColumn("_n", squash(F.col(name))).join(best.select("_n", target), "_n", "left").drop("_n")

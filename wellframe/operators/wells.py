@@ -189,5 +189,5 @@ def well_summary(wells: DataFrame, wellbores: DataFrame, events: DataFrame) -> D
 
 
 def npt_by_formation(wellbores: DataFrame, events: DataFrame) -> DataFrame:
-    e = events.where("review_status <> 'rejected' and risk_type is not null and formation is not null").join(wellbores.select("wellbore_id", "well_id"), "wellbore_id")
+    e = events.where("review_status <> 'rejected' and risk_type is not null").join(wellbores.select("wellbore_id", "well_id"), "wellbore_id")
     return e.groupBy("formation", "risk_type").agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.sum("npt_h"), F.lit(0.0)).alias("npt_h"), F.countDistinct("well_id").alias("n_wells"))

@@ -1,7 +1,6 @@
 """The well reports on a field derived from the driver's tables: suppliers are wells, their lines are hazard events.
 
-The SQL of the offset reports unrolls the spheroid's iteration into a chain of subqueries.  Positions, formations and the
-well summary give rows only; their rules are tested on hand-computed fixtures.
+The SQL of positions and of the offset reports unrolls the spheroid's iteration into a chain of subqueries.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo, risk
-from wellframe.operators import wells
+from wellframe.operators import views, wells
 from wellframe.plans.registry import Tables, query
 
 FORMATIONS = ["Alpha", "Beta", "Gamma", "Delta"]
@@ -35,22 +34,94 @@ def _probes(f: dict[str, DataFrame]) -> DataFrame:
     return f["wellbores"].select("wellbore_id", F.lit(1200.0).alias("md_m"))
 
 
-@query("cq01_positions")
+#: Half of the supplier table's wells at 1,200 m: 240 m east at most, by four steps of the direct problem due east.
+_DIRECT = f"""
+    w AS (SELECT s_suppkey AS k, (90 + (s_suppkey * 101 % 991) / 100.0)::DOUBLE AS lon, (20 + (s_suppkey * 37 % 997) / 100.0)::DOUBLE AS lat, CASE WHEN s_suppkey % 3 <> 0 THEN 1200.0 * (s_suppkey % 5) / 20 ELSE 0 END::DOUBLE AS s FROM supplier),
+    a AS (SELECT *, atan((1 - {geo.FLATTENING}::DOUBLE) * tan(radians(lat))) AS u, cos(u) AS sa, 1 - sa * sa AS q, q * {(geo.A**2 - geo.B**2) / geo.B**2}::DOUBLE AS e,
+          1 + e / 16384 * (4096 + e * (-768 + e * (320 - 175 * e))) AS ga, e / 1024 * (256 + e * (-128 + e * (74 - 47 * e))) AS gb, s / ({geo.B}::DOUBLE * ga) AS x0, pi() AS m0 FROM w),
+    b AS (SELECT *, {{steps}} FROM a),
+    c AS (SELECT *, {geo.FLATTENING}::DOUBLE / 16 * q * (4 + {geo.FLATTENING}::DOUBLE * (4 - 3 * q)) AS g, atan2(sin(x4), cos(u) * cos(x4)) AS l FROM b)"""
+_STEPS = ", ".join(f"cos(m0 + x{i}) AS c{i}, x0 + gb * sin(x{i}) * (c{i} + gb / 4 * (cos(x{i}) * (2 * c{i} * c{i} - 1) - gb / 6 * c{i} * (4 * sin(x{i}) ^ 2 - 3) * (4 * c{i} * c{i} - 3))) AS x{i + 1}" for i in range(4))
+
+
+@query("cq01_positions", f"""
+    WITH {_DIRECT.format(steps=_STEPS)}
+    SELECT k::VARCHAR AS wellbore_id, 1200.0::DOUBLE AS md_m, round(degrees(atan2(sin(u) * cos(x4), (1 - {geo.FLATTENING}::DOUBLE) * sqrt(sa * sa + (sin(u) * sin(x4)) ^ 2))), 7) AS lat,
+           round(lon + degrees(l - (1 - g) * {geo.FLATTENING}::DOUBLE * sa * (x4 + g * sin(x4) * (cos(m0 + x4) + g * cos(x4) * (2 * cos(m0 + x4) ^ 2 - 1)))), 7) AS lon, CASE WHEN k % 3 = 0 THEN 1200 ELSE 1164 END::DOUBLE AS tvd_m FROM c""")
 def positions(t: Tables) -> DataFrame:
     f = field(t)
-    return wells.positions(_probes(f), f["stations"], wells.wellbore_points(f["wells"], f["wellbores"]))
+    out = wells.positions(_probes(f), f["stations"], wells.wellbore_points(f["wells"], f["wellbores"]))
+    return out.select("wellbore_id", "md_m", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("tvd_m", 6).alias("tvd_m"))
 
 
-@query("cq02_formations")
+@query("cq02_formations", """
+    WITH x AS (SELECT s_suppkey AS k, s_suppkey * 37 % 101 AS c, floor((1200 - c) / 600)::INT AS i FROM supplier)
+    SELECT k::VARCHAR AS wellbore_id, 1200.0::DOUBLE AS md_m, ['Alpha', 'Beta', 'Gamma', 'Delta'][i] AS formation, (600 * i + c)::DOUBLE AS top_md_m, (600 * (i + 1) + c)::DOUBLE AS next_top_md_m, round((1200 - 600 * i - c) / 600.0, 6)::DOUBLE AS relative_depth FROM x""")
 def formations(t: Tables) -> DataFrame:
     f = field(t)
-    return wells.formations(_probes(f), f["tops"])
+    return wells.formations(_probes(f), f["tops"]).withColumn("relative_depth", F.round("relative_depth", 6))
+
 
+_KEPT = "SELECT l_suppkey AS k, CASE l_returnflag WHEN 'R' THEN 'losses' WHEN 'A' THEN 'kick' END AS r, l_discount AS npt FROM lineitem WHERE l_tax <= 0.07"
 
-@query("cq06_well_summary")
+
+@query("cq06_well_summary", f"""
+    WITH e AS ({_KEPT}), n AS (SELECT k, count(*) AS n, sum(npt) AS npt FROM e GROUP BY 1), m AS (SELECT k, r FROM (SELECT k, r, count(*) AS c FROM e WHERE r IS NOT NULL GROUP BY k, r) QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, r) = 1)
+    SELECT s_suppkey::VARCHAR AS well_id, s_name AS name, coalesce(n, 0)::BIGINT AS n_events, round(coalesce(npt, 0), 6)::DOUBLE AS npt_h, m.r AS top_risk FROM supplier LEFT JOIN n ON n.k = s_suppkey LEFT JOIN m ON m.k = s_suppkey""")
 def well_summary(t: Tables) -> DataFrame:
     f = field(t)
-    return wells.well_summary(f["wells"], f["wellbores"], f["events"])
+    return wells.well_summary(f["wells"], f["wellbores"], f["events"]).withColumn("npt_h", F.round("npt_h", 6))
+
+
+@query("cq06_view_wellbores", f"""
+    WITH e AS ({_KEPT}), n AS (SELECT k, count(*) AS n, sum(npt) AS npt FROM e GROUP BY 1), m AS (SELECT k, r FROM (SELECT k, r, count(*) AS c FROM e WHERE r IS NOT NULL GROUP BY k, r) QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, r) = 1)
+    SELECT s_suppkey::VARCHAR AS wellbore_id, s_name AS name, coalesce(n, 0)::BIGINT AS event_count, round(coalesce(npt, 0), 6)::DOUBLE AS npt_h_total, m.r AS top_risk_type FROM supplier LEFT JOIN n ON n.k = s_suppkey LEFT JOIN m ON m.k = s_suppkey""")
+def view_wellbores(t: Tables) -> DataFrame:
+    f = field(t)
+    return views.well_summary(f["wellbores"], f["wells"], f["events"]).select("wellbore_id", "name", "event_count", F.round("npt_h_total", 6).alias("npt_h_total"), "top_risk_type")
+
+
+@query("cq06_view_npt", """
+    SELECT CASE WHEN l_quantity < 15 THEN 'Alpha' WHEN l_quantity < 30 THEN 'Beta' END AS formation, CASE l_returnflag WHEN 'R' THEN 'losses' WHEN 'A' THEN 'kick' END AS risk_type, count(*) AS event_count, round(sum(l_discount), 4)::DOUBLE AS npt_h_total, count(DISTINCT l_suppkey) AS well_count
+    FROM lineitem WHERE l_tax <= 0.07 AND l_returnflag IN ('R', 'A') GROUP BY 1, 2""")
+def view_npt(t: Tables) -> DataFrame:
+    f = field(t)
+    md = F.col("md_from_m")
+    e = f["events"].withColumn("formation", F.when(md < 750, "Alpha").when(md < 1500, "Beta"))
+    return views.npt_by_formation(e, f["wellbores"]).withColumn("npt_h_total", F.round("npt_h_total", 4))
+
+
+@query("cq06_view_alerts", """
+    SELECT o_orderkey AS alert_id, o_custkey::VARCHAR AS wellbore_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'generated' WHEN '2-HIGH' THEN 'escalated' WHEN '3-MEDIUM' THEN 'viewed' END AS state, c_name AS well_name
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+def view_alerts(t: Tables) -> DataFrame:
+    """Customers are wells, orders their alerts; the two lower priorities are resolved and rated ones."""
+    state = risk.lookup(F.col("o_orderpriority"), {"1-URGENT": "generated", "2-HIGH": "escalated", "3-MEDIUM": "viewed", "4-NOT SPECIFIED": "resolved"}, "feedback")
+    alerts = t.orders.select(F.col("o_orderkey").alias("alert_id"), F.col("o_custkey").cast("string").alias("wellbore_id"), state.alias("state"))
+    c = t.customer.select(F.col("c_custkey").cast("string").alias("well_id"), F.col("c_name").alias("name"))
+    return views.open_alerts(alerts, c.select(F.col("well_id").alias("wellbore_id"), "well_id"), c)
+
+
+@query("cq06_view_queue", """
+    SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS field_id, 'pending' AS review_status, o_orderpriority AS doc_title, o_orderstatus AS doc_type, CASE WHEN n.image THEN l_orderkey || '/' || l_linenumber END AS image_path
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT DISTINCT l_orderkey AS k, l_linenumber AS p, true AS image FROM lineitem WHERE l_linestatus = 'F') n ON n.k = l_orderkey AND n.p = l_linenumber WHERE l_returnflag = 'N'""")
+def view_queue(t: Tables) -> DataFrame:
+    """Lines are fields of their orders, pending if nothing came back; pages of finished lines have images."""
+    key = [F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber")]
+    fields = t.lineitem.select(key[0], key[1].alias("page"), F.col("l_partkey").alias("field_id"), F.when(F.col("l_returnflag") == "N", "pending").otherwise("approved").alias("review_status"))
+    pages = t.lineitem.where("l_linestatus = 'F'").select(key[0], key[1].alias("page_no")).distinct().withColumn("image_path", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("page_no").cast("string")))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("doc_type"))
+    return views.review_queue(fields, docs, pages)
+
+
+@query("cq06_view_trajectories", """
+    WITH p AS (SELECT s_suppkey AS k, s_name, m, round((90 + (s_suppkey * 101 % 991) / 100.0)::DOUBLE + m * (s_suppkey % 5) / 2000000, 6)::DOUBLE AS lon, (20 + (s_suppkey * 37 % 997) / 100.0)::DOUBLE AS lat FROM supplier, (VALUES (0), (1000), (2500)) v(m) WHERE s_suppkey % 3 <> 0)
+    SELECT k::VARCHAR AS wellbore_id, any_value(s_name) AS well_name, '{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY m) || ']}' AS geojson FROM p GROUP BY k""")
+def view_trajectories(t: Tables) -> DataFrame:
+    f = field(t)
+    at = f["stations"].join(f["wellbores"], "wellbore_id").join(f["wells"], "well_id")
+    stations = at.select("wellbore_id", "md_m", F.round(F.col("lon").cast("double") + F.col("east_m") / 100_000, 6).alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return views.trajectory_geojson(stations, f["wellbores"], f["wells"])
 
 
 @query("fn07_extended_tvd", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions import text as tx
-from wellframe.functions import units
+from wellframe.functions import fuzzy, units
 from wellframe.operators import textindex
 from wellframe.plans.registry import Tables, query
 
@@ -285,3 +285,13 @@ def text_containment(t: Tables) -> DataFrame:
         hits = parts.join(short, "part").select("word", "item_id", "s")
         pairs = pairs.unionByName(each.join(hits, "word").select("doc_id", "item_id", "s"))
     return pairs.distinct().join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("s"))).select("doc_id", "item_id").distinct()
+
+
+@query("jn25_fuzzy_snippets")
+def fuzzy_snippets(t: Tables) -> DataFrame:
+    """Snippets of 80 characters, read badly, looked for on their own page and on the next one: partial ratios of 80 and more."""
+    d = t.documents.where("text is not null").select("doc_id", "text")
+    s = d.select("doc_id", F.translate(F.substring("text", (F.col("doc_id") % 200 + 1).cast("int"), F.lit(80)), "el", "c1").alias("snippet"))
+    asked = s.select("doc_id", "snippet", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("page"))
+    both = asked.join(d.select(F.col("doc_id").alias("page"), "text"), "page")
+    return both.select("doc_id", "page", _r(fuzzy.snippet_ratio(F.col("snippet"), F.col("text"), 80.0), 4).alias("ratio")).where("ratio > 0")
