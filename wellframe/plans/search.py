@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wellframe.functions import text as tx
 from wellframe.functions import fuzzy, units
-from wellframe.operators import textindex
+from wellframe.operators import indexing, textindex
 from wellframe.plans.registry import Tables, query
+from wellframe.streaming import changes
 
 def _r(col, digits: int = 6):
     return F.round(col, digits)
@@ -295,3 +296,42 @@ def fuzzy_snippets(t: Tables) -> DataFrame:
     asked = s.select("doc_id", "snippet", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("page"))
     both = asked.join(d.select(F.col("doc_id").alias("page"), "text"), "page")
     return both.select("doc_id", "page", _r(fuzzy.snippet_ratio(F.col("snippet"), F.col("text"), 80.0), 4).alias("ratio")).where("ratio > 0")
+
+
+_ALIASES = {"MIT License": "mit", "the thing": "thing", "things": "thing", "Und": "und", "license": "license", "onha": "onha"}
+
+
+def _pages(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages, three to a document; of every page one snippet and one top are known."""
+    n = F.col("doc_id")
+    d = t.documents.where("text is not null").select(n.alias("n"), F.floor(n / 3).alias("doc_id"), (n % 3).alias("page"), "text")
+    snippet = F.translate(F.substring("text", 31, 60), "q", "g")
+    events = d.select("doc_id", "page", F.lit(0).alias("ord"), snippet.alias("snippet"), F.concat(F.lit("F"), (F.col("n") % 4).cast("string")).alias("formation"), (F.col("n") * 1.0).alias("md_from_m"), (F.col("n") + 10.0).alias("md_to_m"))
+    tops = d.select("doc_id", "page", F.lit(1).alias("ord"), F.lit(None).cast("string").alias("snippet"), F.lit("thing").alias("formation"), (F.col("n") - 5.0).alias("md_from_m"), F.lit(None).cast("double").alias("md_to_m"))
+    return d.drop("n"), events.unionByName(tops)
+
+
+@query("cq16_chunk_index")
+def chunk_index(t: Tables) -> DataFrame:
+    """FN-31, CQ-16: every page's chunks with formation and depths; the tests compare with plain code, and refreshing with building."""
+    pages, entities = _pages(t)
+    return indexing.build(pages, entities, indexing.Aliases.of(_ALIASES))
+
+
+@query("src16_changes", """
+    WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 1)
+    SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(n.o_orderstatus, o.o_orderstatus) AS status
+    FROM o FULL JOIN n USING (o_orderkey) WHERE (o.o_orderstatus IS DISTINCT FROM n.o_orderstatus OR o.o_totalprice IS DISTINCT FROM n.o_totalprice) AND coalesce(n.o_totalprice, o.o_totalprice) >= 1000""")
+def snapshot_changes(t: Tables) -> DataFrame:
+    """SRC-16: inserted, updated and deleted orders between two states of the table, as a subscriber with a filter sees them."""
+    k, row = F.col("o_orderkey"), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = row.where(k % 10 != 1).withColumn("o_orderstatus", F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    feed = changes.subscribed(changes.changes(row.where(k % 10 != 0), new, ["o_orderkey"]), "o_totalprice=gte.1000")
+    return feed.select("o_orderkey", "op", F.coalesce("new.o_orderstatus", "old.o_orderstatus").alias("status"))
+
+
+@query("st22_latest_view", "SELECT user_id, event_id % 8 AS slot, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2 HAVING arg_max(event_type, event_id) <> 'error'")
+def latest_view(t: Tables) -> DataFrame:
+    """ST-22: the view of each key's last change; errors are deletions."""
+    feed = t.events.select("user_id", (F.col("event_id") % 8).alias("slot"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"), F.struct("value").alias("new"))
+    return changes.latest(feed, ["user_id", "slot"]).select("user_id", "slot", "seq", "new.value")
