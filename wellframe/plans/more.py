@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellframe.functions import fuzzy, geo, risk
-from wellframe.operators import evaluation, joins, matching, windows
+from wellframe.functions import citations, fuzzy, geo, risk
+from wellframe.operators import evaluation, features, joins, matching, pages, windows
 from wellframe.plans.registry import Tables, query
 
 
@@ -378,3 +378,55 @@ def labels(t: Tables) -> DataFrame:
     g = e.where("event_type = 'view'").select("user_id", "s", (F.col("s") + 175000).alias("mid"))
     h = e.where("event_type <> 'view'").select("user_id", "event_type", F.col("s").alias("es"))
     return joins.band(g, h, ["user_id"], "mid", "es", 125000).select("user_id", "s", "event_type").distinct()
+
+
+@query("fn35_checked_answers", """
+    SELECT p_partkey, 'It was ' || p_size || ' m [1].' || CASE WHEN p_partkey % 2 = 0 THEN ' Then ' || p_size || ' m [2].' ELSE '' END || ' End.' AS answer, p_partkey % 2 = 1 AS removed, (p_partkey % 2)::INT AS n_unsupported, 1::INT AS n_uncited FROM part""")
+def checked_answers(t: Tables) -> DataFrame:
+    """FN-23, FN-35: citations of no source go, then sentences whose numbers are not in what they cite."""
+    size = F.col("p_size").cast("string")
+    second = F.when(F.col("p_partkey") % 2 == 0, size).otherwise((F.col("p_size") + 1).cast("string"))
+    raw = F.concat(F.lit("It was "), size, F.lit(" metres [1, 9]. Then "), second, F.lit(" m [2]. End [9]."))
+    answers = t.part.select("p_partkey", F.replace(citations.cleaned(raw, F.array(F.lit(1), F.lit(2))), F.lit("metres"), F.lit("m")).alias("answer"))
+    sources = t.part.select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), F.concat(F.lit("At "), size, F.lit(" m it stopped.")).alias("text"))
+    out = citations.checked(answers, sources, "p_partkey", "answer", "n", "text")
+    return out.select("p_partkey", "answer", "removed", F.size("unsupported").alias("n_unsupported"), F.size("uncited").alias("n_uncited"))
+
+
+_MD = "(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600.0"
+
+
+@query("cq12_features", f"""
+    WITH e AS (SELECT user_id, event_id, event_type, value, {_MD} AS md FROM events), g AS (SELECT DISTINCT user_id, 50.0 * k AS md0 FROM e, range(0, 15) r(k)),
+    w AS (SELECT g.user_id, md0, count(value) AS n, avg(value) AS m, regr_slope(value, md) * 30 AS s FROM g JOIN e ON e.user_id = g.user_id AND md <= md0 AND md > md0 - 30 AND event_type IN ('view', 'click') GROUP BY ALL),
+    k AS (SELECT g.user_id, md0, arg_max(value, md) FILTER (event_type = 'error') AS mw, arg_max(md, md) FILTER (event_type = 'signup') AS smd, arg_max(md, md) FILTER (event_type = 'purchase') AS top, arg_max(event_id % 4, md) FILTER (event_type = 'purchase') AS fm FROM g JOIN e ON e.user_id = g.user_id AND md <= md0 GROUP BY ALL)
+    SELECT g.user_id, g.md0::DOUBLE AS md_from_m, round(mw, 6)::DOUBLE AS mw_sg, round(smd * 0.9 + (g.md0 - smd) * cos(radians(10)), 4)::DOUBLE AS tvd_m, 'F' || fm AS formation, round(top, 4)::DOUBLE AS top_md_m,
+           CASE WHEN n >= 3 THEN round(m, 5) END::DOUBLE AS rop_mean, CASE WHEN n >= 3 THEN round(s, 4) END::DOUBLE AS rop_slope FROM g LEFT JOIN w USING (user_id, md0) LEFT JOIN k USING (user_id, md0)""")
+def base_features(t: Tables) -> DataFrame:
+    """Every user as a well, its events by hour as depths: what is known at each grid point, from one sorted pass."""
+    md = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / 3600
+    e = t.events.select(F.col("user_id").alias("wellbore_id"), "event_id", "event_type", "value", md.alias("md_m"))
+    grid = e.select("wellbore_id").distinct().select("wellbore_id", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("k")).select("wellbore_id", (50.0 * F.col("k")).alias("md_from_m"))
+    series = e.select("wellbore_id", "md_m", F.when(F.col("event_type").isin("view", "click"), F.col("value")).alias("rop"), F.when(F.col("event_type") == "error", F.col("value")).alias("mw_sg"))
+    stations = e.where("event_type = 'signup'").select("wellbore_id", "md_m", (F.col("md_m") * 0.9).alias("tvd_m"), F.lit(10.0).alias("inc_deg"))
+    tops = e.where("event_type = 'purchase'").select("wellbore_id", F.concat(F.lit("F"), (F.col("event_id") % 4).cast("string")).alias("formation"), F.col("md_m").alias("top_md_m"))
+    sections = e.select("wellbore_id", F.col("md_m").alias("md_from_m"), F.col("md_m").alias("md_to_m"), F.lit(0.0).alias("hole_size_in")).where("false")
+    out = features.base(grid, series, stations, tops, sections, ["rop"], ["mw_sg"])
+    return out.select(F.col("wellbore_id").alias("user_id"), "md_from_m", _r(F.col("mw_sg"), 6).alias("mw_sg"), _r(F.col("tvd_m")).alias("tvd_m"), "formation", _r(F.col("top_md_m")).alias("top_md_m"), _r(F.col("rop_mean_30m"), 5).alias("rop_mean"), _r(F.col("rop_slope_30m")).alias("rop_slope"))
+
+
+@query("fn38_reading_order", """
+    WITH b AS (SELECT l_orderkey AS page, l_shipmode AS text, l_linenumber / 2 AS y, l_partkey AS x FROM (SELECT *, substr(md5(l_partkey || '-' || l_suppkey), 1, 4) AS l_shipmode FROM lineitem))
+    SELECT page, (dense_rank() OVER (PARTITION BY page ORDER BY floor(y)) - 1)::BIGINT AS line, string_agg(text, ' ' ORDER BY x, text) AS text FROM b GROUP BY page, floor(y)""")
+def reading_order(t: Tables) -> DataFrame:
+    """Lines of an order as boxes of a page: two line numbers each make a line of text."""
+    text = F.substring(F.md5(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).cast("binary")), 1, 4)
+    boxes = t.lineitem.select(F.col("l_orderkey").alias("page"), text.alias("text"), F.col("l_partkey").alias("x"), (F.floor(F.col("l_linenumber") / 2) + (F.col("l_linenumber") % 2) * 0.1).alias("y"), F.lit(1.0).alias("w"), F.lit(0.9).alias("h"))
+    return pages.reading_order(boxes, "page")
+
+
+@query("fn37_page_windows")
+def page_windows(t: Tables) -> DataFrame:
+    """Documents as pages, a hundred to a report, in windows of 12,000 characters; the running rule has no SQL."""
+    d = t.documents.select(F.floor(F.col("doc_id") / 100).alias("doc"), (F.col("doc_id") % 100).alias("page"), "text")
+    return pages.page_windows(d, "doc", "page", "text")
