@@ -11,7 +11,8 @@ UNITS = {
     "m": "m", "ft": "ft", "psi": "psi", "ppg": "ppg", "metres": "m", "metre": "m", "meters": "m", "meter": "m", "hours": "h", "hour": "h",
     "hrs": "h", "hr": "h", "h": "h", "min": "min", "days": "days", "day": "days", "%": "%", "°c": "degc", "degc": "degc",
 }
-_TOKEN = r"\d(?:[\d.,]*\d)?|[\p{L}°%][\p{L}\p{N}°%³/.]*|[^\s]"
+#: What follows a point or comma directly is no number of its own.
+_TOKEN = r"[.,]\d[\d.,]*|\d(?:[\d.,]*\d)?|[\p{L}°%][\p{L}\p{N}°%³/.]*|[^\s]"
 
 
 def quantities(text: Column) -> Column:
@@ -23,11 +24,9 @@ def quantities(text: Column) -> Column:
     def read(token: Column, i: Column) -> Column:
         plain = F.when(token.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(token, F.lit(","), F.lit(""))).when(token.rlike(r"^\d+([.,]\d+)?$"), F.replace(token, F.lit(","), F.lit(".")))
         after = F.try_element_at(t, i + 2)
-        before = F.when(i > 0, F.try_element_at(t, F.greatest(i, F.lit(1))))
         # The longest unit that the next token begins with and that ends there or before another sign.
         fits = F.filter(longest, lambda u: F.startswith(after, u) & ~F.substring(after, F.length(u) + 1, F.lit(1)).rlike("[a-z0-9]"))
-        value = F.when(~F.coalesce(before.isin(".", ","), F.lit(False)), plain.try_cast("double"))
-        return F.struct(F.round(value, 4).alias("value"), F.try_element_at(spelling, F.try_element_at(fits, F.lit(1))).alias("unit"))
+        return F.struct(F.round(plain.try_cast("double"), 4).alias("value"), F.try_element_at(spelling, F.try_element_at(fits, F.lit(1))).alias("unit"))
 
     return F.array_distinct(F.filter(F.transform(t, read), lambda q: q.value.isNotNull() & q.unit.isNotNull()))
 
