@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellframe.functions import citations, fuzzy, geo, risk
-from wellframe.operators import evaluation, features, joins, matching, pages, windows
+from wellframe.functions import activity, citations, fuzzy, geo, risk, shapes
+from wellframe.operators import evaluation, extraction, features, joins, matching, pages, windows
 from wellframe.plans.registry import Tables, query
 
 
@@ -430,3 +430,45 @@ def page_windows(t: Tables) -> DataFrame:
     """Documents as pages, a hundred to a report, in windows of 12,000 characters; the running rule has no SQL."""
     d = t.documents.select(F.floor(F.col("doc_id") / 100).alias("doc"), (F.col("doc_id") % 100).alias("page"), "text")
     return pages.page_windows(d, "doc", "page", "text")
+
+
+#: What a log line says, and its code.
+_LINES = [("Fishing for junk", 19), ("shut-in, kick", 27), ("back reaming", 3), ("WOC", 13), ("drilled ahead, losses", 24), ("losses while circulating", 5), ("RIH", 6), ("idle", None)]
+
+
+@query("fn34_activity_codes", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % {len(_LINES)} {" ".join(f"WHEN {i} THEN {c}" for i, (_, c) in enumerate(_LINES) if c)} END::INT AS code FROM lineitem""")
+def activity_codes(t: Tables) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in _LINES]), (F.col("l_partkey") % len(_LINES) + 1).cast("int"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", activity.code(text).alias("code"))
+
+
+@query("fn49_shapes", """
+    SELECT event_id, array_to_string(list_filter([CASE WHEN (props->>'k')::INT % 3 = 0 THEN 'k: missing (int)' WHEN (props->>'k')::INT % 3 = 1 THEN 'k: expected int, got ' || (props->>'k') || '.5' END,
+        CASE WHEN event_type NOT IN ('view', 'click') THEN 'kind: ' || event_type || ' is not one of view|click' END], lambda x: x IS NOT NULL), '; ') AS problems FROM events""")
+def shape_problems(t: Tables) -> DataFrame:
+    """Rows as JSON with a number that is missing or no whole one, and a choice that is none."""
+    k = F.get_json_object("props", "$.k")
+    row = F.concat(F.lit('{"kind": "'), F.col("event_type"), F.lit('"'), F.when(k.cast("int") % 3 == 0, "").when(k.cast("int") % 3 == 1, F.concat(F.lit(', "k": '), k, F.lit(".5"))).otherwise(F.concat(F.lit(', "k": '), k)), F.lit("}"))
+    p = shapes.problems(F.try_parse_json(row), {"k": "int", "kind": ["view", "click"]})
+    return t.events.select("event_id", F.array_join(p, "; ").alias("problems"))
+
+
+@query("cq18_validated_items", """
+    WITH x AS (SELECT p_partkey, p_size * 10 AS md, p_partkey % 4 AS k FROM part)
+    SELECT p_partkey, 'events' AS kind, k <> 0 AS accepted, CASE WHEN k <> 0 THEN md END::DOUBLE AS md_from_m, CASE WHEN k = 0 THEN '' ELSE concat_ws(',', CASE WHEN md > 300 THEN 'depth out of range' END, CASE WHEN k = 1 THEN 'snippet not on page' END) END AS failed,
+           CASE WHEN k = 0 THEN 'rejected' WHEN md > 300 OR k = 1 THEN 'pending' ELSE 'auto_approved' END AS status FROM x
+    UNION ALL SELECT p_partkey, 'time_log', false, NULL, '', 'rejected' FROM x""")
+def validated_items(t: Tables) -> DataFrame:
+    """CQ-18: items of JSON payloads, accepted with failed rules or refused, from one scan."""
+    k, md = F.col("p_partkey") % 4, (F.col("p_size") * 10).cast("string")
+    kind = F.when(k == 0, "nonsense").otherwise(next(iter(risk.RISK_OF_EVENT)))
+    says = F.when(k == 1, "never written anywhere on it").otherwise(F.concat(F.lit("losses seen at "), md, F.lit(" m")))
+    event = F.struct(kind.alias("event_type"), md.cast("double").alias("md_from_m"), F.lit(1).alias("page"), says.alias("snippet"), F.lit(0.9).alias("confidence"))
+    line = F.struct(F.lit("Drilled").alias("description"), F.lit("high").alias("confidence"))
+    docs = t.part.select("p_partkey", F.to_json(F.struct(F.array(event).alias("events"), F.array(line).alias("time_log"))).alias("payload"))
+    pages = t.part.select("p_partkey", F.lit(1).alias("page"), F.concat(F.lit("Mud losses  seen at "), md, F.lit(" m, cured.")).alias("text"), F.lit(1.0).alias("ocr_confidence"))
+    depths = t.part.select("p_partkey", F.lit(300.0).alias("td_md_m"))
+    known = t.nation.select(F.col("n_name").alias("alias"), F.col("n_name").alias("formation"))
+    out = extraction.validated(docs, "p_partkey", "payload", pages, depths, known)
+    return out.select("p_partkey", "kind", "accepted", F.try_element_at("values", F.lit("md_from_m")).alias("md_from_m"), F.array_join("failed", ",").alias("failed"), "status")
