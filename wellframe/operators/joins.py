@@ -53,27 +53,41 @@ def asof_steps(left: DataFrame, steps: DataFrame, on: str, value: list[str]) ->
     return at.join(s, inside, "left").select(*left.columns, F.col("_from").alias(f"asof_{on}"), *[f"asof_{v}" for v in value])
 
 
+def around(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: list[str], tie: str | None = None) -> DataFrame:
+    """``left`` with ``_lo`` and ``_hi``: structs of ``on`` and the values of the last right row at or before it and the first at or after.
+
+    Both come from one shuffle: the two orders share its partitions.  Ties are as in ``asof``; a null ``on`` meets nothing.
+    """
+    payload = F.struct(F.col(on).alias(on), *[F.col(v).alias(v) for v in value if v != on])
+    r = right.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_on"), F.lit(0).alias("_s"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("_t"), payload.alias("_r"))
+    row = left.select(*keys, F.col(on).alias("_on"), F.lit(1).alias("_s"), F.lit(0.0).alias("_t"), F.struct(*left.columns).alias("_l"))
+    both = r.withColumn("_l", F.lit(None).cast(row.schema["_l"].dataType)).unionByName(row.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)))
+    w = Window.partitionBy(*keys)
+    up, down = w.orderBy("_on", "_s", "_t"), w.orderBy(F.desc("_on"), "_s", F.desc("_t"))  # right rows of the same place come first in both
+    near = lambda order: F.when(F.col("_on").isNotNull(), F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.withColumns({"_lo": near(up), "_hi": near(down)}).where("_l is not null").select("_l.*", "_lo", "_hi")
+
+
 def bracket(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str]) -> DataFrame:
     """Linear interpolation of ``values`` at each left row, clamped to the first and last right row; ``interp_<name>``."""
-    lo = asof(left, right, keys, on, values)
-    lo = lo.withColumnsRenamed({f"asof_{c}": f"lo_{c}" for c in [on, *values]})
-    both = asof(lo, right, keys, on, values, "forward")
-    x, x0, x1 = F.col(on), F.col(f"lo_{on}"), F.col(f"asof_{on}")
-    out = both
-    for v in values:
-        y0, y1 = F.col(f"lo_{v}"), F.col(f"asof_{v}")
-        out = out.withColumn(f"interp_{v}", F.when(x0.isNull(), y1).when(x1.isNull(), y0).otherwise(geo.interpolate(x, x0, y0, x1, y1)))
-    return out.select(*left.columns, *[f"interp_{v}" for v in values])
+    both = around(left, right, keys, on, values)
+    x, x0, x1 = F.col(on), F.col("_lo")[on], F.col("_hi")[on]
+
+    def at(v: str) -> Column:
+        y0, y1 = F.col("_lo")[v], F.col("_hi")[v]
+        return F.when(x0.isNull(), y1).when(x1.isNull(), y0).otherwise(geo.interpolate(x, x0, y0, x1, y1))
+
+    return both.select(*left.columns, *[at(v).alias(f"interp_{v}") for v in values])
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: list[str], tie: str) -> DataFrame:
     """Each left row with the right row whose ``on`` is nearest; equal distances go to the smaller ``tie``."""
-    both = asof(left, right, keys, on, [*value, tie] if tie not in value else value)
-    down = both.withColumnsRenamed({f"asof_{c}": f"d_{c}" for c in {on, *value, tie}})
-    both = asof(down, right, keys, on, [*value, tie] if tie not in value else value, "forward")
-    up_d, down_d = F.abs(F.col(f"asof_{on}") - F.col(on)), F.abs(F.col(f"d_{on}") - F.col(on))
-    use_down = F.col(f"asof_{on}").isNull() | (down_d < up_d) | ((down_d == up_d) & (F.col(f"d_{tie}") <= F.col(f"asof_{tie}")))
-    return both.select(*left.columns, *[F.when(use_down, F.col(f"d_{c}")).otherwise(F.col(f"asof_{c}")).alias(f"near_{c}") for c in dict.fromkeys([on, *value, tie])])
+    names = list(dict.fromkeys([on, *value, tie]))
+    both = around(left, right, keys, on, names)
+    lo, hi = F.col("_lo"), F.col("_hi")
+    down, up = F.abs(lo[on] - F.col(on)), F.abs(hi[on] - F.col(on))
+    use_lo = hi.isNull() | (down < up) | ((down == up) & (lo[tie] <= hi[tie]))
+    return both.select(*left.columns, *[F.when(use_lo, lo[c]).otherwise(hi[c]).alias(f"near_{c}") for c in names])
 
 
 def radius(left: DataFrame, right: DataFrame, radius_m: float, exact=geo.haversine_m, max_lat: float = 80.0) -> DataFrame:

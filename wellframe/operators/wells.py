@@ -71,15 +71,21 @@ def formations(probes: DataFrame, tops: DataFrame) -> DataFrame:
     return at.select(*probes.columns, F.col("asof_formation").alias("formation"), F.col("asof_top").alias("top_md_m"), F.col("asof_next_top_md_m").alias("next_top_md_m"), rel.alias("relative_depth"))
 
 
-def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame, probes: DataFrame, events: DataFrame, radius_m: float, mode: str = "surface") -> DataFrame:
-    """wellbore_id, other_id, surface_m, depth_m, n_events: neighbours of each probed wellbore, nearest first by mode.
+def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame, probes: DataFrame, events: DataFrame, radius_m: float, mode: str = "surface", depth: bool = True, ordered: bool = True) -> DataFrame:
+    """wellbore_id, other_id, surface_m, depth_m, n_events: neighbours of each probed wellbore; if ``ordered``, nearest first by mode.
 
     Depth mode measures in space at the probe's vertical depth, falls back to the surface distance, and still looks no
-    further than 5 km beyond the radius on the surface.
+    further than 5 km beyond the radius on the surface.  Without ``depth``, in surface mode, depth_m is null and no survey is read.
     """
     pts = wellbore_points(wells, wellbores)
     ids = pts.select(F.col("wellbore_id").alias("id"), "lat", "lon")
     near = joins.radius(ids, ids, radius_m + (5000.0 if mode == "depth" else 0.0), geo.geodesic_m).withColumnsRenamed({"id": "wellbore_id", "distance_m": "surface_m"})
+    n = events.where("review_status <> 'rejected'").groupBy(F.col("wellbore_id").alias("other_id")).agg(F.count(F.lit(1)).alias("n_events"))
+    events_of = F.coalesce("n_events", F.lit(0)).alias("n_events")
+    if mode != "depth" and not depth:
+        asked = near.where(F.col("surface_m") <= radius_m).join(probes.select("wellbore_id"), "wellbore_id")
+        out = asked.join(n, "other_id", "left").select("wellbore_id", "other_id", "surface_m", F.lit(None).cast("double").alias("depth_m"), events_of)
+        return out.orderBy("wellbore_id", "surface_m", "other_id") if ordered else out
     here = positions(probes, stations, pts).withColumnsRenamed({"lat": "lat0", "lon": "lon0", "tvd_m": "tvd0"})
     pairs = near.join(here, "wellbore_id")
     # The neighbour's station nearest to the probe's vertical depth gives the measured depth to compare at.
@@ -88,23 +94,23 @@ def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame,
     there = positions(at.select("wellbore_id", F.coalesce("near_md_m", "tvd_m").alias("md_m")).distinct(), stations, pts)
     at = at.select("for_id", "wellbore_id", F.coalesce("near_md_m", "tvd_m").alias("md_m")).join(there, ["wellbore_id", "md_m"])
     at = at.select(F.col("for_id").alias("wellbore_id"), F.col("wellbore_id").alias("other_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("tvd_m").alias("tvd1"))
-    n = events.where("review_status <> 'rejected'").groupBy(F.col("wellbore_id").alias("other_id")).agg(F.count(F.lit(1)).alias("n_events"))
     out = pairs.join(at, ["wellbore_id", "other_id"], "left").join(n, "other_id", "left")
-    depth = geo.distance_3d(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")), F.col("tvd0") - F.col("tvd1"))
-    out = out.withColumn("depth_m", depth)
+    in_space = geo.distance_3d(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")), F.col("tvd0") - F.col("tvd1"))
+    out = out.withColumn("depth_m", in_space)
     used = F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m")
-    return out.where(used <= radius_m).select("wellbore_id", "other_id", "surface_m", "depth_m", F.coalesce("n_events", F.lit(0)).alias("n_events")).orderBy("wellbore_id", F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m"), "other_id")
+    out = out.where(used <= radius_m).select("wellbore_id", "other_id", "surface_m", "depth_m", events_of)
+    return out.orderBy("wellbore_id", F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m"), "other_id") if ordered else out
 
 
-def events_for_offsets(offsets: DataFrame, events: DataFrame, formations_: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Events of the neighbours, nearest well first, then by depth, ``limit`` of each probed well; rejected ones never."""
+def events_for_offsets(offsets: DataFrame, events: DataFrame, formations_: list[str] | None = None, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """Events of the neighbours, ``limit`` of each probed well, nearest well first, then by depth; rejected ones never.  In that order only if ``ordered``."""
     e = events.where("review_status <> 'rejected'")
     e = e.where(F.col("formation").isin(formations_)) if formations_ else e
     order = ["surface_m", "other_id", "md_from_m", "event_id"]
     out = offsets.join(e.withColumnRenamed("wellbore_id", "other_id"), "other_id")
     if limit:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy("wellbore_id").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
-    return out.orderBy("wellbore_id", *order)
+    return out.orderBy("wellbore_id", *order) if ordered else out
 
 
 def predict_tops(offsets: DataFrame, tops: DataFrame, order: DataFrame, nearest: int = 12, gap: float = 5.0) -> DataFrame:
@@ -115,7 +121,7 @@ def predict_tops(offsets: DataFrame, tops: DataFrame, order: DataFrame, nearest:
     w = Window.partitionBy("wellbore_id").orderBy("surface_m", "other_id")
     near = offsets.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= nearest)
     actual = tops.where("source = 'actual' and top_md_m is not null").select(F.col("wellbore_id").alias("other_id"), "formation", "top_md_m")
-    p = aggregates.weighted_prediction(near.join(actual, "other_id"), ["wellbore_id", "formation"], "top_md_m", "surface_m").join(F.broadcast(order), "formation")
+    p = aggregates.weighted_prediction(near.join(actual, "other_id"), ["wellbore_id", "formation"], "top_md_m", "surface_m").join(order, "formation")
     from wellframe.operators.windows import repaired
 
     out = repaired(p, ["wellbore_id"], ["strat_order", "formation"], "predicted", gap)

@@ -162,7 +162,7 @@ _EVENTS = """ev AS (SELECT concat_ws('-', l_orderkey, l_linenumber) AS event_id,
 
 
 def _offsets(f: dict[str, DataFrame], radius_m: float) -> DataFrame:
-    return wells.offsets_within(f["wells"], f["wellbores"], f["stations"], _probes(f), f["events"], radius_m)
+    return wells.offsets_within(f["wells"], f["wellbores"], f["stations"], _probes(f), f["events"], radius_m, depth=False, ordered=False)
 
 
 @query("cq03_offsets", f"""
@@ -173,6 +173,14 @@ def offsets(t: Tables) -> DataFrame:
     return _offsets(field(t), 120_000.0).select("wellbore_id", "other_id", F.round("surface_m", 2).alias("surface_m"), "n_events")
 
 
+@query("cq03_offsets_depth")
+def offsets_in_depth(t: Tables) -> DataFrame:
+    """The same in space, 1,200 m down each well; the rule is tested on fixtures, as the neighbours' own depths have no short SQL."""
+    f = field(t)
+    out = wells.offsets_within(f["wells"], f["wellbores"], f["stations"], _probes(f), f["events"], 120_000.0, mode="depth", ordered=False)
+    return out.select("wellbore_id", "other_id", F.round("surface_m", 2).alias("surface_m"), F.round("depth_m", 2).alias("depth_m"), "n_events")
+
+
 @query("cq04_offset_events", f"""
     WITH {_pairs_sql(120_000.0)}, {_EVENTS}
     SELECT k::VARCHAR AS wellbore_id, near.o::VARCHAR AS other_id, event_id, md AS md_from_m FROM near JOIN ev ON ev.o = near.o
@@ -180,7 +188,7 @@ def offsets(t: Tables) -> DataFrame:
 def offset_events(t: Tables) -> DataFrame:
     """The first 20 events of each well's neighbours, nearest well first, then by depth."""
     f = field(t)
-    return wells.events_for_offsets(_offsets(f, 120_000.0), f["events"], limit=20).select("wellbore_id", "other_id", "event_id", "md_from_m")
+    return wells.events_for_offsets(_offsets(f, 120_000.0), f["events"], limit=20, ordered=False).select("wellbore_id", "other_id", "event_id", "md_from_m")
 
 
 @query("cq07_predicted_tops", f"""
