@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.functions.let import let
+
 # Units that are looked for in answers, and the spelling that they are compared in.
 UNITS = {
     "m3/h": "m3/h", "l/min": "l/min", "kn.m": "kn.m", "m3": "m3", "m³": "m3", "kn": "kn", "bar": "bar", "sg": "sg", "mm": "mm", "cm": "cm",
@@ -17,7 +19,11 @@ _TOKEN = r"[.,]\d[\d.,]*|\d(?:[\d.,]*\d)?|[\p{L}°%][\p{L}\p{N}°%³/.]*|[^\s]"
 
 def quantities(text: Column) -> Column:
     """array<struct<value, unit>> of the distinct numbers with a unit of UNITS; a comma sets off thousands or decimals."""
-    t = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+    return let(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), _read)
+
+
+def _read(t: Column) -> Column:
+    """The distinct quantities among tokens."""
     longest = F.array(*[F.lit(u) for u in sorted(UNITS, key=lambda u: (-len(u), u))])
     spelling = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
 
@@ -26,7 +32,8 @@ def quantities(text: Column) -> Column:
         after = F.try_element_at(t, i + 2)
         # The longest unit that the next token begins with and that ends there or before another sign.
         fits = F.filter(longest, lambda u: F.startswith(after, u) & ~F.substring(after, F.length(u) + 1, F.lit(1)).rlike("[a-z0-9]"))
-        return F.struct(F.round(plain.try_cast("double"), 4).alias("value"), F.try_element_at(spelling, F.try_element_at(fits, F.lit(1))).alias("unit"))
+        found = F.struct(F.round(plain.try_cast("double"), 4).alias("value"), F.try_element_at(spelling, F.try_element_at(fits, F.lit(1))).alias("unit"))
+        return F.when(F.substring(token, 1, 1).between("0", "9"), found)
 
     return F.array_distinct(F.filter(F.transform(t, read), lambda q: q.value.isNotNull() & q.unit.isNotNull()))
 
