@@ -92,3 +92,22 @@ def review(t: Tables) -> DataFrame:
     from wellframe.functions import risk
 
     return commands.review_cascade(t.orders.select(F.col("o_custkey").alias("parent_id"), risk.lookup(F.col("o_orderstatus"), {"F": "rejected", "P": "pending"}, "approved").alias("status")))
+
+
+@query("cm07_moved_tops", """
+    WITH m AS (SELECT o_orderkey AS doc, o_custkey % 10 AS dest FROM orders WHERE o_orderstatus = 'F'),
+    t AS (SELECT l_orderkey AS doc, l_linenumber AS line, l_partkey AS part, coalesce(dest, l_suppkey % 10) AS w, l_partkey % 50 AS f, l_returnflag AS s, coalesce(dest <> l_suppkey % 10, false) AS comes FROM lineitem LEFT JOIN m ON doc = l_orderkey),
+    k AS (SELECT w, f, s, count(*) FILTER (NOT comes) AS stay, count(*) FILTER (comes) AS come FROM t GROUP BY ALL)
+    SELECT w AS wellbore_id, f AS formation, s AS source, (stay + CASE WHEN stay = 0 AND come > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM k WHERE stay + come > 0""")
+def moved_tops(t: Tables) -> DataFrame:
+    """CM-07: lines as tops of their orders, finished orders given a well by edit; how many tops each place has then."""
+    from wellframe.operators import assignment
+
+    none = F.lit(None).cast("string")
+    k = F.col("o_orderkey")
+    choices = t.orders.where("o_orderstatus = 'F'").select(k.alias("seq"), k.alias("field_id"), k.alias("doc_id"), F.lit("edit").alias("action"), none.alias("old_value"), F.concat(F.lit('{"value": "'), (F.col("o_custkey") % 10).cast("string"), F.lit('"}')).alias("new_value"))
+    wells = t.spark.range(10).select(F.col("id").cast("string").alias("well_id"))
+    bores = wells.select("well_id", F.col("well_id").cast("long").alias("wellbore_id"), F.lit("A").alias("name"), F.lit(True).alias("is_primary"))
+    to = assignment.moves(assignment.decided(choices, wells, bores))
+    tops = t.lineitem.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 10).alias("wellbore_id"), (F.col("l_partkey") % 50).alias("formation"), F.col("l_returnflag").alias("source"))
+    return assignment.moved_tops(tops, to).groupBy("wellbore_id", "formation", "source").agg(F.count("*").alias("n"))
