@@ -232,3 +232,24 @@ def lookahead_rates(t: Tables) -> DataFrame:
     events = wells.formations(seen, f["tops"]).select("wellbore_id", "event_id", "risk_type", "formation", "relative_depth", F.col("md_m").alias("md_from_m"), "review_status", "confidence")
     out = wells.l1_scores(intervals, near, events)
     return out.select("interval_id", "risk_type", F.round("l1", 6).alias("l1"), "n_offsets", F.round("mean_conf", 6).alias("mean_conf"), "n_unreviewed")
+
+
+@query("cq09_stored_scores", f"""
+    WITH c AS (SELECT s_suppkey AS k, 1000.0 + 25 * r.i AS md, CASE WHEN r.i = 0 THEN 0.8 END AS l3, ((s_suppkey * 7 + r.i) % 10) / 10.0 AS l1, s_suppkey % 4 AS n FROM supplier, range(0, 12) r(i) WHERE (s_suppkey + r.i) % 5 <> 0),
+    n AS (SELECT k, md, 'kick' AS r, round(greatest(100 * (l1 * {risk.LAYER_WEIGHTS[0]} + coalesce(l3 * {risk.LAYER_WEIGHTS[2]}, 0)) / ({risk.LAYER_WEIGHTS[0]} + CASE WHEN l3 IS NULL THEN 0 ELSE {risk.LAYER_WEIGHTS[2]} END), CASE WHEN l3 IS NOT NULL THEN 50 ELSE 0 END), 6) AS fused, true AS fresh FROM c),
+    o AS (SELECT s_suppkey AS k, 900.0 + 12.5 * r.i AS md, 'kick' AS r, 1.0 AS fused, false AS fresh FROM supplier, range(0, 20) r(i))
+    SELECT k::VARCHAR AS wellbore_id, md::DOUBLE AS md_from_m, fused::DOUBLE AS fused, fresh FROM n UNION ALL SELECT k::VARCHAR, md::DOUBLE, fused::DOUBLE, fresh FROM o WHERE md < 1000""")
+def stored_scores(t: Tables) -> DataFrame:
+    """CQ-09: scores of the cells ahead, with a detector at the bit, stored over those of an older grid."""
+    from wellframe.operators import scores
+
+    k = F.col("s_suppkey")
+    bits = t.supplier.select(k.cast("string").alias("wellbore_id"), F.lit(1012.0).alias("bit_md_m"))
+    cell = t.supplier.select(k, F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).where("(s_suppkey + i) % 5 <> 0")
+    rates = cell.select(k.cast("string").alias("wellbore_id"), (1000.0 + 25 * F.col("i")).alias("md_from_m"), F.lit("kick").alias("risk_type"), ((k * 7 + F.col("i")) % 10 / 10.0).alias("l1"), (k % 4).alias("n_offsets"), F.lit(0.5).alias("mean_conf"))
+    models = rates.select("wellbore_id", "md_from_m", "risk_type", F.lit(None).cast("double").alias("l2")).where("false")
+    detectors = bits.select("wellbore_id", F.lit("kick").alias("risk_type"), F.lit(0.8).alias("l3"), F.lit(50.0).alias("floor"))
+    new = scores.computed(bits, rates, models, detectors, F.timestamp_seconds(F.lit(2)))
+    old = t.supplier.select(k.cast("string").alias("wellbore_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("wellbore_id", (900.0 + 12.5 * F.col("i")).alias("md_from_m"), F.lit(None).cast("double").alias("md_to_m"), F.lit("kick").alias("risk_type"), *[F.lit(None).cast("double").alias(c) for c in ("l1", "l2", "l3")], F.lit(1.0).alias("fused"), F.lit("low").alias("band"), F.lit("low").alias("confidence"), F.timestamp_seconds(F.lit(1)).alias("computed_at"))
+    out = scores.stored(old, new, bits.select("wellbore_id", F.lit(1000.0).alias("start_m")))
+    return out.select("wellbore_id", "md_from_m", F.round("fused", 6).alias("fused"), (F.col("computed_at") > F.timestamp_seconds(F.lit(1))).alias("fresh"))
