@@ -12,6 +12,12 @@ def mode_first(df: DataFrame, keys: list[str], value: str, out: str) -> DataFram
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(out))
 
 
+def most_common(df: DataFrame, keys: list[str], value: str, seen: str, out: str) -> DataFrame:
+    """The most frequent non-null value of each key; of equally frequent ones that which ``seen`` (an order) has first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(seen).alias("first"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("first"), F.col(value))).alias(out))
+
+
 def weighted_prediction(df: DataFrame, keys: list[str], value: str, distance: str, least: int = 2, near: float = 100.0) -> DataFrame:
     """Inverse-distance mean, weighted spread, leave-one-out error and uncertainty of each key with ``least`` rows."""
     w = 1 / F.pow(F.greatest(F.col(distance), F.lit(near)), 2)

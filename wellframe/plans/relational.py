@@ -609,3 +609,9 @@ def rollup(t: Tables) -> DataFrame:
 def setops(t: Tables) -> DataFrame:
     a, b = t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
     return a.intersect(b).exceptAll(t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("k")))
+
+
+@query("ag29_most_common", "SELECT user_id, arg_min(event_type, {'n': -n, 'f': f}) AS kind FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY 1")
+def most_common(t: Tables) -> DataFrame:
+    """Each user's most frequent kind of event; ties go to the kind that was seen first."""
+    return aggregates.most_common(t.events, ["user_id"], "event_type", "event_id", "kind")
