@@ -80,3 +80,21 @@ def test_written_index_and_filters(spark, tmp_path):
     assert keys(md_from=1951.0) == [2] and keys(md_to=1899.0) == [2] and keys(md_from=1950.0, md_to=1900.0) == [1, 2]
     assert keys(event_type="kick") == [2] and keys(event_type="loss") == []
     assert ti.search(index.limit(0), {"a": "x"}).collect() == []
+
+
+def test_stems_begin_their_words():
+    """What ``matching`` relies on, over words with all endings; words that are stemmed as a whole are not looked for so."""
+    from wellframe.functions import stem as st
+
+    roots = ["rat", "hop", "happ", "commun", "relat", "stab", "flu", "sens", "log", "apolog", "vietnam", "rad", "operat", "cal", "ski", "fl", "gener", "roll", "y", "ply", "hum", "tr"]
+    ends = ["", "e", "y", "ies", "ied", "ed", "ing", "ingly", "eed", "eedly", "s", "sses", "er", *st.STEP_2, *st.STEP_3, *st.STEP_4, "ly", "ogy", "ability", "ization", "fulness", "ously", "iveness", "ency", "ancy", "ement", "ying", "ye", "ll", "lle"]
+    for w in {a + b + c for a in roots for b in ends for c in ("", "s", "ly", "ed", "ing", "al")}:
+        t = stem(w)
+        if t not in st.WHOLE.values() and w not in st.STOP_WORDS:
+            assert w.startswith(t[:-1] if len(t) > 2 else t), (w, t)
+
+
+def test_texts_without_an_index(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: sorted((r["query"], r.key, r["rank"]) for r in df.collect())
+    assert rows(ti.search_texts(docs, "doc_id", "text", search.WEB_QUERIES)) == rows(ti.search(ti.build(docs, "doc_id", "text"), search.WEB_QUERIES)) != []

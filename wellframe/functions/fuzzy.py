@@ -42,10 +42,12 @@ class Snippet:
             yield self.size - row.bit_count()
 
     def length(self, text: str) -> int:
-        n = 0
-        for n in self.common(text):  # noqa: B007
-            pass
-        return n
+        row, get, full = self.full, self.where.get, self.full
+        for c in text:
+            u = row & get(c, 0)
+            if u:
+                row = ((row + u) | (row - u)) & full
+        return self.size - row.bit_count()
 
 
 def partial_ratio(short: str, long: str, least: float = 0.0) -> float:

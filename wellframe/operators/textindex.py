@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.functions.stem import STOP_WORDS, stem
+from wellframe.functions.stem import STOP_WORDS, WHOLE, stem
 
 WORD = re.compile(r"[^\W_]+")
 WEIGHT = 0.1
@@ -128,6 +128,23 @@ def search(index: DataFrame, queries: dict[str, str]) -> DataFrame:
     return texts.mapInArrow(run, f"query string, key {kind}, rank double").where("rank > 0")
 
 
+def matching(docs: DataFrame, text: str, queries: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` that may match one of the queries, by what all words of a stem begin with: no word leaves the JVM."""
+    low, some = F.lower(F.col(text)), F.lit(False)
+    for q in queries.values():
+        for alternative in parse(q):
+            every = F.lit(True)
+            for t in {t for p in alternative if p.wanted for t, _ in p.terms if t not in WHOLE.values()}:
+                every = every & F.contains(low, F.lit(t[:-1] if len(t) > 2 else t))
+            some = some | every
+    return docs.where(some)
+
+
+def search_texts(docs: DataFrame, key: str, text: str, queries: dict[str, str]) -> DataFrame:
+    """``search`` of texts that have no index: only those that may match are cut into words."""
+    return search(build(matching(docs, text, queries), key, text), queries)
+
+
 def write(index: DataFrame, path: str) -> None:
     """The index as Parquet in ranges of terms, so that a query's terms are read from few row groups."""
     index.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("errorifexists").parquet(path)

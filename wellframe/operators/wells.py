@@ -107,6 +107,9 @@ def events_for_offsets(offsets: DataFrame, events: DataFrame, formations_: list[
     e = events.where("review_status <> 'rejected'")
     e = e.where(F.col("formation").isin(formations_)) if formations_ else e
     order = ["surface_m", "other_id", "md_from_m", "event_id"]
+    if limit:  # no more of a neighbour's events can be among the first of any well
+        own = Window.partitionBy("wellbore_id").orderBy("md_from_m", "event_id")
+        e = e.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= limit).drop("_n")
     out = offsets.join(e.withColumnRenamed("wellbore_id", "other_id"), "other_id")
     if limit:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy("wellbore_id").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")

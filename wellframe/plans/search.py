@@ -166,7 +166,7 @@ _COVERS = """
 @query("fn28_keyword_rank", f"WITH {_COVERS} SELECT doc_id, round(s, 6) AS s FROM r ORDER BY round(s, 6) DESC, doc_id LIMIT 50")
 def keyword_rank(t: Tables) -> DataFrame:
     """The 50 best matches of two words, by stems and cover density."""
-    x = textindex.search(textindex.build(t.documents, "doc_id", "text"), {"q": "licensed MIT"})
+    x = textindex.search_texts(t.documents, "doc_id", "text", {"q": "licensed MIT"})
     return x.select(F.col("key").alias("doc_id"), _r(F.col("rank")).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
 
 
@@ -193,7 +193,7 @@ def websearch(t: Tables) -> DataFrame:
     ORDER BY round(s, 8) DESC, f.doc_id LIMIT 20""")
 def hybrid_search(t: Tables) -> DataFrame:
     """Keyword and vector rankings, each cut at 50, fused; filters on language, interval and events come after the cuts."""
-    kw = textindex.search(textindex.build(t.documents, "doc_id", "text"), {"q": "licensed MIT"}).select("key", _r(F.col("rank")).alias("rank"))
+    kw = textindex.search_texts(t.documents, "doc_id", "text", {"q": "licensed MIT"}).select("key", _r(F.col("rank")).alias("rank"))
     d = tx.cosine_distance(F.col("embedding"), F.col("q"))
     vec = t.embeddings.crossJoin(F.broadcast(_vector0(t))).select(F.col("vec_id").alias("key"), _r(d).alias("distance"))
     both = textindex.fused(kw, vec).select("key", _r(F.col("score"), 8).alias("score"))
