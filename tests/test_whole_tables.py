@@ -16,7 +16,7 @@ def test_first_kept_of_all_rows(spark, sf):
         if all(abs(x - r.l_quantity) > 5 for x in k):
             k.append(r.l_quantity)
             want.add((r.l_orderkey, r.l_linenumber))
-    assert {tuple(r) for r in registry.QUERIES["di04_first_kept_all"](spark, sf).collect()} == want
+    assert {tuple(r) for r in registry.QUERIES["di04_first_kept"](spark, sf).collect()} == want
 
 
 def test_greedy_match_of_all_rows(spark, tmp_path):
@@ -30,15 +30,15 @@ def test_containment_and_insert_reach_late_keys(spark, tmp_path):
     spark.createDataFrame([(1, 9000, 1, 5.0)], "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(500,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(500,), (900,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    assert {r.section for r in registry.QUERIES["jn14_containment_all"](spark, str(tmp_path)).collect()} == {9000}
-    assert sorted(r.k for r in registry.QUERIES["snk05_insert_absent_all"](spark, str(tmp_path)).collect()) == [500, 900]
+    assert {r.section for r in registry.QUERIES["jn14_containment"](spark, str(tmp_path)).collect()} == {9000}
+    assert sorted(r.k for r in registry.QUERIES["snk05_insert_absent"](spark, str(tmp_path)).collect()) == [500, 900]
 
 
 def test_reports_and_overlaps_leave_no_key_out(spark, sf):
     from wellframe.plans import reports
 
     assert reports.field(registry.Tables(spark, sf))["events"].count() == len(lines(spark, sf))
-    for name in ("jn16_overlap_all", "jn17_best_overlap_all"):
+    for name in ("jn16_overlap", "jn17_best_overlap"):
         assert {r.k % 10 for r in registry.QUERIES[name](spark, sf).collect()} == set(range(10))
 
 

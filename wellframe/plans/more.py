@@ -108,13 +108,13 @@ def alert_hits(t: Tables) -> DataFrame:
 def greedy_match(t: Tables) -> DataFrame:
     """One-to-one matching of returned and accepted lines of a supplier by quantity, the smallest gap first.
 
-    Lines repeat, so a line is its order, number and part, and a number among equal ones.
+    Numbers of lines repeat, so a line is its order and number, and its place by quantity among equal ones.
     """
-    line = ["l_orderkey", "l_linenumber", "l_partkey"]
+    line = ["l_orderkey", "l_linenumber"]
     x = t.lineitem.where("l_returnflag in ('R', 'A')").select(F.col("l_suppkey").alias("k"), "l_returnflag", *line, F.col("l_quantity").alias("x"))
     x = x.withColumn("copy", F.row_number().over(Window.partitionBy("k", "l_returnflag", *line).orderBy("x")))
     side = lambda flag: x.where(F.col("l_returnflag") == flag).select("k", F.struct(*line, "copy").alias("id"), "x")
-    return matching.nearest(side("R"), side("A"), ["k"], "x", "id", 5.0).select("k", "a", "b", "gap")
+    return matching.nearest(side("R"), side("A"), ["k"], "x", "id", 5.0).select("k", F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b"))
 
 
 def _found_and_true(t: Tables) -> tuple[DataFrame, DataFrame]:
