@@ -45,6 +45,12 @@ def test_no_nested_loops(spark, sf, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["jn16_overlap"])
+def test_dealt_intervals_are_not_broadcast(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = registry.QUERIES["pf02_optional_filters"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(o_orderpriority,2-HIGH)" in plan and "o_orderdate" not in plan

@@ -132,7 +132,8 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], l_on: str, r_on: st
 def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, closed: bool = False) -> DataFrame:
     """Pairs of equal keys whose intervals [l_from, l_to) and [r_from, r_to) overlap, or those with their upper ends if ``closed``.
 
-    Intervals are dealt into the buckets that they touch; a pair counts in the bucket where the later one begins.
+    Intervals are dealt into the buckets that they touch; a pair counts in the bucket where the later one begins.  Both sides are
+    shuffled: Spark takes a dealt side for no larger than it was, and would send it whole through the driver.
     """
 
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -140,7 +141,7 @@ def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, c
         last = F.floor(F.col(hi) / bucket) if closed else F.greatest(first, F.ceil(F.col(hi) / bucket) - 1)
         return df.where(some).withColumn("_b", F.explode(F.sequence(first, last)))
 
-    both = dealt(left, "l_from", "l_to").join(dealt(right, "r_from", "r_to"), [*keys, "_b"])
+    both = dealt(left, "l_from", "l_to").join(dealt(right, "r_from", "r_to").hint("merge"), [*keys, "_b"])
     meet = (F.col("l_from") <= F.col("r_to")) & (F.col("r_from") <= F.col("l_to")) if closed else (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to"))
     return both.where(meet & (F.col("_b") == F.floor(F.greatest("l_from", "r_from") / bucket))).drop("_b")
 
