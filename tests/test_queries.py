@@ -45,7 +45,7 @@ def test_no_nested_loops(spark, sf, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["jn16_overlap"])
+@pytest.mark.parametrize("name", ["jn16_overlap", "jn17_best_overlap"])
 def test_dealt_intervals_are_not_broadcast(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
