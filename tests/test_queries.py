@@ -51,6 +51,13 @@ def test_dealt_intervals_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["jn06_radius"])
+def test_pairs_of_wells_do_not_move(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Broadcast" not in above
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = registry.QUERIES["pf02_optional_filters"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(o_orderpriority,2-HIGH)" in plan and "o_orderdate" not in plan

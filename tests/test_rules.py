@@ -90,3 +90,17 @@ def test_radius_up_to_the_poles(spark):
         a = df.select("id", "lat", "lon").crossJoin(df.select(F.col("id").alias("o"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))).where("id <> o")
         want = {(x.id, x.o) for x in a.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= r).collect()}
         assert got == want and len(want) > 10
+
+
+def test_nearest_within_a_radius_is_cut_by_weight(spark):
+    rng = random.Random(4)
+    pts = [(str(i), 20 + rng.random() * 3, 90 + rng.random() * 3, i % 4) for i in range(150)] + [(f"c{i}", 40 + rng.random() / 1000, 179.9995 + rng.random() / 1000, 1) for i in range(60)] + [("far", 60.0, 0.0, 1), ("few", 40.3, 179.9, 1)]
+    df = spark.createDataFrame([(a, b, c if c <= 180 else c - 360, w) for a, b, c, w in pts], "id string, lat double, lon double, weight int")
+    near = sorted(tuple(r) for r in joins.radius(df, df, 60_000.0, with_right=("weight",)).select("id", "distance_m", "other_id", "weight").collect())
+    want, held = set(), {}
+    for i, _, o, w in near:
+        if w > 0 and held.get(i, 0) < 5:
+            want.add((i, o))
+            held[i] = held.get(i, 0) + w
+    got = [(r.id, r.other_id) for r in joins.nearest_within(df.select("id", "lat", "lon"), df, 60_000.0, 5).collect()]
+    assert set(got) == want and len(got) == len(want) > 300

@@ -60,18 +60,24 @@ def _direct(lat: np.ndarray, lon: np.ndarray, azimuth_deg: np.ndarray, distance_
 
 
 def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, steps: int = 8) -> np.ndarray:
-    u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    """Vincenty's inverse problem by ``steps`` steps, or fewer if a step changes nothing that a double holds."""
+    (s1, c1), (s2, c2) = ((t * c, c) for t in ((1 - FLATTENING) * np.tan(np.radians(x)) for x in (lat1, lat2)) for c in (1 / np.sqrt(1 + t * t),))
     l = np.radians(lon2 - lon1)
-    lam = l
+    ss_, cc, sc, cs_ = s1 * s2, c1 * c2, s1 * c2, c1 * s2
+    lam, last = l, steps == 0
     for left in reversed(range(steps + 1)):
-        ss = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
-        cs = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-        sa = np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(ss == 0, 1.0, ss)  # one point: 0 / 1
+        sin, cos = np.sin(lam), np.cos(lam)
+        x, y = c2 * sin, cs_ - sc * cos
+        ss, cs = np.sqrt(x * x + y * y), ss_ + cc * cos
+        sa = cc * sin / np.where(ss == 0, 1.0, ss)  # one point: 0 / 1
         q = 1 - sa * sa
-        m = np.where(q == 0, 0.0, cs - 2 * np.sin(u1) * np.sin(u2) / np.where(q == 0, 1.0, q))
-        ba, bb, g = _series(q)
-        if left:
-            lam = l + (1 - g) * FLATTENING * sa * (np.arctan2(ss, cs) + g * ss * (m + g * cs * (2 * m * m - 1)))
+        m = np.where(q == 0, 0.0, cs - 2 * ss_ / np.where(q == 0, 1.0, q))
+        if last or not left:
+            break
+        g = FLATTENING / 16 * q * (4 + FLATTENING * (4 - 3 * q))
+        old, lam = lam, l + (1 - g) * FLATTENING * sa * (np.arctan2(ss, cs) + g * ss * (m + g * cs * (2 * m * m - 1)))
+        last = not np.nanmax(np.abs(lam - old), initial=0.0) > 1e-14
+    ba, bb, _ = _series(q)
     return ba * (np.arctan2(ss, cs) - _turn(bb, ss, cs, m))
 
 

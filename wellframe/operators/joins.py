@@ -7,11 +7,13 @@ equi-joins on cells that are as wide as the range.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo
+from wellframe.operators.stages import written
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
@@ -90,36 +92,91 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, value:
     return both.select(*left.columns, *[F.when(use_lo, lo[c]).otherwise(hi[c]).alias(f"near_{c}") for c in names])
 
 
-def radius(left: DataFrame, right: DataFrame, radius_m: float, exact=geo.haversine_m, max_lat: float = 80.0) -> DataFrame:
-    """Pairs of (id, lat, lon) rows with different ids within ``radius_m``: id, other_id, distance_m.
+#: Cells for each radius.  A pair is looked for in a square some 1.7 times the circle, and a row is copied to 49 cells.
+FINE = 3
 
-    Cells are at least a radius wide wherever a row is cut into cells, so a pair is in the same or neighbouring cells; only
-    the right side is copied to its nine.  Longitudes wrap at 180 degrees.  Rows that reach beyond ``max_lat`` are one cell each.
+
+def _cells(radius_m: float, max_lat: float):
+    """Two functions for points (lat, lon): one adds the cell (cy, cx) of each, one copies each to all cells within ``radius_m``.
+
+    Each band of latitude has columns of its own width, so that cells are no wider than they must be.  Longitudes wrap at 180 degrees.
+    Bands that reach beyond ``max_lat``, or with no room for the columns, are one cell each.
     """
-    per_lat, _ = geo.metres_per_degree(0.0)
-    dlat = radius_m / per_lat * 1.01
-    rows = max(1, math.floor(180 / dlat))
-    high = 180 / rows
-    max_lat = min(max_lat, 89.0 - 2 * high)
-    # Wide enough for the rows next to the polar ones too; with no room for three columns, all rows are one cell each.
-    cols = math.floor(360 / (dlat / math.cos(math.radians(max_lat + 2 * high)))) if max_lat > 0 else 0
-
-    def cell(c: Column, low: float, width: float) -> Column:
-        return F.floor((c - low) / width).cast("int")
-
-    def whole(cy: Column) -> Column:
-        return F.lit(True) if cols < 3 else ((cy + 1) * high - 90 > max_lat) | (cy * high - 90 < -max_lat)
-
-    def column(cy: Column, lon: Column, dx: Column) -> Column:
-        return F.when(whole(cy), 0).otherwise(F.pmod(cell(lon, -180.0, 360 / max(cols, 3)) + dx, F.lit(max(cols, 3))))
-
-    row = cell(F.col("lat"), -90.0, high)
-    l = left.select("id", "lat", "lon", row.alias("cy")).withColumn("cx", column(F.col("cy"), F.col("lon"), F.lit(0)))
-    r = right.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[row + i for i in (-1, 0, 1)])).alias("cy"))
-    r = r.withColumn("dx", F.explode(F.when(whole(F.col("cy")), F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in (-1, 0, 1)]))))
-    r = r.select("other_id", "lat2", "lon2", "cy", column(F.col("cy"), F.col("lon2"), F.col("dx")).alias("cx"))
+    dlat = radius_m / geo.metres_per_degree(0.0)[0] * 1.01
+    high = 180 / max(1, math.floor(180 / (dlat / FINE)))
+    max_lat = min(max_lat, 89.0 - 2 * dlat)
+    band_of = F.floor((F.col("lat") + 90.0) / high).cast("int")
+    far = F.greatest(F.abs(F.col("cy") * high - 90), F.abs((F.col("cy") + 1) * high - 90))
+    cols = F.floor(360 * FINE / dlat * F.cos(F.radians(far + 2 * dlat))).cast("int")
+    cols = F.when((far <= max_lat) & (cols > 2 * FINE), cols).otherwise(1)
+    column = F.floor((F.col("lon") + 180.0) / (360.0 / F.col("_n"))).cast("int")
+    steps = F.array(*[F.lit(i) for i in range(-FINE, FINE + 1)])
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.withColumn("cy", band_of).withColumn("_n", cols).withColumn("cx", F.pmod(column, F.col("_n"))).drop("_n")
+
+    def copied(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_i", F.explode(steps)).withColumn("cy", band_of + F.col("_i")).withColumn("_n", cols)
+        out = out.withColumn("_i", F.explode(F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(steps)))
+        return out.withColumn("cx", F.pmod(column + F.col("_i"), F.col("_n"))).drop("_n", "_i")
+
+    return own, copied
+
+
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by keys in as many partitions as the session has: what follows makes far more rows than are moved, so Spark must not merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def radius(left: DataFrame, right: DataFrame, radius_m: float, exact=geo.haversine_m, max_lat: float = 80.0, with_left: tuple[str, ...] = (), with_right: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
+    """Pairs of (id, lat, lon) rows with different ids within ``radius_m``: id, other_id, distance_m and the further columns named.
+
+    Cells are a third of the radius, only the right side is copied to all near ones.  Pairs whose chord is too long by more than
+    a hundredth are left out before ``exact`` is asked.  ``also`` is a test of the pair's columns (of the right: lat2, lon2).
+    """
+    own, copied = _cells(radius_m, max_lat)
+    l = own(left.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), *with_left))
+    l = l.withColumns(dict(zip(("_x", "_y", "_z"), _unit(F.col("lat"), F.col("lon")))))
+    r = copied(right.select(F.col("id").alias("other_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), *with_right)).withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
+    r = r.withColumns(dict(zip(("_x2", "_y2", "_z2"), _unit(F.col("lat2"), F.col("lon2")))))
+    gap = lambda c: (F.col(f"_{c}") - F.col(f"_{c}2")) * (F.col(f"_{c}") - F.col(f"_{c}2"))
+    chord = 2 * math.sin(min(math.pi, radius_m * 1.01 / geo.EARTH_RADIUS_M) / 2)
+    near = (F.col("id") != F.col("other_id")) & (gap("x") + gap("y") + gap("z") <= chord * chord + 1e-15)
+    pairs = _dealt(l, ["cy", "cx"]).join(_dealt(r, ["cy", "cx"]).hint("merge"), ["cy", "cx"]).where(near if also is None else near & also)
     d = exact(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return l.join(r, ["cy", "cx"]).where("id <> other_id").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).select("id", "other_id", "distance_m")
+    return pairs.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).select("id", "other_id", "distance_m", *with_left, *with_right)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, need: float, exact=geo.haversine_m) -> DataFrame:
+    """Of the pairs of ``radius`` the nearest of each left row (distinct ids), ties to the smaller other_id, until their weights reach ``need``.
+
+    right: id, lat, lon, weight (above 0).  It begins with the radius at which the densest cell's rows have enough, and doubles it for the
+    rows that do not: what lies within a radius is known whole, so the nearest of those that have enough are final.
+    """
+    left, right = written(left), written(right.where("weight > 0"))
+    cells = _cells(radius_m, 80.0)[0](right).groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    most, rows, weight = cells.agg(F.max("n"), F.sum("n"), F.sum("w")).first()
+    enough = max(1.0, need * rows / weight) if rows else 1.0
+    r = min(radius_m, radius_m / FINE * math.sqrt(2 * enough / (math.pi * most))) if rows else radius_m
+    w, found = Window.partitionBy("id").orderBy("distance_m", "other_id"), []
+    while True:
+        near = radius(left, right, r, exact, with_right=("weight",))
+        near = near.withColumn("_before", F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < need)
+        near = written(near.select("id", "other_id", "distance_m", "weight"))
+        if r >= radius_m:
+            found.append(near)
+            break
+        done = near.groupBy("id").agg(F.sum("weight").alias("w")).where(F.col("w") >= need).select("id")
+        found.append(near.join(done, "id", "left_semi"))
+        left = written(left.join(done, "id", "left_anti"))
+        if left.isEmpty():
+            break
+        r = min(radius_m, 2 * r)
+    return reduce(DataFrame.unionByName, found).select("id", "other_id", "distance_m")
 
 
 def band(left: DataFrame, right: DataFrame, keys: list[str], l_on: str, r_on: str, width: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -14,3 +15,12 @@ def cut(df: DataFrame) -> DataFrame:
         path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="wellframe-shared-"))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table to the same folder and read again: ``checkpoint()`` computes its rows twice."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{path.rstrip('/') if path else 'file://' + tempfile.mkdtemp(prefix='wellframe-shared-')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
