@@ -79,29 +79,60 @@ def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame,
     """
     pts = wellbore_points(wells, wellbores)
     ids = pts.select(F.col("wellbore_id").alias("id"), "lat", "lon")
-    near = joins.radius(ids, ids, radius_m + (5000.0 if mode == "depth" else 0.0), geo.geodesic_m).withColumnsRenamed({"id": "wellbore_id", "distance_m": "surface_m"})
-    n = events.where("review_status <> 'rejected'").groupBy(F.col("wellbore_id").alias("other_id")).agg(F.count(F.lit(1)).alias("n_events"))
-    events_of = F.coalesce("n_events", F.lit(0)).alias("n_events")
+    n = events.where("review_status <> 'rejected'").groupBy(F.col("wellbore_id").alias("id")).agg(F.count(F.lit(1)).alias("n_events"))
+    # There are far more pairs than wells: all that a pair needs is with its wells before they meet, and no pair moves.
+    others = ids.join(n, "id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    names = {"id": "wellbore_id", "distance_m": "surface_m"}
     if mode != "depth" and not depth:
-        asked = near.where(F.col("surface_m") <= radius_m).join(probes.select("wellbore_id"), "wellbore_id")
-        out = asked.join(n, "other_id", "left").select("wellbore_id", "other_id", "surface_m", F.lit(None).cast("double").alias("depth_m"), events_of)
+        asked = ids.join(probes.select(F.col("wellbore_id").alias("id")), "id")
+        out = joins.radius(asked, others, radius_m, geo.geodesic_m, with_right=("n_events",)).withColumnsRenamed(names)
+        out = out.select("wellbore_id", "other_id", "surface_m", F.lit(None).cast("double").alias("depth_m"), "n_events")
         return out.orderBy("wellbore_id", "surface_m", "other_id") if ordered else out
-    here = positions(probes, stations, pts).withColumnsRenamed({"lat": "lat0", "lon": "lon0", "tvd_m": "tvd0"})
-    pairs = near.join(here, "wellbore_id")
+    here = positions(probes, stations, pts).select(F.col("wellbore_id").alias("id"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("tvd_m").alias("tvd0"))
+    reach = here.agg(F.min("tvd0").alias("_least"), F.max("tvd0").alias("_most"))
+    asked = ids.join(here, "id").crossJoin(F.broadcast(reach)).withColumn("_t", F.coalesce("tvd0", "_least"))
+    legs = survey_legs(stations, pts).crossJoin(F.broadcast(reach)).where("_from <= _most and _till > _least").drop("_least", "_most")
+    others = others.join(legs.withColumnRenamed("wellbore_id", "id"), "id", "left")
+    vertical = F.struct(F.lit(None).cast("double").alias("md"), "lat", "lon", F.lit(None).cast("double").alias("tvd"))  # no survey: straight down
+    others = others.withColumns({"_c": F.when(F.col("_from").isNull(), vertical).otherwise(F.col("_c")), "_from": F.coalesce("_from", F.lit(float("-inf"))), "_till": F.coalesce("_till", F.lit(float("inf")))})
+    asked_for = (F.col("_t").isNull() | (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_till")))
+    out = joins.radius(asked, others, radius_m + (5000.0 if mode == "depth" else 0.0), geo.geodesic_m, with_left=("lat0", "lon0", "tvd0", "_t"), with_right=("n_events", "_from", "_till", "_a", "_b", "_c"), also=asked_for).withColumnsRenamed(names)
     # The neighbour's station nearest to the probe's vertical depth gives the measured depth to compare at.
-    look = pairs.select(F.col("wellbore_id").alias("for_id"), F.col("other_id").alias("wellbore_id"), F.col("tvd0").alias("tvd_m"))
-    at = joins.nearest(look, stations.select("wellbore_id", "tvd_m", "md_m"), ["wellbore_id"], "tvd_m", ["md_m"], "md_m")
-    there = positions(at.select("wellbore_id", F.coalesce("near_md_m", "tvd_m").alias("md_m")).distinct(), stations, pts)
-    at = at.select("for_id", "wellbore_id", F.coalesce("near_md_m", "tvd_m").alias("md_m")).join(there, ["wellbore_id", "md_m"])
-    at = at.select(F.col("for_id").alias("wellbore_id"), F.col("wellbore_id").alias("other_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("tvd_m").alias("tvd1"))
-    out = pairs.join(at, ["wellbore_id", "other_id"], "left").join(n, "other_id", "left")
-    in_space = geo.distance_3d(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")), F.col("tvd0") - F.col("tvd1"))
-    out = out.withColumn("depth_m", in_space)
+    down, up = F.abs(F.col("_from") - F.col("tvd0")), F.abs(F.col("_till") - F.col("tvd0"))
+    place = F.when(F.col("_b").isNull(), F.col("_c")).when(F.col("tvd0") == F.col("_from"), F.col("_a")).when(F.col("_c").isNull() | (down < up) | ((down == up) & (F.col("_b.md") <= F.col("_c.md"))), F.col("_b")).otherwise(F.col("_c"))
+    out = out.withColumn("_p", place).select("wellbore_id", "other_id", "surface_m", "n_events", "lat0", "lon0", "tvd0", F.col("_p.lat").alias("lat1"), F.col("_p.lon").alias("lon1"), F.coalesce("_p.tvd", "tvd0").alias("tvd1"))
+    out = out.withColumn("depth_m", geo.distance_3d(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")), F.col("tvd0") - F.col("tvd1")))
     used = F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m")
-    out = out.where(used <= radius_m).select("wellbore_id", "other_id", "surface_m", "depth_m", events_of)
+    out = out.where(used <= radius_m).select("wellbore_id", "other_id", "surface_m", "depth_m", "n_events")
     return out.orderBy("wellbore_id", F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m"), "other_id") if ordered else out
 
 
+def survey_legs(stations: DataFrame, points: DataFrame) -> DataFrame:
+    """Vertical depths [_from, _till) of each surveyed wellbore, with the places (md, lat, lon, tvd) of the stations at both ends.
+
+    _a and _b are the shallowest and deepest station by measured depth at _from, _c the shallowest at _till; the legs reach to infinity.
+    """
+    s = stations.where("tvd_m is not null and md_m is not null")
+    at = positions(s.select("wellbore_id", "md_m").distinct(), stations, points).select("wellbore_id", "md_m", F.struct(F.col("md_m").alias("md"), "lat", "lon", F.col("tvd_m").alias("tvd")).alias("_p"))
+    ends = s.select("wellbore_id", "tvd_m", "md_m").join(at, ["wellbore_id", "md_m"]).groupBy("wellbore_id", F.col("tvd_m").alias("_from")).agg(F.min_by("_p", "md_m").alias("_a"), F.max_by("_p", "md_m").alias("_b"))
+    w = Window.partitionBy("wellbore_id").orderBy("_from")
+    ends = ends.withColumns({"_till": F.coalesce(F.lead("_from").over(w), F.lit(float("inf"))), "_c": F.lead("_a").over(w), "_k": F.row_number().over(w)})
+    none = F.lit(None).cast(ends.schema["_a"].dataType)
+    head = ends.where("_k = 1").select("wellbore_id", F.lit(float("-inf")).alias("_from"), none.alias("_a"), none.alias("_b"), F.col("_from").alias("_till"), F.col("_a").alias("_c"))
+    return ends.drop("_k").unionByName(head)
+
+
+def nearest_offsets(wells: DataFrame, wellbores: DataFrame, probes: DataFrame, radius_m: float, need: float, weights: DataFrame | None = None) -> DataFrame:
+    """wellbore_id, other_id, surface_m: of each probed wellbore's neighbours the nearest, as many as weigh ``need`` together.
+
+    weights: wellbore_id, weight; neighbours without one are left out.  Without weights each weighs 1.
+    """
+    ids = wellbore_points(wells, wellbores).select(F.col("wellbore_id").alias("id"), "lat", "lon")
+    asked = ids.join(probes.select(F.col("wellbore_id").alias("id")).distinct(), "id")
+    others = ids.join(weights.withColumnRenamed("wellbore_id", "id"), "id") if weights is not None else ids.withColumn("weight", F.lit(1))
+    return joins.nearest_within(asked, others, radius_m, need, geo.geodesic_m).withColumnsRenamed({"id": "wellbore_id", "distance_m": "surface_m"})
+
+
 def events_for_offsets(offsets: DataFrame, events: DataFrame, formations_: list[str] | None = None, limit: int | None = None, ordered: bool = True) -> DataFrame:
     """Events of the neighbours, ``limit`` of each probed well, nearest well first, then by depth; rejected ones never.  In that order only if ``ordered``."""
     e = events.where("review_status <> 'rejected'")
