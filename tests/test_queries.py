@@ -51,7 +51,7 @@ def test_dealt_intervals_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["jn06_radius", "cq03_offsets"])
+@pytest.mark.parametrize("name", ["jn06_radius", "cq03_offsets", "cq03_offsets_depth"])
 def test_pairs_of_wells_do_not_move(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("SortMergeJoin")]
