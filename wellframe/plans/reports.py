@@ -188,7 +188,9 @@ def offsets_in_depth(t: Tables) -> DataFrame:
 def offset_events(t: Tables) -> DataFrame:
     """The first 20 events of each well's neighbours, nearest well first, then by depth."""
     f = field(t)
-    return wells.events_for_offsets(_offsets(f, 120_000.0), f["events"], limit=20, ordered=False).select("wellbore_id", "other_id", "event_id", "md_from_m")
+    n = f["events"].where("review_status <> 'rejected'").groupBy("wellbore_id").agg(F.count(F.lit(1)).alias("weight"))
+    near = wells.nearest_offsets(f["wells"], f["wellbores"], _probes(f), 120_000.0, 20, n)
+    return wells.events_for_offsets(near, f["events"], limit=20, ordered=False).select("wellbore_id", "other_id", "event_id", "md_from_m")
 
 
 @query("cq07_predicted_tops", f"""
