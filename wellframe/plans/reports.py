@@ -204,7 +204,7 @@ def offset_events(t: Tables) -> DataFrame:
 def predicted_tops(t: Tables) -> DataFrame:
     """Tops predicted from the twelve nearest wells, in stratigraphic order, with their uncertainty."""
     f = field(t)
-    out = wells.predict_tops(_offsets(f, 120_000.0), f["tops"], f["order"])
+    out = wells.predict_tops(wells.nearest_offsets(f["wells"], f["wellbores"], _probes(f), 120_000.0, 12), f["tops"], f["order"])
     return out.select("wellbore_id", "formation", F.round("top_md_m", 2).alias("top_md_m"), F.round("uncertainty_m", 2).alias("uncertainty_m"), "n")
 
 
