@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellframe.functions import text as tx
 from wellframe.functions.stem import STOP_WORDS, WHOLE, stem
 
 WORD = re.compile(r"[^\W_]+")
@@ -39,9 +40,10 @@ def build(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(t, k, p) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x for t, p in places(x).items()]
-            terms, keys, where = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(keys, b.column(0).type), pa.array(where, pa.list_(pa.int32()))], ["term", "key", "places"])
+            for part in tx.some_texts(b.column(1)):
+                rows = [(t, i, p) for i, x in part for t, p in places(x).items()]
+                terms, at, where = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.record_batch([pa.array(terms, pa.string()), b.column(0).take(pa.array(at, pa.int64())), pa.array(where, pa.list_(pa.int32()))], ["term", "key", "places"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"term string, key {kind}, places array<int>")
@@ -122,7 +124,7 @@ def search(index: DataFrame, queries: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = [density(dict(at), parsed[q]) for q, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rank = [density(dict(at.as_py()), parsed[q.as_py()]) for q, at in zip(b.column(0), b.column(2), strict=True)]  # one text's places at a time
             yield pa.record_batch([b.column(0), b.column(1), pa.array(rank, pa.float64())], ["query", "key", "rank"])
 
     return texts.mapInArrow(run, f"query string, key {kind}, rank double").where("rank > 0")
