@@ -186,6 +186,34 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], l_on: str, r_on: st
     return l.join(r, [*keys, "_b"]).where(F.abs(F.col(l_on) - F.col(r_on)) <= width).drop("_b")
 
 
+def nearest_in_band(rows: DataFrame, keys: list[str], on: str, width: float, need: int) -> DataFrame:
+    """Of the pairs of rows (distinct id, keys, ``on``, weight) of equal keys within ``width`` the nearest of each, ties to the smaller other_id.
+
+    id, other_id, gap, weight: as many as weigh ``need`` together; those without a weight above 0 are no neighbours.  On a line
+    the weight of what lies between two rows is a difference of running sums, so both sides of each row are looked for in ranges
+    of these sums, and a row meets only what it may need, however many are within ``width``.
+    """
+    fine = F.col(on) / (width * 1e-9)  # differences of rows as near as this may be rounded to one another
+    w, same = F.coalesce("weight", F.lit(0)), Window.partitionBy(*keys, on)
+    by = Window.partitionBy(*keys)
+    up, down = by.orderBy(fine), by.orderBy(fine.desc())
+    sum_ = lambda over: F.coalesce(F.sum("weight").over(over), F.lit(0))
+    nearer = lambda order: sum_(order.rangeBetween(Window.unboundedPreceding, -1))
+    x = rows.where(F.col(on).isNotNull()).select("id", *keys, on, w.alias("weight"))
+    x = x.withColumns({"_up": nearer(up), "_down": nearer(down), "_own": sum_(same.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), "_all": sum_(same)})
+    x = x.withColumns({"_below": sum_(by.orderBy(on).rangeBetween(Window.unboundedPreceding, 0)) - F.col("_all"), "_above": sum_(by.orderBy(F.desc(on)).rangeBetween(Window.unboundedPreceding, 0))})
+    side = lambda n, lo, hi: F.struct(F.lit(n).alias("_side"), lo.alias("_lo"), hi.alias("_hi"))
+    asks = F.array(side(0, F.col("_below"), F.col("_below") + F.col("weight") + need), side(1, F.col("_above"), F.col("_above") + need))
+    asks = x.select("id", *keys, F.col(on).alias("_x"), F.inline(asks)).withColumnsRenamed({"_lo": "l_from", "_hi": "l_to"})
+    ends = ((F.col("_up"), F.col("_below")), (F.col("_down"), F.col("_above") - F.col("_all")))
+    at = F.array(*[side(i, lo + F.col("_own"), hi + F.col("_own") + 1) for i, (lo, hi) in enumerate(ends)])
+    others = x.where("weight > 0").select(F.col("id").alias("other_id"), *keys, F.col(on).alias("_y"), "weight", F.inline(at)).withColumnsRenamed({"_lo": "r_from", "_hi": "r_to"})
+    gap = F.abs(F.col("_x") - F.col("_y"))
+    met = overlap(asks, others, [*keys, "_side"], float(need)).where((F.col("id") != F.col("other_id")) & ((F.col("_side") == 0) == (F.col("_y") >= F.col("_x"))) & (gap <= width))
+    order = Window.partitionBy("id").orderBy("gap", "other_id").rowsBetween(Window.unboundedPreceding, -1)
+    return met.select("id", "other_id", gap.alias("gap"), "weight").withColumn("_before", sum_(order)).where(F.col("_before") < need).drop("_before")
+
+
 def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, closed: bool = False) -> DataFrame:
     """Pairs of equal keys whose intervals [l_from, l_to) and [r_from, r_to) overlap, or those with their upper ends if ``closed``.
 

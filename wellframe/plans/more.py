@@ -49,16 +49,11 @@ _JN11_SQL = """
 @query("jn11_events_of_offsets", _JN11_SQL)
 def events_of_offsets(t: Tables) -> DataFrame:
     """The events of each well's offsets, nearest first, 200 of each well: the reference's limit is for one well."""
-    n = F.row_number().over(Window.partitionBy("w").orderBy("d", "o", "l_orderkey", "l_linenumber"))
-    return _events_of_offsets(t).withColumn("n", n).where("n <= 200").select("w", "l_orderkey", "l_linenumber")
-
-
-def _events_of_offsets(t: Tables) -> DataFrame:
-    s = t.supplier
-    a = s.select(F.col("s_suppkey").alias("w"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("sa"))
-    b = s.select(F.col("s_suppkey").alias("o"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("sb"))
-    o = joins.band(a, b, ["k"], "sa", "sb", 500.0).where("w <> o").withColumn("d", F.abs(F.col("sa") - F.col("sb")))
-    return o.join(t.lineitem.where("l_quantity > 49").select("l_suppkey", "l_orderkey", "l_linenumber"), F.col("l_suppkey") == F.col("o"))
+    events = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("other_id"), "l_orderkey", "l_linenumber")
+    wells = t.supplier.select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_acctbal").join(events.groupBy(F.col("other_id").alias("id")).agg(F.count("*").alias("weight")), "id", "left")
+    near = joins.nearest_in_band(wells, ["s_nationkey"], "s_acctbal", 500.0, 200)
+    n = F.row_number().over(Window.partitionBy("id").orderBy("gap", "other_id", "l_orderkey", "l_linenumber"))
+    return near.join(events, "other_id").withColumn("n", n).where("n <= 200").select(F.col("id").alias("w"), "l_orderkey", "l_linenumber")
 
 
 @query("jn15_formation_asof", """
