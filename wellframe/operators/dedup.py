@@ -8,17 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.operators.stages import spread
+
 
 def first_kept(df: DataFrame, keys: list[str], on: str, order: list[str], width: float) -> DataFrame:
     """Rows of each key (null-safe) in order, without those within ``width`` of one that was kept before.
 
     Whether a row is kept depends on all before it, so a key's rows meet in one task; they are first cut into runs
-    whose neighbours in ``on`` are more than ``width`` apart, across which nothing can matter.
+    whose neighbours in ``on`` are more than ``width`` apart, across which nothing can matter.  ``df`` is counted first, for the
+    number of tasks.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(on)
-    runs = df.withColumn("_new", F.coalesce((F.col(on) - F.lag(on).over(w) > width).cast("int"), F.lit(0)))
+    runs = spread(df, keys, df.count()).withColumn("_new", F.coalesce((F.col(on) - F.lag(on).over(w) > width).cast("int"), F.lit(0)))
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:

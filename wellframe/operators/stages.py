@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -24,3 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{path.rstrip('/') if path else 'file://' + tempfile.mkdtemp(prefix='wellframe-shared-')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that one task gets to sort where partitions are dealt by their number.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` of so many rows by keys in partitions of TASK_ROWS on average, no fewer than the session has: a task sorts no more as tables grow."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS)), *keys)
