@@ -81,6 +81,11 @@ def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndar
     return ba * (np.arctan2(ss, cs) - _turn(bb, ss, cs, m))
 
 
+def spheroid_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """``geodesic_m`` for functions that have arrays already."""
+    return _inverse(lat1, lon1, lat2, lon2)
+
+
 def _numbers(*columns: pd.Series) -> list[np.ndarray]:
     """Nulls become NaN, and NaN results null again."""
     return [c.to_numpy(dtype=float, na_value=np.nan) for c in columns]

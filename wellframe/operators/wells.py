@@ -7,11 +7,15 @@ wellbore_id, risk_type, formation, md_from_m, md_to_m, review_status, confidence
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo, risk
-from wellframe.operators import aggregates, joins
+from wellframe.operators import aggregates, blocks, joins
 
 
 def wellbore_points(wells: DataFrame, wellbores: DataFrame) -> DataFrame:
@@ -93,20 +97,47 @@ def offsets_within(wells: DataFrame, wellbores: DataFrame, stations: DataFrame,
     asked = ids.join(here, "id").crossJoin(F.broadcast(reach)).withColumn("_t", F.coalesce("tvd0", "_least"))
     legs = survey_legs(stations, pts).crossJoin(F.broadcast(reach)).where("_from <= _most and _till > _least").drop("_least", "_most")
     others = others.join(legs.withColumnRenamed("wellbore_id", "id"), "id", "left")
-    vertical = F.struct(F.lit(None).cast("double").alias("md"), "lat", "lon", F.lit(None).cast("double").alias("tvd"))  # no survey: straight down
+    # No survey: straight down.
+    place = lambda p: {f"{p}_{c}": F.col(f"_{p}.{c}") for c in ("md", "lat", "lon", "tvd")}
+    vertical = F.struct(F.lit(None).cast("double").alias("md"), "lat", "lon", F.lit(None).cast("double").alias("tvd"))
     others = others.withColumns({"_c": F.when(F.col("_from").isNull(), vertical).otherwise(F.col("_c")), "_from": F.coalesce("_from", F.lit(float("-inf"))), "_till": F.coalesce("_till", F.lit(float("inf")))})
-    asked_for = (F.col("_t").isNull() | (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_till")))
-    out = joins.radius(asked, others, radius_m + (5000.0 if mode == "depth" else 0.0), geo.geodesic_m, with_left=("lat0", "lon0", "tvd0", "_t"), with_right=("n_events", "_from", "_till", "_a", "_b", "_c"), also=asked_for).withColumnsRenamed(names)
-    # The neighbour's station nearest to the probe's vertical depth gives the measured depth to compare at.
-    down, up = F.abs(F.col("_from") - F.col("tvd0")), F.abs(F.col("_till") - F.col("tvd0"))
-    place = F.when(F.col("_b").isNull(), F.col("_c")).when(F.col("tvd0") == F.col("_from"), F.col("_a")).when(F.col("_c").isNull() | (down < up) | ((down == up) & (F.col("_b.md") <= F.col("_c.md"))), F.col("_b")).otherwise(F.col("_c"))
-    out = out.withColumn("_p", place).select("wellbore_id", "other_id", "surface_m", "n_events", "lat0", "lon0", "tvd0", F.col("_p.lat").alias("lat1"), F.col("_p.lon").alias("lon1"), F.coalesce("_p.tvd", "tvd0").alias("tvd1"))
-    out = out.withColumn("depth_m", geo.distance_3d(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")), F.col("tvd0") - F.col("tvd1")))
-    used = F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m")
-    out = out.where(used <= radius_m).select("wellbore_id", "other_id", "surface_m", "depth_m", "n_events")
+    others = others.withColumns({"has_b": F.col("_b").isNotNull(), "has_c": F.col("_c").isNotNull(), **place("a"), **place("b"), **place("c")}).withColumnsRenamed({"_from": "from", "_till": "till"})
+    asked = asked.select("id", "lat", "lon", "lat0", "lon0", "tvd0", F.col("_t").alias("t"))
+    others = others.select("id", "lat", "lon", "n_events", "from", "till", "has_b", "has_c", *[f"{p}_{c}" for p in "abc" for c in ("md", "lat", "lon", "tvd")])
+    kind = ids.schema["id"].dataType.simpleString()
+    reach_m = radius_m + (5000.0 if mode == "depth" else 0.0)
+    out = blocks.near(asked, others, [], reach_m, _in_space(reach_m, radius_m, mode), f"wellbore_id {kind}, other_id {kind}, surface_m double, depth_m double, n_events bigint")
     return out.orderBy("wellbore_id", F.coalesce("depth_m", "surface_m") if mode == "depth" else F.col("surface_m"), "other_id") if ordered else out
 
 
+def _in_space(reach_m: float, radius_m: float, mode: str):
+    """A function for the pairs of a block: those whose neighbour is at the leg asked for, with both distances, within the radius by ``mode``."""
+
+    def block(held: blocks.Held, rights: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat0, lon0, tvd0, t = (blocks.numbers(held.rows, f"l_{c}") for c in ("lat0", "lon0", "tvd0", "t"))
+        for right in rights:
+            for some, j, i, surface in held.near(right, reach_m):
+                get = lambda c: blocks.numbers(some, f"r_{c}")  # noqa: B023, E731
+                lo, hi = get("from")[j], get("till")[j]
+                at = np.isnan(t[i]) | (t[i] >= lo) & (t[i] < hi)
+                j, i, surface, lo, hi = j[at], i[at], surface[at], lo[at], hi[at]
+                # The neighbour's station nearest to the probe's vertical depth gives the measured depth to compare at.
+                z, has_b, has_c = tvd0[i], get("has_b")[j] > 0, get("has_c")[j] > 0
+                down, up = np.abs(lo - z), np.abs(hi - z)
+                b = ~has_c | (down < up) | (down == up) & (get("b_md")[j] <= get("c_md")[j])
+                which = np.where(~has_b, 2, np.where(z == lo, 0, np.where(b, 1, 2)))
+                lat, lon, tvd = (np.stack([get(f"{p}_{c}") for p in "abc"])[which, j] for c in ("lat", "lon", "tvd"))
+                tvd = np.where(np.isnan(tvd), z, tvd)
+                depth = np.hypot(geo.spheroid_m(lat0[i], lon0[i], lat, lon), z - tvd)
+                used = np.where(np.isnan(depth), surface, depth) if mode == "depth" else surface
+                keep = used <= radius_m
+                j, i = pa.array(j[keep]), pa.array(i[keep])
+                columns = [held.rows.column("l_id").take(i), some.column("r_id").take(j), pa.array(surface[keep]), pa.array(depth[keep], from_pandas=True), some.column("r_n_events").take(j)]
+                yield pa.record_batch(columns, ["wellbore_id", "other_id", "surface_m", "depth_m", "n_events"])
+
+    return block
+
+
 def survey_legs(stations: DataFrame, points: DataFrame) -> DataFrame:
     """Vertical depths [_from, _till) of each surveyed wellbore, with the places (md, lat, lon, tvd) of the stations at both ends.
 
