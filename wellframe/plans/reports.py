@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo, risk
-from wellframe.operators import views, wells
+from wellframe.operators import lookahead, views, wells
 from wellframe.plans.registry import Tables, query
 
 FORMATIONS = ["Alpha", "Beta", "Gamma", "Delta"]
@@ -228,11 +228,9 @@ def lookahead_rates(t: Tables) -> DataFrame:
     tops = f["tops"].select(F.col("wellbore_id"), "formation", "top_md_m")
     at = wells.formations(_probes(f), f["tops"])
     intervals = at.select(F.col("wellbore_id").alias("interval_id"), "formation", "relative_depth", F.col("md_m").alias("md_mid_m"), "top_md_m")
-    near = _offsets(f, 120_000.0).join(at.select("wellbore_id", "formation"), "wellbore_id").select(F.col("wellbore_id").alias("interval_id"), F.col("other_id").alias("wellbore_id"), "formation", (F.col("surface_m") / 100).alias("depth_distance_m"))
-    near = near.join(tops, ["wellbore_id", "formation"]).select("interval_id", "wellbore_id", "depth_distance_m", F.lit(True).alias("drilled"), "top_md_m")
     seen = f["events"].withColumn("md_m", F.col("md_from_m").cast("double"))
     events = wells.formations(seen, f["tops"]).select("wellbore_id", "event_id", "risk_type", "formation", "relative_depth", F.col("md_m").alias("md_from_m"), "review_status", "confidence")
-    out = wells.l1_scores(intervals, near, events)
+    out = lookahead.rates_within(intervals, wells.wellbore_points(f["wells"], f["wellbores"]), tops, events, 120_000.0, scale=0.01)
     return out.select("interval_id", "risk_type", F.round("l1", 6).alias("l1"), "n_offsets", F.round("mean_conf", 6).alias("mean_conf"), "n_unreviewed")
 
 
