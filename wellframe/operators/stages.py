@@ -34,3 +34,11 @@ TASK_ROWS = 250_000
 def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``df`` of so many rows by keys in partitions of TASK_ROWS on average, no fewer than the session has: a task sorts no more as tables grow."""
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS)), *keys)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by keys in as many partitions as the session has: for steps that take far longer than the bytes of their rows say.
+
+    A small table is one file that one task reads, and Spark merges small partitions; it leaves those that are asked for by number.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
