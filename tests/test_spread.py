@@ -16,3 +16,17 @@ def test_detectors_read_wellbores_as_one_stream(spark):
         want += detectors._rows(key, detectors.Bank(), rows)
     plain = lambda rows: sorted(str(tuple(None if pd.isna(x) else x for x in r)) for r in rows)
     assert plain(out.collect()) == plain(want)
+
+
+def _tasks(df) -> list[int]:
+    """Partitions asked for by number in the plan."""
+    import re
+
+    return [int(n) for n in re.findall(r"RepartitionByExpression \[[^\n]*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())]
+
+
+def test_answers_and_items_get_all_tasks(spark, sf):
+    from wellframe.plans.registry import QUERIES
+
+    assert len(_tasks(QUERIES["fn35_checked_answers"](spark, sf))) >= 2
+    assert len(_tasks(QUERIES["cq18_validated_items"](spark, sf))) >= 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions.let import let
+from wellframe.operators.stages import dealt
 
 # Units that are looked for in answers, and the spelling that they are compared in.
 UNITS = {
@@ -72,12 +73,13 @@ def checked(answers: DataFrame, sources: DataFrame, key: str, answer: str, n: st
 
     A sentence goes if one of its quantities is in none of the sources that it cites, or, if it cites none, in none that
     the answer cites.  ``unsupported`` names these quantities, ``uncited`` the sentences that cite no source; sources: key, n, text.
-    Texts of sources are read once, where they are; only their quantities are brought to the answers.
+    Texts of sources are read once, in as many tasks as the session has, as are the answers.
     """
-    known = sources.select(F.col(key).alias("_k"), F.struct(F.col(n).cast("int").alias("n"), quantities(F.col(text)).alias("q")).alias("s"))
+    texts = dealt(sources.select(F.col(key).alias("_k"), F.col(n).cast("int").alias("n"), F.col(text).alias("text")), ["_k"])
+    known = texts.select("_k", F.struct("n", quantities(F.col("text")).alias("q")).alias("s"))
     known = known.groupBy("_k").agg(F.map_from_entries(F.collect_list("s")).alias("_known"))
     rows = answers.select(F.col(key), F.col(answer).alias("_a")).join(known, F.col(key).eqNullSafe(F.col("_k")), "left")
-    rows = rows.withColumn("_known", F.coalesce("_known", F.create_map().cast("map<int,array<struct<value:double,unit:string>>>")))
+    rows = dealt(rows, [key]).withColumn("_known", F.coalesce("_known", F.create_map().cast("map<int,array<struct<value:double,unit:string>>>")))
     real = lambda c: F.filter(cited(c), lambda i: F.map_contains_key(F.col("_known"), i))
     rows = rows.withColumn("_all", real(F.col("_a")))
 

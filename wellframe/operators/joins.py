@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo
-from wellframe.operators.stages import written
+from wellframe.operators.stages import dealt, written
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
@@ -123,11 +123,6 @@ def _cells(radius_m: float, max_lat: float):
     return own, copied
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` by keys in as many partitions as the session has: what follows makes far more rows than are moved, so Spark must not merge them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _unit(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
 
@@ -146,7 +141,7 @@ def radius(left: DataFrame, right: DataFrame, radius_m: float, exact=geo.haversi
     gap = lambda c: (F.col(f"_{c}") - F.col(f"_{c}2")) * (F.col(f"_{c}") - F.col(f"_{c}2"))
     chord = 2 * math.sin(min(math.pi, radius_m * 1.01 / geo.EARTH_RADIUS_M) / 2)
     near = (F.col("id") != F.col("other_id")) & (gap("x") + gap("y") + gap("z") <= chord * chord + 1e-15)
-    pairs = _dealt(l, ["cy", "cx"]).join(_dealt(r, ["cy", "cx"]).hint("merge"), ["cy", "cx"]).where(near if also is None else near & also)
+    pairs = dealt(l, ["cy", "cx"]).join(dealt(r, ["cy", "cx"]).hint("merge"), ["cy", "cx"]).where(near if also is None else near & also)
     d = exact(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return pairs.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).select("id", "other_id", "distance_m", *with_left, *with_right)
 
