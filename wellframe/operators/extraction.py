@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellframe.functions import activity, fuzzy, risk, shapes, units
+from wellframe.operators.stages import dealt
 
 # The fields of each kind of item.
 ITEM = {"page": "int?", "snippet": "string?", "confidence": "number"}
@@ -31,7 +32,7 @@ ON_PAGE = 80.0
 
 def items(documents: DataFrame, doc: str, payload: str) -> DataFrame:
     """doc, kind, item_no, item (variant), reasons: every item of every kind, and what can't be read at all."""
-    parsed = documents.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(payload)).alias("v"))
+    parsed = dealt(documents.select(F.col(doc).alias("doc"), F.col(payload).alias("payload")), ["doc"]).select("doc", F.try_parse_json("payload").alias("v"))
 
     def one(kind: str, n: Column, item: Column, why: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("item_no"), item.alias("item"), why.cast("array<string>").alias("why"))
@@ -67,7 +68,10 @@ def validated(documents: DataFrame, doc: str, payload: str, pages: DataFrame, de
     get = lambda f, k: F.try_variant_get("item", f"$.{f}", k)
     x = x.withColumns({"page": get("page", "int"), "snippet": get("snippet", "string"), "stated": get("confidence", "double"), "named": F.lower(F.trim(get("formation", "string")))})
     known = formations.select(F.lower(F.trim("alias")).alias("named"), F.col("formation"))
-    x = x.join(known, "named", "left").join(pages.select(F.col(doc), "page", F.col("text").alias("page_text"), "ocr_confidence"), [doc, "page"], "left").join(depths.select(F.col(doc), "td_md_m"), doc, "left")
+    # The pages come last, and what follows stays in the tasks of that join: values and snippets take far longer than their bytes say.
+    texts = dealt(pages.select(F.col(doc), "page", F.col("text").alias("page_text"), "ocr_confidence"), [doc, "page"])
+    x = x.join(known, "named", "left").join(depths.select(F.col(doc), "td_md_m"), doc, "left")
+    x = dealt(x, [doc, "page"]).join(texts, [doc, "page"], "left")
     x = x.withColumn("_quotes", F.when(F.col("accepted"), units.quantities(F.coalesce("snippet", F.lit("")))))
     stated_values = [F.struct(F.lit(f).alias("f"), get(f, "double").alias("v"), F.lit(u).alias("u"), F.lit(units.ABS_TOLERANCE.get(u, 0.01)).alias("least")) for f, u in QUOTED.items()]
     x = x.withColumn("_stated", F.when(F.col("accepted"), F.filter(F.array(*stated_values), lambda e: e.v.isNotNull())).otherwise(F.array().cast(_STATED)))
