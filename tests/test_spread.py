@@ -30,3 +30,14 @@ def test_answers_and_items_get_all_tasks(spark, sf):
 
     assert len(_tasks(QUERIES["fn35_checked_answers"](spark, sf))) >= 2
     assert len(_tasks(QUERIES["cq18_validated_items"](spark, sf))) >= 3
+
+
+def test_overlap_gets_more_tasks_as_tables_grow(spark, sf, monkeypatch):
+    from wellframe.operators import stages
+    from wellframe.plans.registry import QUERIES
+
+    before = sorted(tuple(r) for r in QUERIES["jn17_best_overlap"](spark, sf).collect())
+    monkeypatch.setattr(stages, "TASK_ROWS", 100)
+    df = QUERIES["jn17_best_overlap"](spark, sf)
+    assert len(_tasks(df)) == 3 and min(_tasks(df)) > 10
+    assert sorted(tuple(r) for r in df.collect()) == before

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import geo
-from wellframe.operators.stages import dealt, written
+from wellframe.operators.stages import dealt, spread, written
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
@@ -209,17 +209,19 @@ def nearest_in_band(rows: DataFrame, keys: list[str], on: str, width: float, nee
     return met.select("id", "other_id", gap.alias("gap"), "weight").withColumn("_before", sum_(order)).where(F.col("_before") < need).drop("_before")
 
 
-def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, closed: bool = False) -> DataFrame:
+def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, closed: bool = False, rows: int | None = None) -> DataFrame:
     """Pairs of equal keys whose intervals [l_from, l_to) and [r_from, r_to) overlap, or those with their upper ends if ``closed``.
 
     Intervals are dealt into the buckets that they touch; a pair counts in the bucket where the later one begins.  Both sides are
-    shuffled: Spark takes a dealt side for no larger than it was, and would send it whole through the driver.
+    shuffled: Spark takes a dealt side for no larger than it was, and would send it whole through the driver.  With ``rows``, of both
+    sides, the tasks follow their number.
     """
 
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
         first, some = F.floor(F.col(lo) / bucket), F.col(hi) >= F.col(lo) if closed else F.col(hi) > F.col(lo)
         last = F.floor(F.col(hi) / bucket) if closed else F.greatest(first, F.ceil(F.col(hi) / bucket) - 1)
-        return df.where(some).withColumn("_b", F.explode(F.sequence(first, last)))
+        out = df.where(some).withColumn("_b", F.explode(F.sequence(first, last)))
+        return out if rows is None else spread(out, [*keys, "_b"], rows)
 
     both = dealt(left, "l_from", "l_to").join(dealt(right, "r_from", "r_to").hint("merge"), [*keys, "_b"])
     meet = (F.col("l_from") <= F.col("r_to")) & (F.col("r_from") <= F.col("l_to")) if closed else (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wellframe.functions import activity, citations, fuzzy, geo, risk, shapes
 from wellframe.operators import evaluation, extraction, features, joins, matching, pages, windows
+from wellframe.operators.stages import spread
 from wellframe.plans.registry import Tables, query
 
 
@@ -84,7 +85,9 @@ def _best_overlap(t: Tables, customer: DataFrame) -> DataFrame:
     g = customer.select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     g = g.select("k", (8000.0 + 250 * F.col("i")).alias("l_from"), (8250.0 + 250 * F.col("i")).alias("l_to"))
     m = F.least("l_to", "r_to") - F.greatest("l_from", "r_from")
-    return joins.overlap(g, o, ["k"], 250.0).groupBy("k", F.col("l_from").alias("a")).agg(F.max_by("o_orderkey", F.struct(m.alias("m"), "o_orderkey")).alias("best"))
+    rows = o.count() + 8 * customer.count()
+    met = joins.overlap(g, o, ["k"], 250.0, rows=rows).select("k", F.col("l_from").alias("a"), "o_orderkey", m.alias("m"))
+    return spread(met, ["k", "a"], rows).groupBy("k", "a").agg(F.max_by("o_orderkey", F.struct("m", "o_orderkey")).alias("best"))
 
 
 @query("jn18_alert_hits", """
