@@ -41,3 +41,24 @@ def test_overlap_gets_more_tasks_as_tables_grow(spark, sf, monkeypatch):
     df = QUERIES["jn17_best_overlap"](spark, sf)
     assert len(_tasks(df)) == 3 and min(_tasks(df)) > 10
     assert sorted(tuple(r) for r in df.collect()) == before
+
+
+def test_texts_searched_side_by_side_and_in_all_tasks(spark, sf, monkeypatch):
+    import random
+
+    from wellframe.functions import fuzzy
+    from wellframe.plans.registry import QUERIES
+
+    r, a, b = random.Random(5), [], []
+    for _ in range(400):
+        letters = "abcde 𝄞é"[: r.choice([2, 5, 8])]
+        n, m = r.randint(0, 700), r.choice([0, 1, 40, 63, 64, 65, 80, 128, 129, 256, 257])
+        text, at = "".join(r.choices(letters, k=n)), r.randint(0, 500)
+        near = "".join(c if r.random() < 0.85 else r.choice(letters) for c in text[at : at + m])
+        a.append(r.choice([None, near, near, "".join(r.choices(letters, k=m))]))
+        b.append(text)
+    for least, many in ((0.0, 1 << 20), (80.0, 3000)):
+        monkeypatch.setattr(fuzzy, "MANY", many)
+        assert fuzzy.partial_ratios(a, b, least) == [0.0 if x is None else fuzzy.partial_ratio(x, y, least) for x, y in zip(a, b)]
+    assert len(_tasks(QUERIES["jn25_fuzzy_snippets"](spark, sf))) == 2
+    assert len(_tasks(QUERIES["cq16_chunk_index"](spark, sf))) >= 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +51,91 @@ class Snippet:
         return self.size - row.bit_count()
 
 
-def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
+#: Texts that are searched side by side: their characters together, and the 64-bit words of their snippets.
+MANY, WORDS = 1 << 20, 4
+
+
+def _windows(m: int, n: int) -> list[tuple[int, int]]:
+    """The first and last beginning of stretches of ``m`` characters that are looked at together, some m of them."""
+    return [(lo, min(lo + m, n - m)) for lo in range(0, n - m + 1, m + 1)]
+
+
+def _common(pairs: list[tuple[str, str]]) -> list[list[int]]:
+    """``Snippet.length`` in each of ``_windows`` of (snippet, text), for snippets of as many words: all windows take their next character at once."""
+    words = -(-max(len(s) for s, _ in pairs) // 64)
+    masks, starts, sizes, full, counts, base = [], [], [], [], [], 0
+    for short, long in pairs:
+        of = Snippet(short)
+        codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
+        table = np.zeros((max(map(ord, of.where)) + 2, words), np.uint64)
+        split = lambda bits: [bits >> 64 * w & 2**64 - 1 for w in range(words)]
+        for c, bits in of.where.items():
+            table[ord(c)] = split(bits)
+        masks.append(table[np.minimum(codes, len(table) - 1)])
+        spans = _windows(of.size, len(long))
+        starts += [base + lo for lo, _ in spans]
+        sizes += [hi - lo + of.size for lo, hi in spans]
+        full += [split(of.full)] * len(spans)
+        counts.append(len(spans))
+        base += len(long)
+    at, size = np.array(starts), np.array(sizes)
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    mask = [np.ascontiguousarray(w) for w in np.concatenate(masks).T]
+    whole = np.array(full, np.uint64)[order].T
+    row = [w.copy() for w in whole]
+    going = np.searchsorted(-size, -np.arange(size[0]))  # windows that go on: they are sorted by size
+    for step, k in enumerate(going.tolist()):
+        here, carry = at[:k] + step, None
+        for w in range(words):
+            r = row[w][:k]
+            u = r & mask[w][here]
+            up = r + u
+            over = up < r
+            if carry is not None:
+                up += carry
+                over |= up < carry
+            row[w][:k] = up | (r - u)
+            carry = over.astype(np.uint64)
+    left = sum(np.bitwise_count(r & f).astype(np.int64) for r, f in zip(row, whole, strict=True))
+    have = sum(np.bitwise_count(f).astype(np.int64) for f in whole)
+    out = np.empty(len(order), np.int64)
+    out[order] = have - left
+    return [x.tolist() for x in np.split(out, np.cumsum(counts)[:-1])]
+
+
+def partial_ratios(a: list[str | None], b: list[str | None], least: float = 0.0) -> list[float]:
+    """``partial_ratio`` of each pair, 0 where one is null; the first look at all stretches is that of many texts at a time."""
+    out, groups = [0.0] * len(a), {}
+
+    def flush(words: int) -> None:
+        todo, _ = groups.pop(words)
+        for (n, short, long), common in zip(todo, _common([p[1:] for p in todo]), strict=True):
+            out[n] = partial_ratio(short, long, least, common)
+
+    for n, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x is None or y is None:
+            continue
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        words = -(-len(short) // 64)
+        if not short or words > WORDS or len(long) > MANY or short in long:
+            out[n] = partial_ratio(short, long, least)
+            continue
+        todo, chars = groups.get(words, ([], 0))
+        todo.append((n, short, long))
+        groups[words] = todo, chars + len(long)
+        if chars + len(long) > MANY:
+            flush(words)
+    for words in list(groups):
+        flush(words)
+    return out
+
+
+def partial_ratio(short: str, long: str, least: float = 0.0, common: list[int] | None = None) -> float:
     """The best ``ratio`` of the shorter text with a stretch of the longer one: as long as it is, or shorter at either end.
 
     0 if it is below ``least``.  Stretches are searched by halves: what one has in common with the snippet, all that lie inside it
-    cannot exceed.
+    cannot exceed.  ``common``: what the first stretches have in common with the snippet, if it is known.
     """
     if len(short) > len(long):
         short, long = long, short
@@ -71,17 +152,18 @@ def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
             if 200.0 * c / (m + k) > best:
                 best, hit = 200.0 * c / (m + k), True
     # Stretches of m characters that begin in [lo, hi], some m at a time.
-    todo = [(lo, min(lo + m, n - m)) for lo in range(0, n - m + 1, m + 1)][::-1]
+    first = _windows(m, n)
+    todo = [(lo, hi, c) for (lo, hi), c in zip(first, common or [None] * len(first), strict=True)][::-1]
     while todo:
-        lo, hi = todo.pop()
-        c = s.length(long[lo : hi + m])
+        lo, hi, c = todo.pop()
+        c = s.length(long[lo : hi + m]) if c is None else c
         if 100.0 * c / m <= best:
             continue
         if lo == hi:
             best, hit = 100.0 * c / m, True
         else:
             mid = (lo + hi) // 2
-            todo += [(mid + 1, hi), (lo, mid)]
+            todo += [(mid + 1, hi, None), (lo, mid, None)]
     if len(short) == n:  # of equal lengths either one is the shorter
         for text, by in ((short[: n - 1], Snippet(long)), (short[:0:-1], Snippet(long[::-1]))):
             for k, c in enumerate(by.common(text), 1):
@@ -101,7 +183,7 @@ def snippet_ratio(snippet: Column, text: Column, least: float) -> Column:
     """
 
     def some(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if x is None or y is None else partial_ratio(x, y, least) for x, y in zip(a, b, strict=True)])
+        return pd.Series(partial_ratios(list(a), list(b), least), dtype=float)
 
     a, b = squash(snippet), squash(text)
     open_ = (a != "") & ~F.contains(b, a)

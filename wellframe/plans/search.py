@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wellframe.functions import text as tx
 from wellframe.functions import fuzzy, units
 from wellframe.operators import indexing, textindex
+from wellframe.operators.stages import dealt
 from wellframe.plans.registry import Tables, query
 from wellframe.streaming import changes
 
@@ -294,7 +295,7 @@ def fuzzy_snippets(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null").select("doc_id", "text")
     s = d.select("doc_id", F.translate(F.substring("text", (F.col("doc_id") % 200 + 1).cast("int"), F.lit(80)), "el", "c1").alias("snippet"))
     asked = s.select("doc_id", "snippet", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("page"))
-    both = asked.join(d.select(F.col("doc_id").alias("page"), "text"), "page")
+    both = dealt(asked, ["page"]).join(dealt(d.select(F.col("doc_id").alias("page"), "text"), ["page"]), "page")
     return both.select("doc_id", "page", _r(fuzzy.snippet_ratio(F.col("snippet"), F.col("text"), 80.0), 4).alias("ratio")).where("ratio > 0")
 
 
