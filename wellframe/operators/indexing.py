@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wellframe.functions import fuzzy, units
 from wellframe.functions import text as tx
+from wellframe.operators.stages import dealt
 
 # The snippet length from which a near match counts, how near, and the depths in metres that a text may name.
 MIN_SNIPPET, NEAR = 20, 90.0
@@ -65,7 +66,7 @@ def tagged(chunks: DataFrame, entities: DataFrame, aliases: Aliases) -> DataFram
     named = chunks.withColumn("_named", aliases.found(F.col("chunk")))
     key = ["doc_id", "page", "chunk_no"]
     e = entities.select("doc_id", "page", "ord", tx.squash(F.coalesce("snippet", F.lit(""))).alias("_s"), F.col("formation").alias("_f"), F.array_compact(F.array("md_from_m", "md_to_m")).alias("_d"))
-    both = named.select(*key, "chunk", "_named").join(e, ["doc_id", "page"])
+    both = dealt(named.select(*key, "chunk", "_named"), ["doc_id", "page"]).join(dealt(e, ["doc_id", "page"]), ["doc_id", "page"])
     near = F.when(F.length("_s") >= MIN_SNIPPET, F.col("_s"))
     held = F.when(F.col("_s") == "", F.array_contains("_named", F.col("_f"))).otherwise(F.contains(tx.squash(F.col("chunk")), F.col("_s")) | (F.coalesce(fuzzy.snippet_ratio(near, F.col("chunk"), NEAR), F.lit(0.0)) >= NEAR))
     of = both.where(F.coalesce(held, F.lit(False))).groupBy(*key).agg(F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("ord"))).alias("_f"), F.flatten(F.collect_list("_d")).alias("_d"))
@@ -86,7 +87,7 @@ def content_hashes(pages: DataFrame, entities: DataFrame) -> DataFrame:
 
 def build(pages: DataFrame, entities: DataFrame, aliases: Aliases, size: int = 1200, overlap: int = 200) -> DataFrame:
     """doc_id, page, chunk_no, chunk, formation, md_from_m, md_to_m, content_hash of every chunk of the pages."""
-    each = tx.chunks(pages.select(F.struct("doc_id", "page").alias("at"), "text"), "at", "text", size, overlap)
+    each = tx.chunks(dealt(pages, ["doc_id", "page"]).select(F.struct("doc_id", "page").alias("at"), "text"), "at", "text", size, overlap)
     each = each.select("at.doc_id", "at.page", "chunk_no", "chunk")
     return tagged(each, entities, aliases).join(content_hashes(pages, entities), "doc_id")
 
