@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wellframe.operators import matching
 
@@ -43,6 +44,60 @@ def test_nearest_equals_sequential(spark, seed, places, tolerance):
     assert {(t.k, t.gap, t.a, t.b) for t in out} == on_a_line(left, right, tolerance) and len(out) == len({(t.k, t.a) for t in out})
 
 
+def test_first_of_all_ways_not_only_of_closed_ones(spark):
+    """Row 1 of the left is as far from rows 1 and 2 of the right; row 1 has one more way, to a row that has a nearer one."""
+    left, right = [("x", 14.0, 1), ("x", 8.0, 2)], [("x", 11.0, 1), ("x", 17.0, 2), ("x", 7.0, 3)]
+    df = lambda rows: spark.createDataFrame(rows, "k string, x double, id int")
+    got = {tuple(r) for r in matching.nearest(df(left), df(right), ["k"], "x", "id", 5.0).select("k", "gap", "a", "b").collect()}
+    assert got == on_a_line(left, right, 5.0) == {("x", 1.0, 2, 3), ("x", 3.0, 1, 1)}
+    free = df(left).withColumn("side", F.lit(0)).unionByName(df(right).withColumn("side", F.lit(1)))
+    assert {tuple(r) for r in matching._rounds(free, ["k"], 5.0).select("k", "gap", "a", "b").collect()} == got
+
+
+def test_stretches_leave_open_what_hangs_on_others():
+    """What a stretch settles is as in the whole line, and the rule goes on with what is open as if all were left."""
+    rule = lambda rows: {e[1:] for e in on_a_line([("", x, i) for i, (x, side) in rows.items() if side == 0], [("", x, i) for i, (x, side) in rows.items() if side == 1], 5.0)}
+    opened = 0
+    for seed in range(300):
+        r = random.Random(seed)
+        x = r.choice([lambda: float(r.randrange(60)), lambda: r.uniform(0, 60)])  # noqa: B023
+        rows = dict(enumerate((x(), r.randrange(2)) for _ in range(r.randrange(60))))
+        low = r.uniform(0, 30)
+        inside = [i for i, (x, _) in rows.items() if low <= x < low + 30]
+        pairs, open_ = matching.along([rows[i][0] for i in inside], [rows[i][1] for i in inside], 5.0, low, low + 30)
+        got = {(gap, inside[a], inside[b]) for a, b, gap in pairs}
+        left = {i: v for i, v in rows.items() if i not in inside or i in {inside[o] for o in open_}}
+        assert got | rule(left) == rule(rows) and len(got) + len(rule(left)) == len(rule(rows))
+        opened += len(open_)
+    assert opened
+
+
+@pytest.mark.parametrize(("held", "rounds"), [(1000, False), (45, False), (8, True)])
+def test_long_keys_are_cut(spark, monkeypatch, held, rounds):
+    """Keys of up to ``held`` rows are one stretch and need no rounds; longer ones are cut, and crowded stretches are matched in rounds."""
+    r, ran, by = random.Random(held), [], matching._rounds
+    monkeypatch.setattr(matching, "HELD", held)
+    monkeypatch.setattr(matching, "_rounds", lambda *a: ran.append(1) or by(*a))
+    side = lambda n: [(k, float(r.randrange(900)) / 2 if k == "x" else r.uniform(0, 200), i) for i in range(n) for k in (r.choice("xxxxy"),)]
+    left, right = side(150), side(160)
+    df = lambda rows: spark.createDataFrame(rows, "k string, x double, id int")
+    out = matching.nearest(df(left), df(right), ["k"], "x", "id", 3.0).collect()
+    assert {(t.k, t.gap, t.a, t.b) for t in out} == on_a_line(left, right, 3.0) and len(out) == len({(t.k, t.a) for t in out}) and bool(ran) == rounds
+
+
+def test_a_long_chain_takes_one_round(spark, monkeypatch):
+    """Each gap is smaller than the one before, so that a match waits for the next: as many rounds of nearest ones as pairs."""
+    ran, by = [], matching._nearest_places
+    monkeypatch.setattr(matching, "_nearest_places", lambda *a: ran.append(1) or by(*a))
+    xs = [0.0]
+    for i in range(20):
+        xs.append(xs[-1] + 4 - i / 10)
+    side = lambda n: [("k", x, i) for i, x in enumerate(xs) if i % 2 == n]
+    df = lambda rows: spark.createDataFrame(rows, "k string, x double, id int")
+    out = matching.nearest(df(side(0)), df(side(1)), ["k"], "x", "id", 5.0).collect()
+    assert {(t.k, t.gap, t.a, t.b) for t in out} == on_a_line(side(0), side(1), 5.0) and not ran
+
+
 def test_one_hot_group(spark):
     """A third of the rows in one key, 100,000 in one place of each side: matched by rank in one round."""
     from pyspark.sql import functions as F
