@@ -150,3 +150,14 @@ def test_registered_reports_equal_the_sequential_rule(spark, sf):
         sides[r.l_returnflag].append((r.l_suppkey, r.l_quantity, (r.l_suppkey, *line[2:], seen[line])))
     kept = sorted((r.k, r.a, r.b) for r in QUERIES["jn19_greedy_match"](spark, sf).collect())
     assert kept == sorted((k, a[1], b[1]) for k, _, a, b in on_a_line(sides["R"], sides["A"], 5.0))
+
+
+def test_extraction_report_takes_no_rounds(spark, sf, monkeypatch):
+    """Events of a page are matched in one pass for each score, and what is matched is written once."""
+    from wellframe.operators import evaluation
+    from wellframe.plans.registry import QUERIES
+
+    ran, by = [], matching._nearest_places
+    monkeypatch.setattr(matching, "_nearest_places", lambda *a: ran.append("round") or by(*a))
+    monkeypatch.setattr(evaluation, "cut", lambda df: ran.append("cut") or df)
+    assert QUERIES["cq17_extraction_report"](spark, sf).count() == 4 and not ran

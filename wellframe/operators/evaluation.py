@@ -17,7 +17,7 @@ def matched_events(predicted: DataFrame, truth: DataFrame, tolerance: float = 20
 
     Equal types first, score 1, then what is free of equal risk, score SAME_RISK; the smaller gap first in both.
     """
-    types = cut(matching.nearest(predicted, truth, ["page", "event_type"], "md", "id", tolerance).select("page", "a", "b", "gap", F.lit(1.0).alias("score")))
+    types = matching.nearest(predicted, truth, ["page", "event_type"], "md", "id", tolerance).select("page", "a", "b", "gap", F.lit(1.0).alias("score"))
     rest = lambda df, end: df.where("risk is not null").join(types.select("page", F.col(end).alias("id")), ["page", "id"], "left_anti")
     risks = matching.nearest(rest(predicted, "a"), rest(truth, "b"), ["page", "risk"], "md", "id", tolerance)
     return types.unionByName(risks.select("page", "a", "b", "gap", F.lit(SAME_RISK).alias("score")))
